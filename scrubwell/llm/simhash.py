@@ -134,11 +134,13 @@ def links(distinct: DataFrame, radius: int, blocks: int, tile_rows: int = TILE_R
     if blocks > 8:
         raise ValueError("at most 8 blocks fit a tile key")
     df = distinct.select("fp", key.alias("tile"))
-    # Tiles too large for one task are cut into chunks; there are at most rows / tile_rows of them.
-    large = F.broadcast(df.groupBy("tile").count().filter(F.col("count") > tile_rows).select("tile", F.ceil(F.col("count") / tile_rows).cast("int").alias("chunks")))
-    home = df.join(large, "tile", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    near = home.select("fp", F.explode(F.array(*[F.lit(o).cast("long") for o in offsets(blocks, radius)])).alias("o"), "tile").select("fp", (F.col("tile") + F.col("o")).alias("tile"))
-    near = near.join(large, "tile", "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+    # Tiles too large for one task are cut into chunks.  Guests go to tiles that exist; up to four blocks
+    # there are at most 17^4 of those, which bounds the broadcast.
+    tiles = df.groupBy("tile").count().select("tile", F.ceil(F.col("count") / tile_rows).cast("int").alias("chunks"))
+    tiles = F.broadcast(tiles) if blocks <= 4 else tiles
+    home = df.join(tiles, "tile").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    near = df.select("fp", F.explode(F.array(*[F.lit(o).cast("long") for o in offsets(blocks, radius)])).alias("o"), "tile").select("fp", (F.col("tile") + F.col("o")).alias("tile"))
+    near = near.join(tiles, "tile").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     within = home.filter("chunk > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunk") - 1)))
     dealt = home.select("tile", "chunk", "fp", F.lit(True).alias("home")).unionByName(near.unionByName(within, allowMissingColumns=True).select("tile", "chunk", "fp", F.lit(False).alias("home")))
 
@@ -172,12 +174,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def resolution(n: int, tile_rows: int = 2_000) -> int:
-    """Number of blocks at which the fullest tile of n spread-out fingerprints holds about ``tile_rows``."""
-    for blocks, share in ((1, 0.1), (2, 0.02), (4, 0.0015)):
-        if n * share <= tile_rows:
-            return blocks
-    return 8 if n * 0.0015 > 50 * tile_rows else 4
+def resolution(n: int) -> int:
+    """Number of blocks for ``n`` fingerprints: four, whose fullest tile holds about 0.15 % of them, or eight for very many."""
+    return 4 if n <= 50_000_000 else 8
 
 
 def cluster(docs: DataFrame, text: str = "text", radius: int = 2, shingle: int = SHINGLE, blocks: int | None = None) -> DataFrame:
