@@ -24,15 +24,17 @@ def substitute(text: Column, rules: list[Rule]) -> Column:
     return text
 
 
+def _step(lines: Column, kind: str, group: list[Rule]) -> Column:
+    if kind == "sub":
+        return F.transform(lines, lambda x: substitute(x, group))
+    return F.filter(lines, lambda x: ~x.rlike("|".join(f"(?:{r[1]})" for r in group)))
+
+
 def rewrite_lines(text: Column, rules: list[Rule]) -> Column:
     """Applies the rules to each line; dropped lines go with their line break."""
     lines = F.split(text, "\n")
     for kind, group in groupby(rules, key=lambda r: r[0]):
-        group = list(group)
-        if kind == "sub":
-            lines = F.transform(lines, lambda x, g=group: substitute(x, g))
-        else:
-            lines = F.filter(lines, lambda x, g=group: ~x.rlike("|".join(f"(?:{r[1]})" for r in g)))
+        lines = _step(lines, kind, list(group))
     return F.array_join(lines, "\n")
 
 
