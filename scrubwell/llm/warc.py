@@ -186,7 +186,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def read(self, partition: Part | None) -> Iterator[tuple]:
+        if partition is None:  # an archive without files has no partition
+            return
         store, _ = filesystem(self.path)
         with store.open_input_file(partition.path) as f:
             end = f.size() if partition.end < 0 else partition.end
