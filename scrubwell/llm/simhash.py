@@ -12,8 +12,8 @@ into chunks that meet pairwise in separate tasks; each task reports a spanning
 forest of its links, never all pairs.
 
 Defined results: null or empty text has fingerprint zero, which links like any
-other; repeated rows share a fingerprint; ties go to the smallest doc_id; an
-empty table gives an empty result.
+other; repeated rows share a fingerprint; ties go to the smallest doc_id, null
+last; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubwell.llm.common import cut
@@ -53,14 +54,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, mark (a hash of the text) and fp (the fingerprint as a signed long) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t, shingle) for t in b["_text"]), dtype=np.uint64, count=len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column("_text")), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(fp.view(np.int64))], ["doc_id", "mark", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(text).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    return rows.mapInArrow(run, "doc_id long, mark long, fp long")
+
+
+def _mark(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def offsets(blocks: int, radius: int) -> list[int]:
@@ -152,14 +158,14 @@ def links(distinct: DataFrame, radius: int, blocks: int, tile_rows: int = TILE_R
     return dealt.groupBy("tile", "chunk").applyInPandas(meet, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: each node of the links (a, b) with the least node it can reach.
 
     Alternates large-star and small-star rounds; both keep edges at most as many
     as before, so a hub or a long chain needs O(log n) rounds.  Each round is cut.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    for _ in range(rounds):
+    while True:
         before = e
         # large-star: all larger neighbours of u link to the least neighbour of u
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -179,18 +185,30 @@ def resolution(n: int) -> int:
     return 4 if n <= 50_000_000 else 8
 
 
-def cluster(docs: DataFrame, text: str = "text", radius: int = 2, shingle: int = SHINGLE, blocks: int | None = None) -> DataFrame:
-    """doc_id, fp and component_id (least doc_id reachable over fingerprints at most ``radius`` bits apart) of every row."""
+def _clustered(docs: DataFrame, text: str = "text", radius: int = 2, shingle: int = SHINGLE, blocks: int | None = None) -> DataFrame:
+    """doc_id, mark, fp, root (one fingerprint of the component) and component_id of every row."""
     fps = cut(fingerprints(docs, text, shingle))
     reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = components(links(reps.select("fp"), radius, blocks or resolution(reps.count())))
     joined = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = joined.join(least, "root").select("fp", "component_id")
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = joined.join(least, "root").select("fp", "root", "component_id")
+    return fps.join(ids, "fp").select("doc_id", "mark", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's least; of rows with that very doc_id all stay."""
-    kept = cluster(docs, **how).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+def cluster(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, fp and component_id (least doc_id reachable over fingerprints at most ``radius`` bits apart) of every row.
+
+    ``how``: text, radius, shingle and blocks.  Null ids count only where a component has no other.
+    """
+    return _clustered(docs, **how).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that stand for their component: its least doc_id, and of different texts with that id one.
+
+    Rows equal in doc_id and text are one document and all stay.
+    """
+    own = _clustered(docs, text, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = own.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("x")).select(F.col("x.doc_id").alias("_kept"), F.col("x.mark").alias("_mark"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]) & (_mark(text) == kept["_mark"]), "left_semi")

@@ -77,6 +77,11 @@ def test_simhash(docs, empty):
     one = simhash.one_of_each(docs)
     assert one.columns == docs.columns and one.filter("doc_id in (1, 2)").count() == 1
     assert simhash.cluster(empty).count() == 0
+    kept = Counter(r["doc_id"] for r in one.collect())
+    assert kept[None] == 1 and kept[3] == 1 and kept[4] == 0  # a row without an id is not lost
+    big = (1 << 62) + 1
+    rows = docs.sparkSession.createDataFrame([(None, "alone here now"), (None, GOOD), (big, GOOD), (5, "one two three four"), (5, "other words in this text")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"][:3]) for r in simhash.one_of_each(rows).collect()) == [(0, "alo"), (5, "one"), (5, "oth"), (big, "the")]
 
 
 def test_spotsigs(docs, empty):

@@ -5,7 +5,7 @@ import hashlib
 import itertools
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -175,6 +175,38 @@ def test_url_models_on_seeds():
     assert sum(right) >= 0.9 * len(right)
 
 
+def test_url_models_count_every_line(spark):
+    bodies = [f"{a}{b}{c}.x" for a in url_lm.SYLLABLES for b in url_lm.SYLLABLES for c in ("", "a")]
+    pages = spark.createDataFrame([(k, f"https://{h}.example.com/news/{k}") for k, h in enumerate(bodies * 2)], "page_id long, url string")
+    good, bad = url_lm.seeds()
+    lines = url_lm._sorted_lines(pages, "url", url_lm.Ratio(good, bad)).cache()
+    assert lines.count() > 1_000
+    counts = url_lm._counts(lines)
+    rows = lines.filter("not held").collect()
+    for kind in (0, 1):
+        assert (counts[kind] == url_lm.counted([r["line"] for r in rows if r["kind"] == kind])).all()
+    # Witten-Bell by hand: character after its context
+    p, n = url_lm.probabilities(counts[0]), Counter()
+    for r in rows:
+        if r["kind"] == 0:
+            s = "^^^" + r["line"] + "$"
+            n.update((s[i - k : i], s[i]) for i in range(3, len(s)) for k in range(4))
+    seen = Counter()
+    kinds = Counter()
+    for (c, _), v in n.items():
+        seen[c] += v
+        kinds[c] += 1
+    for line in {r["line"] for r in rows[:20]}:
+        s = "^^^" + line + "$"
+        for i, cell in zip(range(3, len(s)), url_lm.cells(line), strict=True):
+            q = 1 / url_lm.SYMBOLS
+            for k in range(4):
+                c = s[i - k : i]
+                if seen[c]:
+                    q = (n[c, s[i]] + kinds[c] * q) / (seen[c] + kinds[c])
+            assert abs(q - p[cell]) < 1e-12
+
+
 def test_warc_matches_sql_and_reads_foreign_files(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
