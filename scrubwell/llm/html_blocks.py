@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,11 +197,12 @@ def extract(pages: DataFrame, source: str = "html", keep: tuple[str, ...] = ("pa
     """``keep``, text (the main text) and n_chars of every page."""
     tree = grow(LABELLED)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [main_text(t, tree) for t in b.pop("_html")]
-            yield b.assign(text=text, n_chars=[len(t) for t in text])
+            text = [main_text(t.as_py(), tree) for t in b.column("_html")]
+            own = [b.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], [*keep, "text", "n_chars"])
 
     df = pages.select(*keep, F.coalesce(F.col(source), F.lit("")).alias("_html"))
     schema = ", ".join(f"{n} {t}" for n, t in df.dtypes if n != "_html")
-    return df.mapInPandas(run, f"{schema}, text string, n_chars long")
+    return df.mapInArrow(run, f"{schema}, text string, n_chars long")

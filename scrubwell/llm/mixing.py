@@ -24,7 +24,7 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,19 +123,23 @@ def schedule(docs: DataFrame, targets: dict | None = None, source: str = "source
     gaps = sorted((int(slots_of(s, np.array([n - 1]))[0]), g) for s, (n, g) in short.items())
     gap_slots, gap_rows = np.array([x for x, _ in gaps], np.int64), np.concatenate([[0], np.cumsum([g for _, g in gaps], dtype=np.int64)]) if gaps else np.zeros(1, np.int64)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    own = [*carry, "mix_source"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            number, inside = b["_rank"].to_numpy(np.int64) // block, b["_rank"].to_numpy(np.int64) % block
-            slot = np.zeros(len(b), np.int64)
-            for s, rows in b.groupby("_s").indices.items():
+            number, inside = np.divmod(b.column("_rank").to_numpy().astype(np.int64), block)
+            slot = np.zeros(b.num_rows, np.int64)
+            found = b.column("_s").dictionary_encode()
+            for k, s in enumerate(found.dictionary.to_pylist()):
+                rows = found.indices.to_numpy() == k
                 slot[rows] = slots_of(s, number[rows])
             position = slot * block + inside - gap_rows[np.searchsorted(gap_slots, slot, side="left")]
-            yield b.drop(columns=["_s", "_rank", "_h"]).assign(block=number, slot=slot, position=position)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(number), pa.array(slot), pa.array(position)], [*own, "block", "slot", "position"])
 
     ranked = salted_rank(df.withColumn("_h", F.xxhash64(*carry)), ["_s"], ["_h", *carry], "_rank")
-    ranked = ranked.select(*carry, "mix_source", "_s", "_rank", "_h")
-    schema = ", ".join(f"`{n}` {t}" for n, t in ranked.dtypes if n not in ("_s", "_rank", "_h"))
-    return ranked.mapInPandas(place, f"{schema}, block long, slot long, position long")
+    ranked = ranked.select(*own, "_s", "_rank")
+    schema = ", ".join(f"`{n}` {t}" for n, t in ranked.dtypes if n not in ("_s", "_rank"))
+    return ranked.mapInArrow(place, f"{schema}, block long, slot long, position long")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:

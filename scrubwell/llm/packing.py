@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,14 +111,16 @@ def packed(docs: DataFrame, text: str = "text", capacities: tuple[int, ...] = CA
     g = np.array(groups, np.int64).reshape(-1, 3)
     starts = (m[:, 0] << 40) + m[:, 1]
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, rank = b["length"].to_numpy(np.int64), b.pop("_rank").to_numpy(np.int64)
+            length, rank = (b.column(c).to_numpy().astype(np.int64) for c in ("length", "_rank"))
             move = m[np.searchsorted(starts, (length << 40) + rank, side="right") - 1]
             i = rank - move[:, 1]
             bin_id = move[:, 3] + i // move[:, 2]
             capacity = g[np.searchsorted(g[:, 0], bin_id, side="right") - 1, 2]
-            yield b.assign(bin_id=bin_id, capacity=capacity.astype(np.int32), offset=(move[:, 4] + i % move[:, 2] * length).astype(np.int32))
+            offset = move[:, 4] + i % move[:, 2] * length
+            own = [b.column(c) for c in ("doc_id", "piece", "length")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(bin_id), pa.array(capacity.astype(np.int32)), pa.array(offset.astype(np.int32))], ["doc_id", "piece", "length", "bin_id", "capacity", "offset"])
 
     ranked = salted_rank(df, ["length"], ["doc_id", "piece"], "_rank").select("doc_id", "piece", "length", "_rank")
-    return ranked.mapInPandas(place, "doc_id long, piece long, length int, bin_id long, capacity int, offset int")
+    return ranked.mapInArrow(place, "doc_id long, piece long, length int, bin_id long, capacity int, offset int")

@@ -117,6 +117,14 @@ def test_mixing(docs, empty):
     assert mixing.schedule(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_large_ids_beside_null_ids(spark):
+    big = (1 << 62) + 1
+    rows = spark.createDataFrame([(None, "a b", "s", "x://h/p"), (big, "c d e", "s", "x://h/p")], "doc_id long, text string, source string, url string").coalesce(1)
+    pages = rows.withColumnRenamed("doc_id", "page_id")
+    for got in (packing.packed(rows), mixing.schedule(rows), simhash.cluster(rows), html_blocks.extract(pages, "text"), url_lm.judge(pages, {}, url_lm.train(pages))):
+        assert {r[0] for r in got.collect()} == {None, big}
+
+
 def test_html(pages):
     got = {r["page_id"]: r for r in html_blocks.extract(pages).collect()}
     assert got[2]["text"] == "" and got[2]["n_chars"] == 0 and got[None]["text"] == "a & b"
