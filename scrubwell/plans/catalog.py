@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scrubwell.functions import cleaning, dates, names, training_text
 from scrubwell.functions.rules import sql_rewrite_lines, sql_substitute, sql_text
@@ -556,3 +557,105 @@ def g1_stride_mask(spark, sf_dir):
 @query("SELECT p_partkey, array_to_string(list_slice(list_concat(string_split(p_name, ' '), ['[MASK]', '[MASK]', '[MASK]', '[MASK]', '[MASK]']), 1, 5), ' ') AS tokens FROM part")
 def l9_padded(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(scoring.padded(F.split("p_name", " "), 5), " ").alias("tokens"))
+
+
+_YEAR = r"\[\*\*([0-9]{4})-[0-9]{1,2}-[0-9]{1,2}\*\*\]"
+
+
+@query(f"WITH {NOTES} SELECT row_id, list_max(list_transform(regexp_extract_all(note, '{_YEAR}', 1), lambda y: y::INT)) AS latest FROM notes")
+def a10_latest_year(spark, sf_dir):
+    years = F.regexp_extract_all("note", F.lit(_YEAR), F.lit(1))
+    return notes.notes(spark, sf_dir).select("row_id", F.array_max(F.transform(years, lambda y: y.cast("int"))).alias("latest"))
+
+
+@query("SELECT p_brand AS name, round(count(*) / (SELECT count(*) FROM part), 12) AS weight FROM part GROUP BY p_brand")
+def a12_normalised(spark, sf_dir):
+    counts = _table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return namebook.normalised(counts).select("name", F.round("weight", 12).alias("weight"))
+
+
+@query(f"WITH {NOTES} SELECT row_id, len(flatten(list_transform(string_split(note, chr(10)), lambda x: string_split(x, ' ')))) AS n_parts FROM notes")
+def a17_flattened(spark, sf_dir):
+    parts = F.flatten(F.transform(F.split("note", "\n"), lambda x: F.split(x, " ")))
+    return notes.notes(spark, sf_dir).select("row_id", F.size(parts).cast("long").alias("n_parts"))
+
+
+@query(f"WITH {ORDERS}, p AS (SELECT *, lag(category) OVER (PARTITION BY subject_id ORDER BY row_id) AS before FROM o) SELECT subject_id, row_id, category FROM p WHERE category IS DISTINCT FROM before")
+def a6_adjacent_dedupe(spark, sf_dir):
+    before = F.lag("category").over(Window.partitionBy("subject_id").orderBy("row_id"))
+    return _orders(spark, sf_dir).withColumn("before", before).filter(~F.col("category").eqNullSafe(F.col("before"))).select("subject_id", "row_id", "category")
+
+
+@query("WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) SELECT p_partkey, unnest(range(len(w)))::INT AS pos, unnest(w) AS word, unnest(list_transform(w, lambda x: length(x)))::INT AS chars FROM w")
+def j12_zipped_lists(spark, sf_dir):
+    words = F.split("p_name", " ")
+    lists = F.arrays_zip(F.sequence(F.lit(0), F.size(words) - 1).alias("pos"), words.alias("word"), F.transform(words, F.length).alias("chars"))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.inline(lists).alias("pos", "word", "chars"))
+
+
+@query("SELECT c_custkey, coalesce(n_name, '') AS n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) ON c_nationkey = n_nationkey")
+def j4_lookup_or_empty(spark, sf_dir):
+    known = _table(spark, sf_dir, "nation").filter("n_regionkey = 1")
+    customers = _table(spark, sf_dir, "customer")
+    return customers.join(known, customers["c_nationkey"] == known["n_nationkey"], "left").select("c_custkey", F.coalesce("n_name", F.lit("")).alias("n_name"))
+
+
+@query(f"WITH {ORDERS} SELECT row_id, subject_id FROM o WHERE subject_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def j5_rows_of_subjects(spark, sf_dir):
+    wanted = _table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("subject_id"))
+    return _orders(spark, sf_dir).join(wanted, "subject_id", "left_semi").select("row_id", "subject_id")
+
+
+@query(f"WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY md5('{SEED}:' || p_partkey), p_partkey) AS rn FROM part) SELECT p_partkey, rn FROM r WHERE rn <= (SELECT count(*) FROM supplier)")
+def l3_head_of_other_size(spark, sf_dir):
+    size = _table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n"))
+    ranked = subsets.shuffled(_table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", SEED)
+    return ranked.join(F.broadcast(size), F.col("rn") <= F.col("n")).select("p_partkey", F.col("rn").cast("long").alias("rn"))
+
+
+@query("SELECT c_nationkey AS k, 'c' AS rule FROM customer UNION ALL SELECT s_nationkey, 's' FROM supplier")
+def o2_union_all(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.lit("c").alias("rule"))
+    return c.unionByName(_table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.lit("s").alias("rule")))
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def o3_distinct_keys(spark, sf_dir):
+    return o2_union_all(spark, sf_dir).select("k").distinct()
+
+
+@query(f"WITH {NOTES} SELECT row_id, category FROM notes WHERE category IN ('Physician ', 'Discharge summary')")
+def p4_two_categories(spark, sf_dir):
+    return notes.notes(spark, sf_dir).filter(subsets.in_categories("category", ["Physician ", "Discharge summary"])).select("row_id", "category")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.notes(spark, sf_dir).select("row_id", F.explode(F.split("note", "\n")).alias("line"))
+
+
+LINES = f"{NOTES}, lines AS (SELECT row_id, unnest(string_split(note, chr(10))) AS line FROM notes)"
+
+
+@query(f"WITH {LINES} SELECT row_id, line FROM lines WHERE regexp_matches(line, 'Hospital|Telephone|days')")
+def p8_lines_with(spark, sf_dir):
+    return _lines(spark, sf_dir).filter(F.col("line").rlike("Hospital|Telephone|days"))
+
+
+@query(f"WITH {LINES} SELECT row_id, count(*) AS n_lines FROM lines WHERE NOT regexp_matches(line, '^[._~]+$') GROUP BY row_id")
+def p9_lines_without(spark, sf_dir):
+    return _lines(spark, sf_dir).filter(~F.col("line").rlike("^[._~]+$")).groupBy("row_id").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query(f"WITH {ORDERS}, r AS (SELECT row_id, row_number() OVER (ORDER BY md5('{SEED}:' || row_id), row_id) AS rn FROM o) SELECT row_id, rn <= 1000 AS taken FROM r")
+def w1_take_or_rest(spark, sf_dir):
+    return subsets.shuffled(_orders(spark, sf_dir), "row_id", SEED).select("row_id", (F.col("rn") <= 1000).alias("taken"))
+
+
+_KEYED = r"\[\*\*[A-Z][a-z]+ [0-9]+\*\*\]"
+
+
+@query(f"WITH {NOTES}, p AS (SELECT row_id, regexp_extract_all(note, '{_KEYED}') AS ps FROM notes) SELECT row_id, unnest(range(len(ps)))::INT AS pos, unnest(ps) AS placeholder, unnest(list_transform(ps, lambda x, i: coalesce(ps[i + 1], ''))) AS following FROM p")
+def w4_following_placeholder(spark, sf_dir):
+    found = notes.notes(spark, sf_dir).select("row_id", F.regexp_extract_all("note", F.lit(_KEYED), F.lit(0)).alias("ps"))
+    rows = F.transform("ps", lambda x, i: F.struct(i.alias("pos"), x.alias("placeholder"), F.coalesce(F.get("ps", i + 1), F.lit("")).alias("following")))
+    return found.select("row_id", F.inline(rows).alias("pos", "placeholder", "following"))
