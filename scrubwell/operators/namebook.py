@@ -22,6 +22,11 @@ def in_vocab(names: DataFrame) -> DataFrame:
     return names.filter("n_tokens = 1")
 
 
+def with_vocab_ids(names: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The names that are one token of ``vocabulary`` (token, vocab_id), with its id; case doesn't count."""
+    return names.join(vocabulary.select(F.lower("token").alias("_t"), "vocab_id"), F.lower(names["name"]) == F.col("_t")).drop("_t")
+
+
 def products(first: DataFrame, last: DataFrame) -> DataFrame:
     """All first with all last names, and the product of their weights."""
     return first.select(F.col("name").alias("first_name"), F.col("weight").alias("_w")).crossJoin(last.select(F.col("name").alias("last_name"), F.col("weight").alias("_v"))).select("first_name", "last_name", (F.col("_w") * F.col("_v")).alias("weight"))

@@ -10,7 +10,7 @@ PHI_TYPES = ["AGE", "DATE", "DOCTOR", "HOSPITAL", "ID", "LOCATION", "PATIENT", "
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True, sep: str = ",") -> DataFrame:
-    """Quoted, multi-line CSV or TSV.  Multi-line files can't be split: persist as parquet before heavy use."""
+    """Quoted, multi-line CSV or TSV; an empty field is null, quoted or not.  Multi-line files can't be split: persist as parquet before heavy use."""
     return spark.read.schema(schema).options(header=header, sep=sep, multiLine=True, quote='"', escape='"').csv(path)
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",", append: bool = False) -> None:
-    df.write.mode("append" if append else "overwrite").options(header=header, sep=sep, quote='"', escape='"').csv(path)
+    # blanks at the ends of values are data ("Physician "), which the writer would trim by default
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("append" if append else "overwrite").options(header=header, sep=sep, quote='"', escape='"', **kept).csv(path)
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True, append: bool = False) -> None:
@@ -18,3 +20,8 @@ def write_training_text(df: DataFrame, path: str, text: str = "sentence", by: tu
     """One line a row, in folders named by ``by``; line breaks inside a row become spaces."""
     line = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\r\n]+", " ")
     df.select(*by, line.alias("value")).write.mode("append" if append else "overwrite").partitionBy(*by).text(path)
+
+
+def parameter_path(base: str, **parameters: object) -> str:
+    """A folder that names its parameters, so that readers of ``base`` get them back as columns."""
+    return "/".join([base.rstrip("/"), *(f"{k}={v}" for k, v in parameters.items())])

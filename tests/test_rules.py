@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from scrubwell import schemas
@@ -129,6 +130,40 @@ def test_csv_round_trip(spark, tmp_path):
     assert readers.read_tsv(spark, f"{tmp_path}/t", schemas.INDEXED_TEXT).count() == 2
 
 
+def test_csv_keeps_blanks_and_reads_empty_as_null(spark, tmp_path):
+    rows_ = [(1, "Physician "), (2, " x"), (3, None), (4, "a"), (5, "\r\n a\tb ")]
+    df = spark.createDataFrame([(i, "" if i == 3 else t) for i, t in rows_], schemas.INDEXED_TEXT)
+    for k, (write, read) in enumerate(((writers.write_csv, readers.read_csv), (writers.write_tsv, readers.read_tsv))):
+        write(df, f"{tmp_path}/{k}")
+        assert sorted(map(tuple, read(spark, f"{tmp_path}/{k}", schemas.INDEXED_TEXT).collect())) == rows_
+
+
+def test_missing_and_empty_inputs(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        readers.read_csv(spark, f"{tmp_path}/none", schemas.INDEXED_TEXT)
+    (tmp_path / "empty.csv").write_text("")
+    assert readers.read_csv(spark, f"{tmp_path}/empty.csv", schemas.INDEXED_TEXT).count() == 0
+    (tmp_path / "empty.txt").write_text("")
+    assert readers.read_lines(spark, f"{tmp_path}/empty.txt").count() == 0
+
+
+def test_draws_around_the_burn_in(spark):
+    df = spark.createDataFrame([(i, t, float(t == 3)) for i in range(40) for t in range(6)], "i long, token_id long, logit double")
+    likeliest = {r["i"]: r["token_id"] for r in scoring.scheduled_draw(df, ["i"], "i", 1, 20).collect()}
+    assert {likeliest[i] for i in range(20, 40)} == {3} and len({likeliest[i] for i in range(20)}) > 1
+    two = {r["i"]: r["token_id"] for r in scoring.scheduled_draw(df, ["i"], "i", 1, 20, 2).collect()}
+    assert {two[i] for i in range(20, 40)} == {0, 3}
+    assert all(two[i] == likeliest[i] for i in range(20))
+
+
+def test_written_positions(spark):
+    df = spark.range(8).select("id", F.array(F.lit(4), F.lit(7), F.lit(9)).alias("at"))
+    got = {how: [r[0] for r in df.select(scoring.written_position(F.col("id"), F.col("at"), how, 5), "id").orderBy("id").collect()] for how in ("always", "first", "never")}
+    assert got["always"] == [4, 7, 9, 4, 7, 9, 4, 7]
+    assert got["first"] == got["always"][:3] + got["never"][3:]
+    assert set(got["never"]) <= {4, 7, 9}
+
+
 def test_lines_and_training_text(spark, tmp_path):
     (tmp_path / "x.txt").write_text("a\nb\nc\n")
     assert [tuple(r) for r in readers.read_lines(spark, f"{tmp_path}/x.txt").orderBy("sample_index").collect()] == [(0, "a"), (1, "b"), (2, "c")]
