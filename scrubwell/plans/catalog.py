@@ -16,8 +16,10 @@ from scrubwell.functions import cleaning, dates, names, training_text
 from scrubwell.functions.rules import sql_rewrite_lines, sql_substitute, sql_text
 from scrubwell.operators import checks, concepts, mentions, namebook, placeholders, ranking, scoring, subsets, surrogates
 from scrubwell.plans import notes
+from scrubwell.sources import readers, writers
 from scrubwell.sources.readers import PHI_TYPES, extract_tags
-from scrubwell.streaming.notes import prepared
+from scrubwell.sources.shared import shared_path
+from scrubwell.streaming.notes import append_batches, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -659,3 +661,231 @@ def w4_following_placeholder(spark, sf_dir):
     found = notes.notes(spark, sf_dir).select("row_id", F.regexp_extract_all("note", F.lit(_KEYED), F.lit(0)).alias("ps"))
     rows = F.transform("ps", lambda x, i: F.struct(i.alias("pos"), x.alias("placeholder"), F.coalesce(F.get("ps", i + 1), F.lit("")).alias("following")))
     return found.select("row_id", F.inline(rows).alias("pos", "placeholder", "following"))
+
+
+# round trips through sources and sinks
+
+
+def _round_trip(spark, sf_dir, header: bool, sep: str) -> DataFrame:
+    path, df = shared_path(spark, "notes"), _notes(spark, sf_dir)
+    writers.write_csv(df, path, header, sep)
+    return readers.read_csv(spark, path, df.schema, header, sep).select("row_id", "subject_id", "category", F.md5("note").alias("note_md5"))
+
+
+_WRITTEN = f"WITH {NOTES} SELECT row_id, subject_id, category, md5(note) AS note_md5 FROM notes"
+
+
+@query(_WRITTEN)
+def s1_k1_csv_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, True, ",")
+
+
+@query(_WRITTEN)
+def s2_k2_headless_csv_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, False, ",")
+
+
+@query(_WRITTEN)
+def s4_k4_tsv_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, True, "\t")
+
+
+@query("SELECT n_name, n_regionkey, count(*) AS n FROM (SELECT * FROM nation UNION ALL SELECT * FROM nation WHERE n_regionkey = 1) GROUP BY ALL")
+def k3_appended(spark, sf_dir):
+    path, df = shared_path(spark, "appended"), _table(spark, sf_dir, "nation").select("n_name", "n_regionkey")
+    writers.write_tsv(df, path)
+    writers.write_tsv(df.filter("n_regionkey = 1"), path, append=True)
+    return readers.read_tsv(spark, path, df.schema).groupBy("n_name", "n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT row_number() OVER (ORDER BY n_name) - 1 AS sample_index, n_name AS text FROM nation")
+def s5_numbered_lines(spark, sf_dir):
+    path = shared_path(spark, "lines")
+    _table(spark, sf_dir, "nation").coalesce(1).sortWithinPartitions("n_name").select("n_name").write.text(path)
+    return readers.read_lines(spark, path)
+
+
+@query("SELECT DISTINCT n_name AS name FROM nation")
+def s7_names(spark, sf_dir):
+    path = shared_path(spark, "names")
+    writers.write_csv(_table(spark, sf_dir, "nation").select("n_name"), path, header=False)
+    return readers.read_names(spark, path)
+
+
+_HALF = "CASE WHEN row_id % 2 = 0 THEN 'hospital' ELSE 'shadow' END"
+
+
+@query(f"WITH {NOTES} SELECT {_HALF} AS half, 'c1p2' AS code, 'hipaa' AS anonymity, md5(regexp_replace(note, '[\\r\\n]+', ' ', 'g')) AS line_md5 FROM notes")
+def k5_training_text(spark, sf_dir):
+    path = shared_path(spark, "text")
+    writers.write_training_text(_notes(spark, sf_dir).select(F.expr(_HALF).alias("half"), F.lit("c1p2").alias("code"), F.lit("hipaa").alias("anonymity"), F.col("note").alias("sentence")), path)
+    return spark.read.text(path).select("half", "code", "anonymity", F.md5("value").alias("line_md5"))
+
+
+@query()
+def k6_stream_appended(spark, sf_dir):
+    """The streaming function over a stream, each batch appended."""
+    path = shared_path(spark, "stream")
+    _notes(spark, sf_dir).select("row_id", "note").write.parquet(f"{path}/in")
+    append_batches(prepared(spark.readStream.schema("row_id long, note string").parquet(f"{path}/in"), "note").select("row_id", "prepared", "all_filled"), f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("SELECT n_name, k AS top_k, 'm' || k AS model FROM nation, (SELECT unnest([0, 100]) AS k)")
+def k7_parameter_folders(spark, sf_dir):
+    path, df = shared_path(spark, "runs"), _table(spark, sf_dir, "nation").select("n_name")
+    for k in (0, 100):
+        df.write.parquet(writers.parameter_path(path, model=f"m{k}", top_k=k))
+    return spark.read.parquet(path).select("n_name", "top_k", "model")
+
+
+# predicates, joins and orders of their own
+
+
+@query(f"WITH {ORDERS} SELECT row_id FROM o WHERE row_id % 3 = 0 OR row_id % 5 = 0")
+def p5_any_flag(spark, sf_dir):
+    df = _orders(spark, sf_dir).withColumns({"in_train_1M": F.col("row_id") % 3 == 0, "in_test_1M": F.col("row_id") % 5 == 0})
+    return subsets.any_flag(df, "c1p2").select("row_id")
+
+
+@query(rf"""WITH {NOTES}, {MAP}, m AS (SELECT row_id, note, regexp_extract(note, {sql_text(MENTION)}, 2) AS f, regexp_extract(note, {sql_text(MENTION)}, 3) AS l FROM notes)
+    SELECT row_id FROM m WHERE f <> '' AND len(regexp_extract_all(note, regexp_escape(f) || '\s*' || regexp_escape(l))) > 0""")
+def p6_notes_with_names(spark, sf_dir):
+    df = _notes(spark, sf_dir)
+    return mentions.with_names(df, _map(df), "note").filter("patient_full_name_tfreq > 0").select("row_id")
+
+
+@query(f"WITH {ORDERS} SELECT row_id, category FROM o WHERE row_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def p7_masked_by_other_frame(spark, sf_dir):
+    mask = _table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("row_id"))
+    return _orders(spark, sf_dir).join(mask, "row_id", "left_semi").select("row_id", "category")
+
+
+@query("SELECT o_orderkey, o_orderpriority, lower(p) AS lowered FROM orders LEFT JOIN (SELECT o_orderkey AS k, o_orderpriority AS p FROM orders WHERE o_orderkey % 3 = 0) ON o_orderkey = k")
+def j2_attached_by_index(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    lowered = orders.filter("o_orderkey % 3 = 0").select("o_orderkey", F.lower("o_orderpriority").alias("lowered"))
+    return orders.join(lowered, "o_orderkey", "left")
+
+
+@query("SELECT c_custkey, coalesce(n_name, c_nationkey::VARCHAR) AS shown FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) ON c_nationkey = n_nationkey")
+def j3_lookup_or_self(spark, sf_dir):
+    known = _table(spark, sf_dir, "nation").filter("n_regionkey = 1")
+    customers = _table(spark, sf_dir, "customer")
+    return customers.join(known, customers["c_nationkey"] == known["n_nationkey"], "left").select("c_custkey", F.coalesce("n_name", F.col("c_nationkey").cast("string")).alias("shown"))
+
+
+@query(f"SELECT * FROM ({_SQL['m9_pred_names']}) WHERE is_valid_full_name")
+def j8_valid_only(spark, sf_dir):
+    v = namebook.in_vocab(_book(spark, sf_dir)).select(F.initcap("name").alias("name"))
+    s = _table(spark, sf_dir, "part").selectExpr("p_partkey AS sample_index", f"{_SAMPLES} AS text")
+    return mentions.predicted_names(s, v, v, skip_invalid=True)
+
+
+@query(f"WITH {LOGITS} SELECT doc_id, n_name AS name, logit FROM lg JOIN nation ON token_id = n_nationkey")
+def j11_gathered(spark, sf_dir):
+    names_ = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("token_id"), F.col("n_name").alias("name"))
+    return _logits(spark, sf_dir).join(names_, "token_id").select("doc_id", "name", "logit")
+
+
+@query(f"WITH {ORDERS} SELECT subject_id, array_to_string(list_sort(list(DISTINCT category)), '|') AS categories FROM o GROUP BY 1")
+def a5_distinct_sorted(spark, sf_dir):
+    return _orders(spark, sf_dir).groupBy("subject_id").agg(F.array_join(F.sort_array(F.collect_set("category")), "|").alias("categories"))
+
+
+@query(f"WITH {ORDERS} SELECT count(*) AS n, count(*) FILTER (WHERE category = '1-URGENT') AS n_urgent, sum(row_id) FILTER (WHERE category = '1-URGENT')::BIGINT AS urgent_ids FROM o")
+def a2_a3_filtered_totals(spark, sf_dir):
+    urgent = F.col("category") == "1-URGENT"
+    return _orders(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_if(urgent).alias("n_urgent"), F.sum(F.when(urgent, F.col("row_id"))).alias("urgent_ids"))
+
+
+@query(f"WITH {LOGITS}, {SOFT}, v AS (SELECT * FROM sm WHERE token_id % 3 = 0) SELECT doc_id, token_id, round(p / (SELECT sum(p) FROM v), 12) AS p FROM v")
+def a16_batch_renormalised(spark, sf_dir):
+    v = scoring.renormalised(scoring.softmax(_logits(spark, sf_dir), ["doc_id"]).filter("token_id % 3 = 0"), ["doc_id"], batch=True)
+    return v.select("doc_id", "token_id", F.round("p", 12).alias("p"))
+
+
+@query("SELECT round(avg(greatest(0, 5 - len(string_split(p_name, ' ')))), 9) AS mean_masks FROM part")
+def a19_mean_masks(spark, sf_dir):
+    df = _table(spark, sf_dir, "part").select(scoring.padded(F.split("p_name", " "), 5).alias("tokens"))
+    return scoring.mean_masks(df, "tokens").select(F.round("mean_masks", 9).alias("mean_masks"))
+
+
+@query(f"WITH {LOGITS}, r AS (SELECT doc_id, token_id, row_number() OVER (PARTITION BY doc_id ORDER BY logit DESC, token_id) AS rank FROM lg) SELECT doc_id, token_id FROM r WHERE rank = 1")
+def l7_argmax(spark, sf_dir):
+    return scoring.argmax(_logits(spark, sf_dir), ["doc_id"])
+
+
+@query(f"WITH {NOTES} SELECT row_id, nullif(regexp_extract(note, {sql_text(placeholders.PLACEHOLDER)}), '') AS first_placeholder FROM notes")
+def l10_first_match(spark, sf_dir):
+    return _notes(spark, sf_dir).select("row_id", F.nullif(F.regexp_extract("note", placeholders.PLACEHOLDER, 0), F.lit("")).alias("first_placeholder"))
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY md5('12345:' || p_partkey), p_partkey) AS rn FROM part")
+def l5_seeded_permutation(spark, sf_dir):
+    return subsets.shuffled(_table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 12345).select("p_partkey", F.col("rn").cast("long").alias("rn"))
+
+
+@query(f"WITH {ORDERS}, s AS (SELECT row_id, row_number() OVER (ORDER BY md5('42:' || row_id), row_id) <= (SELECT count(*) FROM o) // 2 AS h FROM o) SELECT count(*) FILTER (WHERE n > 1) = 0 AS disjoint FROM (SELECT count(DISTINCT h) AS n FROM s GROUP BY row_id)")
+def o5_disjoint_halves(spark, sf_dir):
+    halves = subsets.half_split(_orders(spark, sf_dir).select("row_id"), "row_id", SEED)
+    sides = [halves.filter(F.col("half") == h).select("row_id") for h in ("hospital", "shadow")]
+    return spark.range(1).select(F.lit(checks.disjoint(*sides)).alias("disjoint"))
+
+
+# names and concepts, part by part
+
+
+@query("WITH " + NOTES + f", found AS ({FOUND}) " + " UNION ALL ".join(f"SELECT '{kind}' AS kind, placeholder FROM found WHERE regexp_matches(placeholder, {sql_text('^' + names.pattern(kind, False, '(?:') + '$')})" for kind in names.FORMS))
+def m1_kinds_of_placeholders(spark, sf_dir):
+    found = placeholders.distinct_placeholders(_notes(spark, sf_dir), "note")
+    kinds = F.array_compact(F.array(*[F.when(F.col("placeholder").rlike("^" + names.pattern(kind, False, "(?:") + "$"), F.lit(kind)) for kind in names.FORMS]))
+    return found.select(F.explode(kinds).alias("kind"), "placeholder")
+
+
+FULL_NAME = names.full_name()
+
+
+@query(f"WITH {NOTES} SELECT row_id, {', '.join(f'regexp_extract(note, {sql_text(FULL_NAME)}, {k}) AS {n}' for k, n in enumerate(('first', 'last', 'age'), 1))} FROM notes")
+def m3_full_names(spark, sf_dir):
+    return _notes(spark, sf_dir).select("row_id", *[F.regexp_extract("note", FULL_NAME, k).alias(n) for k, n in enumerate(("first", "last", "age"), 1)])
+
+
+_EITHER = f"^{_FIRST}$|^{_LAST}$"
+
+
+@query(f"WITH {NOTES}, seg AS (SELECT row_id, unnest({PARTS.format(t='note')}) AS s, generate_subscripts({PARTS.format(t='note')}, 1) AS i FROM notes) SELECT row_id, string_agg(CASE WHEN regexp_matches(s, {sql_text(_EITHER)}) THEN rtrim(repeat('[MASK] ', length(s) % 3 + 1)) ELSE s END, '' ORDER BY i) AS masked FROM seg GROUP BY row_id")
+def m8_masked_by_tokens(spark, sf_dir):
+    own = F.array_distinct(placeholders.placeholders(F.col("note")))
+    lengths = F.map_from_arrays(own, F.transform(own, lambda p: F.length(p) % 3 + 1))
+    return _notes(spark, sf_dir).select("row_id", names.mask_names_by_tokens(F.col("note"), lengths).alias("masked"))
+
+
+@query(f"WITH {BOOK} SELECT name, n_nationkey AS vocab_id FROM book JOIN (SELECT *, lower(split_part(p, ' ', 1)) AS token FROM (SELECT n_nationkey, (SELECT min(p_name) FROM part WHERE p_partkey % 25 = n_nationkey) AS p FROM nation)) ON name = token")
+def m12_vocabulary_ids(spark, sf_dir):
+    parts = _table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 25).cast("int").alias("vocab_id")).agg(F.min("p_name").alias("p"))
+    return namebook.with_vocab_ids(_book(spark, sf_dir), parts.select(F.substring_index("p", " ", 1).alias("token"), "vocab_id")).select("name", "vocab_id")
+
+
+@query("SELECT doc_id, unnest([1 + doc_id % 5, 10 + doc_id % 7])::INT AS start, unnest([3 + doc_id % 4, 6])::INT AS len FROM documents")
+def u1_positions(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.inline(concepts.positions(F.expr(_POS))).alias("start", "len"))
+
+
+@query(f"WITH {LOGITS}, {SOFT} SELECT doc_id // 25 AS text, token_id AS pos, round(p, 10) AS p FROM sm WHERE token_id = doc_id % 25")
+def g2_diagonal(spark, sf_dir):
+    df = scoring.softmax(_logits(spark, sf_dir), ["doc_id"])
+    df = df.select(F.expr("doc_id div 25").alias("text"), (F.col("doc_id") % 25).alias("masked_pos"), F.col("token_id").alias("pos"), F.round("p", 10).alias("p"))
+    return scoring.diagonal(df).select("text", "pos", "p")
+
+
+@query(f"WITH {LOGITS}, g AS (SELECT *, logit / (1.0 + 1.0 / (1 + doc_id)) - ln(-ln(({_draw('(doc_id || chr(58) || token_id)', 7, 1000003)} + 0.5) / 1000003)) AS g, row_number() OVER (PARTITION BY doc_id ORDER BY logit DESC, token_id) AS k FROM lg) SELECT doc_id, arg_max(token_id, g) AS token_id FROM g WHERE doc_id < 20 OR k <= 5 GROUP BY doc_id")
+def g7_scheduled_draw(spark, sf_dir):
+    """Row = iteration: 20 of burn-in, then the five likeliest; the temperature falls with the iteration."""
+    return scoring.scheduled_draw(_logits(spark, sf_dir), ["doc_id"], "doc_id", 7, 20, 5, 1.0 + 1.0 / (1 + F.col("doc_id")))
+
+
+@query(f"SELECT o_orderkey, ([3, 5, 8, 9])[1 + o_orderkey % 4] AS always, CASE WHEN o_orderkey < 4 THEN ([3, 5, 8, 9])[1 + o_orderkey % 4] ELSE ([3, 5, 8, 9])[1 + {_draw('o_orderkey', 7, 1000003)} % 4] END AS first, ([3, 5, 8, 9])[1 + {_draw('o_orderkey', 7, 1000003)} % 4] AS never FROM orders")
+def g5_written_positions(spark, sf_dir):
+    at = F.array(*[F.lit(x) for x in (3, 5, 8, 9)])
+    return _table(spark, sf_dir, "orders").select("o_orderkey", *[scoring.written_position(F.col("o_orderkey"), at, how, 7).alias(how) for how in ("always", "first", "never")])
