@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubwell.llm.common import cut
+from scrubwell.llm.common import cut, small_frame
 
 SEED, SHINGLE, CHUNK = 42, 3, 1 << 15
 TILE_ROWS = 20_000
@@ -158,6 +158,99 @@ def links(distinct: DataFrame, radius: int, blocks: int, tile_rows: int = TILE_R
     return dealt.groupBy("tile", "chunk").applyInPandas(meet, "a long, b long")
 
 
+def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning forest of the links (a, b) with distances d, made of links themselves."""
+    order = np.argsort(d, kind="stable")
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)][order].tolist(), flat[len(a) :][order].tolist()
+    root, kept = list(range(len(nodes))), []
+    for k, (i, j) in enumerate(zip(x, y, strict=True)):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        while root[j] != j:
+            root[j] = j = root[root[j]]
+        if i != j:
+            root[max(i, j)] = min(i, j)
+            kept.append(k)
+    at = order[np.array(kept, dtype=np.int64)]
+    return a[at], b[at], d[at]
+
+
+def nearest(home: np.ndarray, guest: np.ndarray | None, radius: int, side: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links between ``home`` and ``guest`` (None: within ``home``), compared in blocks and reduced to a forest as they come."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8))]
+    rest = home if guest is None else guest
+    size, limit = 0, 1_000_000
+    for i in range(0, len(home), side):
+        h = home[i : i + side]
+        for j in range(i if guest is None else 0, len(rest), side):
+            r = rest[j : j + side]
+            d = np.bitwise_count(h[:, None] ^ r[None, :])
+            near = d <= radius
+            if guest is None and i == j:
+                near = np.triu(near, 1)
+            p, q = np.nonzero(near)
+            if len(p):
+                found.append((h[p], r[q], d[p, q]))
+                size += len(p)
+            if size > limit:
+                found = [nearest_forest(*map(np.concatenate, zip(*found, strict=True)))]
+                size, limit = len(found[0][0]), 1_000_000 + len(found[0][0])
+    return nearest_forest(*map(np.concatenate, zip(*found, strict=True)))
+
+
+def near_links(distinct: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Columns a, b, d: links within a wide radius, a minimum spanning forest of them for each pair of tiles.
+
+    A tile holds the fingerprints of one bit count, a large one is cut into
+    chunks; chunks whose bit counts differ by at most the radius meet, each pair
+    in a group of at most about two chunks.  There are at most 65 tiles.
+    """
+    df = distinct.select("fp", F.bit_count("fp").cast("int").alias("tile"))
+    counts = {r["tile"]: r["count"] for r in df.groupBy("tile").count().collect()}
+    start, at = {}, 0
+    for t in range(65):
+        start[t], at = at, at + -(-counts.get(t, 0) // tile_rows)
+    start[65] = at
+    plan = [(t, start[t], start[t + 1] - start[t], start[max(0, t - radius)], start[min(65, t + radius + 1)] - 1) for t in counts]
+    df = df.join(small_frame(df.sparkSession, plan, "tile int, first int, chunks int, low int, high int"), "tile")
+    df = df.withColumn("me", F.col("first") + F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    dealt = df.select("fp", "me", F.explode(F.sequence("low", "high")).alias("other"))
+    dealt = dealt.select("fp", "me", F.least("me", "other").alias("i"), F.greatest("me", "other").alias("j"))
+
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fp, mine = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["me"].to_numpy() == key[0]
+        a, b, d = nearest(fp[mine], None if key[0] == key[1] else fp[~mine], radius)
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64), "d": d.astype(np.int32)})
+
+    return dealt.groupBy("i", "j").applyInPandas(meet, "a long, b long, d int")
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """fp, s: the distinct 64-bit hashes of the shingles of ``_text``; of the whole sequence if it has fewer words."""
+
+    def hashes(text: str) -> np.ndarray:
+        words = text.encode("utf-8", "surrogatepass").lower().split()
+        runs = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
+        return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(r)) for r in runs), dtype=np.uint64)).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([hashes(t.as_py()) for t in b.column("_text")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("fp"), sets], ["fp", "s"])
+
+    return texts.select("fp", "_text").mapInArrow(run, "fp long, s array<bigint>")
+
+
+def alike(links_: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links whose texts (fp, _text: one for each fingerprint) have shingle sets of at least that Jaccard similarity."""
+    nodes = links_.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sets = cut(shingle_sets(texts.join(nodes, "fp", "left_semi"), shingle))
+    both = links_.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: each node of the links (a, b) with the least node it can reach.
 
@@ -212,3 +305,28 @@ def one_of_each(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     own = _clustered(docs, text, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = own.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("x")).select(F.col("x.doc_id").alias("_kept"), F.col("x.mark").alias("_mark"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]) & (_mark(text) == kept["_mark"]), "left_semi")
+
+
+def one_of_near(docs: DataFrame, text: str = "text", similarity: float = 0.8, shingle: int = 5, radius: int = 12, marks: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stand for their group of texts alike in ``similarity`` (Jaccard of shingle sets) or more.
+
+    Fingerprints of ``marks``-word shingles within ``radius`` are links; those of a
+    minimum spanning forest are checked on the texts themselves, so that chance
+    neighbours don't cost a document.  Texts with equal fingerprints are alike.
+    Fingerprints estimate: a pair barely alike can lie beyond the radius, which
+    keeps a copy and never loses a text.
+    The least doc_id of a group stays, as in :func:`one_of_each`.
+    """
+    fps = cut(fingerprints(docs, text, marks))
+    reps = cut(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("rep")))
+    chosen = reps.select("fp", F.col("rep.doc_id").alias("_id"), F.col("rep.mark").alias("_mark"))
+    own = docs.select(F.col("doc_id").cast("long").alias("_own"), F.coalesce(F.col(text), F.lit("")).alias("_text"), _mark(text).alias("_m"))
+    found = cut(near_links(reps.select("fp"), radius).select("a", "b").distinct())
+    nodes = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    texts = own.join(chosen.join(nodes, "fp", "left_semi"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark"))).dropDuplicates(["fp"]).select("fp", "_text")
+    roots = components(alike(found, texts, shingle, similarity))
+    joined = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    ids = fps.join(joined, "fp")
+    # null ids only where a group has no other
+    kept = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("x")).select(F.col("x.doc_id").alias("_kept"), F.col("x.mark").alias("_mark"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]) & (_mark(text) == kept["_mark"]), "left_semi")

@@ -220,3 +220,43 @@ def test_warc_matches_sql_and_reads_foreign_files(spark, tmp_path):
     rows = warc.read(spark, str(tmp_path), verify="true").filter("target_uri = 'http://a/'").collect()
     assert len(rows) == 5 and all(bytes(r["payload"]) == b"body" for r in rows)
     assert warc.read(spark, str(tmp_path)).filter("record_type = 'request'").count() == 0
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 400, 200)]
+        rows.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            for at in rng.integers(0, 200, 1 + g % 6):
+                copy[at] = "other"
+            rows.append(" ".join(copy))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*rows, *rows[:3], "", None])], "doc_id long, text string").cache()
+    texts = [(t or "") for t in [*rows, *rows[:3], "", None]]
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+                linked += 1
+    kept = {r["doc_id"] for r in simhash.one_of_near(docs).collect()}
+    roots = {find(i) for i in range(len(sets))}
+    assert linked > 60
+    assert roots <= kept  # no group is lost
+    assert len(kept - roots) <= 0.03 * (len(sets) - len(roots))  # fingerprints estimate, so a copy may stay
