@@ -19,6 +19,7 @@ last; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubwell.llm.common import cut, small_frame
+from scrubwell.llm.common import cut
 
 SEED, SHINGLE, CHUNK = 42, 3, 1 << 15
 TILE_ROWS = 20_000
@@ -158,95 +159,132 @@ def links(distinct: DataFrame, radius: int, blocks: int, tile_rows: int = TILE_R
     return dealt.groupBy("tile", "chunk").applyInPandas(meet, "a long, b long")
 
 
-def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A minimum spanning forest of the links (a, b) with distances d, made of links themselves."""
-    order = np.argsort(d, kind="stable")
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = flat[: len(a)][order].tolist(), flat[len(a) :][order].tolist()
-    root, kept = list(range(len(nodes))), []
-    for k, (i, j) in enumerate(zip(x, y, strict=True)):
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        while root[j] != j:
-            root[j] = j = root[root[j]]
-        if i != j:
-            root[max(i, j)] = min(i, j)
-            kept.append(k)
-    at = order[np.array(kept, dtype=np.int64)]
-    return a[at], b[at], d[at]
-
-
-def nearest(home: np.ndarray, guest: np.ndarray | None, radius: int, side: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links between ``home`` and ``guest`` (None: within ``home``), compared in blocks and reduced to a forest as they come."""
-    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8))]
-    rest = home if guest is None else guest
-    size, limit = 0, 1_000_000
-    for i in range(0, len(home), side):
-        h = home[i : i + side]
-        for j in range(i if guest is None else 0, len(rest), side):
-            r = rest[j : j + side]
-            d = np.bitwise_count(h[:, None] ^ r[None, :])
-            near = d <= radius
-            if guest is None and i == j:
-                near = np.triu(near, 1)
-            p, q = np.nonzero(near)
-            if len(p):
-                found.append((h[p], r[q], d[p, q]))
-                size += len(p)
-            if size > limit:
-                found = [nearest_forest(*map(np.concatenate, zip(*found, strict=True)))]
-                size, limit = len(found[0][0]), 1_000_000 + len(found[0][0])
-    return nearest_forest(*map(np.concatenate, zip(*found, strict=True)))
-
-
-def near_links(distinct: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Columns a, b, d: links within a wide radius, a minimum spanning forest of them for each pair of tiles.
-
-    A tile holds the fingerprints of one bit count, a large one is cut into
-    chunks; chunks whose bit counts differ by at most the radius meet, each pair
-    in a group of at most about two chunks.  There are at most 65 tiles.
-    """
-    df = distinct.select("fp", F.bit_count("fp").cast("int").alias("tile"))
-    counts = {r["tile"]: r["count"] for r in df.groupBy("tile").count().collect()}
-    start, at = {}, 0
-    for t in range(65):
-        start[t], at = at, at + -(-counts.get(t, 0) // tile_rows)
-    start[65] = at
-    plan = [(t, start[t], start[t + 1] - start[t], start[max(0, t - radius)], start[min(65, t + radius + 1)] - 1) for t in counts]
-    df = df.join(small_frame(df.sparkSession, plan, "tile int, first int, chunks int, low int, high int"), "tile")
-    df = df.withColumn("me", F.col("first") + F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    dealt = df.select("fp", "me", F.explode(F.sequence("low", "high")).alias("other"))
-    dealt = dealt.select("fp", "me", F.least("me", "other").alias("i"), F.greatest("me", "other").alias("j"))
+#: Cells of the table of how many shingles fall where, and bits of a text's parity map.
+COUNTED, PARITY = 1 << 18, 512
+#: Members of a shingle that one task compares with one another, and entries that one group of small shingles holds.
+MEET_ROWS, GROUP_ROWS = 4_096, 20_000
 
-    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, mine = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["me"].to_numpy() == key[0]
-        a, b, d = nearest(fp[mine], None if key[0] == key[1] else fp[~mine], radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64), "d": d.astype(np.int32)})
 
-    return dealt.groupBy("i", "j").applyInPandas(meet, "a long, b long, d int")
+def hashes(text: str, shingle: int) -> np.ndarray:
+    """The distinct 64-bit hashes of the shingles of ``text``, sorted; of the whole sequence if it has fewer words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    runs = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(r)) for r in runs), dtype=np.uint64))
+
 
+def shingle_levels(texts: DataFrame, shingle: int) -> np.ndarray:
+    """For each of COUNTED cells, into which shingles fall by hash: the bit length of the number of shingles in it."""
 
-def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """fp, s: the distinct 64-bit hashes of the shingles of ``_text``; of the whole sequence if it has fewer words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTED, np.int64)
+        for b in batches:
+            for t in b.column("_text"):
+                n[(hashes(t.as_py(), shingle) % np.uint64(COUNTED)).astype(np.int64)] += 1
+        cell = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n[cell])], ["cell", "n"])
+
+    found = texts.select("_text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # COUNTED rows at most
+    out = np.zeros(COUNTED, np.uint8)
+    out[found.column("cell").to_numpy()] = np.ceil(np.log2(found.column("n").to_numpy() + 1.0)).astype(np.uint8)
+    return out
 
-    def hashes(text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        runs = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
-        return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(r)) for r in runs), dtype=np.uint64)).view(np.int64)
+
+def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """mark, n, bits, prefix of every distinct text (mark, _text): size and parity map of its shingle set, and its first shingles.
+
+    In any one order of all shingles, sets of Jaccard ``similarity`` share one of
+    their first n - ceil(similarity * n) + 1.  The order here puts shingles of full
+    cells last.  A bit of the map is the parity of the shingles that fall on it, so
+    two maps differ in at most as many bits as the sets differ in shingles.
+    """
+    levels = shingle_levels(texts, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = pa.array([hashes(t.as_py()) for t in b.column("_text")], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("fp"), sets], ["fp", "s"])
+            size, bits, first = [], [], []
+            for t in b.column("_text"):
+                h = hashes(t.as_py(), shingle)
+                n = len(h)
+                order = np.argsort(levels[(h % np.uint64(COUNTED)).astype(np.int64)], kind="stable")
+                at = (h >> np.uint64(40)).astype(np.int64) % PARITY
+                size.append(n)
+                bits.append(np.packbits((np.bincount(at, minlength=PARITY) & 1).astype(np.uint8)).tobytes())
+                first.append(h[order[: n - math.ceil(similarity * n - 1e-9) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("mark"), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["mark", "n", "bits", "prefix"])
 
-    return texts.select("fp", "_text").mapInArrow(run, "fp long, s array<bigint>")
+    return texts.select("mark", "_text").mapInArrow(run, "mark long, n int, bits binary, prefix array<bigint>").dropDuplicates(["mark"])
 
 
-def alike(links_: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links whose texts (fp, _text: one for each fingerprint) have shingle sets of at least that Jaccard similarity."""
-    nodes = links_.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = cut(shingle_sets(texts.join(nodes, "fp", "left_semi"), shingle))
-    both = links_.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+def meetings(sets: DataFrame) -> DataFrame:
+    """The entries of all shingles that several prefixes have, dealt to groups (key, i, j) in which they meet.
+
+    Small shingles share a group.  The members of a large one are cut into chunks,
+    and each pair of chunks meets in a group of its own.
+    """
+    entries = sets.select("mark", F.explode("prefix").alias("g"))
+    shared = cut(entries.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    groups = max(1, -(-(shared.agg(F.sum("c")).first()[0] or 0) // GROUP_ROWS))
+    chunks = F.ceil(F.col("c") / MEET_ROWS).cast("int")
+    df = entries.join(shared, "g").select("mark", "g", chunks.alias("chunks"))
+    df = df.withColumn("me", F.pmod(F.xxhash64("mark"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    key = F.when(F.col("chunks") > 1, F.col("g")).otherwise(F.pmod(F.xxhash64("g"), F.lit(groups)))
+    df = df.select("mark", "g", "me", key.alias("key"), F.least("me", "other").alias("i"), F.greatest("me", "other").alias("j"))
+    return df.join(sets.select("mark", "n", "bits"), "mark")
+
+
+def candidates(met: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """a, b: pairs of one shingle whose sizes and parity maps allow the similarity, and whose ``root`` differs.
+
+    ``every``: all of them; else the least and greatest neighbour of each text only.
+    """
+    part = (1 - similarity) / (1 + similarity)
+
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("g", kind="stable")
+        g, mark, n, me, root = (pdf[c].to_numpy() for c in ("g", "mark", "n", "me", "root"))
+        bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(-1, PARITY // 64)
+        edges = np.flatnonzero(np.diff(g)) + 1
+        fa, fb = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(g)], strict=True):
+            here = np.arange(start, end)
+            if len(here) < 2 or every and (root[here] == root[start]).all():
+                continue
+            left, right = (here, here) if key[1] == key[2] else (here[me[here] == key[1]], here[me[here] == key[2]])
+            for k in range(0, len(left), 512):
+                x = left[k : k + 512]
+                p, q = np.nonzero((root[x][:, None] != root[right]) & (np.minimum(n[x][:, None], n[right]) >= similarity * np.maximum(n[x][:, None], n[right]) - 1e-9))
+                p, q = x[p], right[q]
+                if key[1] == key[2]:
+                    p, q = p[p < q], q[p < q]
+                near = np.concatenate([np.bitwise_count(bits[p[c : c + 65_536]] ^ bits[q[c : c + 65_536]]).sum(axis=1, dtype=np.int32) for c in range(0, len(p), 65_536)] or [np.zeros(0, np.int32)])
+                fine = near <= part * (n[p] + n[q]) + 1e-9
+                fa.append(mark[p[fine]])
+                fb.append(mark[q[fine]])
+        a, b = np.concatenate(fa), np.concatenate(fb)
+        found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        if not every:
+            both = pd.concat([found, found.rename(columns={"a": "b", "b": "a"})])
+            found = both.groupby("a", as_index=False)["b"].agg(["min", "max"]).melt("a", value_name="b")[["a", "b"]].drop_duplicates()
+        return found
+
+    found = met.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long")
+    if every:
+        return found.distinct()
+    ends = found.groupBy("a").agg(F.array(F.min("b"), F.max("b")).alias("b")).select("a", F.explode("b").alias("b"))
+    return ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose texts (mark, _text) have shingle sets of at least that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([hashes(t.as_py(), shingle).view(np.int64) for t in b.column("_text")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("mark"), sets], ["mark", "s"])
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
+    sets = cut(texts.join(nodes, "mark", "left_semi").select("mark", "_text").mapInArrow(run, "mark long, s array<bigint>").dropDuplicates(["mark"]))
+    both = pairs.join(sets.select(F.col("mark").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("mark").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
@@ -307,26 +345,25 @@ def one_of_each(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]) & (_mark(text) == kept["_mark"]), "left_semi")
 
 
-def one_of_near(docs: DataFrame, text: str = "text", similarity: float = 0.8, shingle: int = 5, radius: int = 12, marks: int = 2) -> DataFrame:
+def one_of_near(docs: DataFrame, text: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` that stand for their group of texts alike in ``similarity`` (Jaccard of shingle sets) or more.
 
-    Fingerprints of ``marks``-word shingles within ``radius`` are links; those of a
-    minimum spanning forest are checked on the texts themselves, so that chance
-    neighbours don't cost a document.  Texts with equal fingerprints are alike.
-    Fingerprints estimate: a pair barely alike can lie beyond the radius, which
-    keeps a copy and never loses a text.
+    Exact but for clashes of 64-bit hashes: texts are grouped by their hash; all
+    pairs that can be alike share a shingle of their :func:`prefixes`.  First each
+    text meets two of its candidates; then every candidate pair that these links
+    don't join yet is checked, so no link is lost to one that stood for it.
     The least doc_id of a group stays, as in :func:`one_of_each`.
     """
-    fps = cut(fingerprints(docs, text, marks))
-    reps = cut(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("rep")))
-    chosen = reps.select("fp", F.col("rep.doc_id").alias("_id"), F.col("rep.mark").alias("_mark"))
-    own = docs.select(F.col("doc_id").cast("long").alias("_own"), F.coalesce(F.col(text), F.lit("")).alias("_text"), _mark(text).alias("_m"))
-    found = cut(near_links(reps.select("fp"), radius).select("a", "b").distinct())
-    nodes = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    texts = own.join(chosen.join(nodes, "fp", "left_semi"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark"))).dropDuplicates(["fp"]).select("fp", "_text")
-    roots = components(alike(found, texts, shingle, similarity))
-    joined = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    ids = fps.join(joined, "fp")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(text).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    ids = cut(own.select("doc_id", "mark"))
+    met = cut(meetings(cut(prefixes(own, shingle, similarity))))
+    some = cut(candidates(met.withColumn("root", F.col("mark")), similarity, every=False))
+    joined = cut(alike(some, own, shingle, similarity))
+    roots = components(joined)
+    labelled = met.join(roots, met["mark"] == roots["node"], "left").select(*met.columns, F.coalesce("root", "mark").alias("root"))
+    rest = cut(candidates(labelled, similarity, every=True).join(some, ["a", "b"], "left_anti"))
+    roots = components(joined.unionByName(alike(rest, own, shingle, similarity)))
+    ids = ids.join(roots, ids["mark"] == roots["node"], "left").select("doc_id", "mark", F.coalesce("root", "mark").alias("root"))
     # null ids only where a group has no other
     kept = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("x")).select(F.col("x.doc_id").alias("_kept"), F.col("x.mark").alias("_mark"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]) & (_mark(text) == kept["_mark"]), "left_semi")

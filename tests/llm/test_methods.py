@@ -260,3 +260,23 @@ def test_near_copies_equal_brute_force(spark):
     assert linked > 60
     assert roots <= kept  # no group is lost
     assert len(kept - roots) <= 0.03 * (len(sets) - len(roots))  # fingerprints estimate, so a copy may stay
+
+
+def test_near_copies_of_large_and_block_edited_groups_are_exact(spark):
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 5_000, n)]
+    texts, original = [], word(300)
+    for _ in range(400):  # each at 0.8 or more with the original, most below that with one another
+        copy = list(original)
+        for at in rng.integers(0, 300, 6):
+            copy[at] = f"n{rng.integers(0, 10**6)}"
+        texts.append(" ".join(copy))
+    texts.append(" ".join(original))
+    for g in range(40):
+        base = word(300)
+        cut_at = 300 - 30 - g % 5 * 5
+        texts += [" ".join(base), " ".join(base[:cut_at]), " ".join(base[:cut_at] + word(300 - cut_at)), " ".join(base + word(60)), " ".join(base[:100] + word(28) + base[128:])]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.one_of_near(docs).collect()} == set(components(range(len(sets)), pairs).values())
