@@ -5,13 +5,13 @@ released at slot floor(j / w) and due before slot ceil((j + 1) / w); each slot
 goes to the released block with the earliest deadline.  So after any number of
 slots a source is less than one block from its share.
 
-Weights are whole numbers over a period, so the schedule repeats: only one
-period is simulated, and a block's slot is arithmetic.  When a source runs out,
-a new phase begins in which the others share its weight.  No row is dropped.
+Weights are the exact targets: as whole numbers of any size, never rounded to
+slots.  When a source runs out, a new phase begins in which the others share its
+weight, and counts from its first slot.  No row is dropped.
 
-Scale: the driver holds the sources' block counts and weights only; rows are
-ranked within their source in hash buckets, so a source with most of the rows is
-ranked by many tasks.
+Scale: the driver simulates every block and holds its slot (8 bytes a block);
+rows are ranked within their source in hash buckets, so a source with most of
+the rows is ranked by many tasks.
 
 Defined results: null sources form one source, written null; sources without a
 target get the mean target; repeated rows are placed one after another; an empty
@@ -21,7 +21,9 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ PERIOD = 1_024
 
 
 def shares(weights: dict, period: int = PERIOD) -> dict:
-    """Whole slots in a period for each source, at least one, by largest remainder."""
+    """Whole slots in a period for each source, at least one, by largest remainder: a rounded mix, which :func:`plan` does not use."""
     period = max(period, 4 * len(weights))
     total = sum(weights.values())
     exact = {s: max(1.0, w / total * period) for s, w in weights.items()}
@@ -54,44 +56,55 @@ def shares(weights: dict, period: int = PERIOD) -> dict:
 def one_period(slots: dict) -> dict[object, list[int]]:
     """The slots of one period that each source gets: earliest deadline first among released blocks."""
     period = sum(slots.values())
-    waiting = sorted((0, s) for s in range(len(slots)))
-    names = sorted(slots, key=str)
-    share = [slots[n] for n in names]
+    got, _ = phase(slots, {s: period + 1 for s in slots}, period)
+    return got
+
+
+def phase(weights: dict, left: dict, most: int | None = None) -> tuple[dict[object, list[int]], int]:
+    """The slots each source gets until one has had all of its ``left`` blocks or ``most`` slots are dealt, and their number; ``weights`` are whole."""
+    total = sum(weights.values())
+    names = sorted(weights, key=str)
+    share = [weights[n] for n in names]
     done, ready, got = [0] * len(names), [], {n: [] for n in names}
-    heapq.heapify(waiting)
-    for t in range(period):
+    waiting = [(0, k) for k in range(len(names))]
+    upto, t = [left[n] for n in names], 0
+    while True:
         while waiting and waiting[0][0] <= t:
             _, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(done[k] + 1) * period // share[k]), k))
+            heapq.heappush(ready, (-(-(done[k] + 1) * total // share[k]), k))
         if not ready:
             raise AssertionError("a slot without a released block")
         _, k = heapq.heappop(ready)
         got[names[k]].append(t)
+        t += 1
         done[k] += 1
-        if done[k] < share[k]:
-            heapq.heappush(waiting, (done[k] * period // share[k], k))
-    return got
+        if done[k] == upto[k] or t == most:
+            return got, t
+        heapq.heappush(waiting, (done[k] * total // share[k], k))
+
+
+def whole(weights: dict) -> dict[object, int]:
+    """Whole numbers in exactly the proportions of ``weights``."""
+    exact = {s: Fraction(int(w)) if w == int(w) else Fraction(float(w)) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * scale) for s, x in exact.items()}
+
+
+def plan(blocks: dict, weights: dict) -> dict[object, np.ndarray]:
+    """The slot of every block of each source."""
+    left, at, parts = {s: n for s, n in blocks.items() if n > 0}, 0, {s: [] for s in blocks}
+    exact = whole(weights)
+    while left:
+        got, length = phase({s: exact[s] for s in left}, left)
+        for s, slots in got.items():
+            parts[s].append(np.array(slots, np.int64) + at)
+            left[s] -= len(slots)
+        left = {s: n for s, n in left.items() if n > 0}
+        at += length
+    return {s: np.concatenate([np.zeros(0, np.int64), *x]) for s, x in parts.items()}
 
 
-def plan(blocks: dict, weights: dict, period: int = PERIOD) -> list[tuple[int, dict[object, tuple[int, list[int]]], int]]:
-    """Phases: (first slot, {source: (first block, slots in a period)}, period length)."""
-    left, done, at, phases = dict(blocks), {s: 0 for s in blocks}, 0, []
-    while left := {s: n for s, n in left.items() if n > 0}:
-        slots = shares({s: weights[s] for s in left}, period)
-        got, length = one_period(slots), sum(slots.values())
-        phases.append((at, {s: (done[s], got[s]) for s in left}, length))
-        # the phase lasts until the first source has had its last block
-        end = min((n - 1) // slots[s] * length + got[s][(n - 1) % slots[s]] for s, n in left.items()) + 1
-        for s in left:
-            full, rest = divmod(end, length)
-            had = full * slots[s] + int(np.searchsorted(got[s], rest))
-            left[s] -= had
-            done[s] += had
-        at += end
-    return phases
-
-
-def schedule(docs: DataFrame, targets: dict | None = None, source: str = "source", block: int = BLOCK, period: int = PERIOD, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def schedule(docs: DataFrame, targets: dict | None = None, source: str = "source", block: int = BLOCK, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry``, mix_source, block, slot and position (gapless from 0, the order of the mix) of every row.
 
     ``targets``: weight by source; without it, the square root of the source's rows.
@@ -106,21 +119,11 @@ def schedule(docs: DataFrame, targets: dict | None = None, source: str = "source
         weights = {s: targets.get(s[1:] if s else None, mean) for s in counts}
     if unfit := [s for s, w in weights.items() if not w > 0]:
         raise ValueError(f"target weights must be positive: {unfit}")
-    phases = plan({s: -(-n // block) for s, n in counts.items()}, weights, period)
+    slots = plan({s: -(-n // block) for s, n in counts.items()}, weights)
     # what a short last block leaves out moves later rows up
     short = {s: (-(-n // block), -n % block) for s, n in counts.items()}
 
-    def slots_of(s: str, numbers: np.ndarray) -> np.ndarray:
-        out = np.full(len(numbers), -1, np.int64)
-        for at, by, length in phases:
-            if s in by:
-                first, got = by[s]
-                here = numbers >= first
-                k = numbers[here] - first
-                out[here] = at + k // len(got) * length + np.asarray(got, np.int64)[k % len(got)]
-        return out
-
-    gaps = sorted((int(slots_of(s, np.array([n - 1]))[0]), g) for s, (n, g) in short.items())
+    gaps = sorted((int(slots[s][n - 1]), g) for s, (n, g) in short.items())
     gap_slots, gap_rows = np.array([x for x, _ in gaps], np.int64), np.concatenate([[0], np.cumsum([g for _, g in gaps], dtype=np.int64)]) if gaps else np.zeros(1, np.int64)
 
     own = [*carry, "mix_source"]
@@ -132,7 +135,7 @@ def schedule(docs: DataFrame, targets: dict | None = None, source: str = "source
             found = b.column("_s").dictionary_encode()
             for k, s in enumerate(found.dictionary.to_pylist()):
                 rows = found.indices.to_numpy() == k
-                slot[rows] = slots_of(s, number[rows])
+                slot[rows] = slots[s][number[rows]]
             position = slot * block + inside - gap_rows[np.searchsorted(gap_slots, slot, side="left")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(number), pa.array(slot), pa.array(position)], [*own, "block", "slot", "position"])
 

@@ -152,6 +152,17 @@ def test_pfair_lag():
         assert np.abs(had - (np.arange(period) + 1) * slots[name] / period).max() < 1
 
 
+def test_pfair_deviation_from_the_targets():
+    for weights in ({"a": 1, "b": 1, "c": 1}, {"a": 5, "b": 3, "c": 1, "d": 0.3}, {"a": 1.0, "b": 1 / 3000}):
+        total, n = sum(weights.values()), 60_000
+        got = mixing.plan({s: n for s in weights}, weights)
+        first = min(int(x[-1]) for x in got.values()) + 1  # until a source runs out
+        for s, slots in got.items():
+            had = np.bincount(slots[slots < first], minlength=first).cumsum()
+            assert np.abs(had - np.arange(1, first + 1) * (weights[s] / total)).max() < 1
+        assert sorted(np.concatenate(list(got.values())).tolist()) == list(range(n * len(weights)))
+
+
 def test_main_text_of_a_page_without_article():
     tree = html_blocks.grow(html_blocks.LABELLED)
     assert all(html_blocks.says(tree, x) == bool(y) for x, y in html_blocks.LABELLED)
