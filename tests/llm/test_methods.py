@@ -186,6 +186,12 @@ def test_url_models_on_seeds():
     assert sum(right) >= 0.9 * len(right)
 
 
+def test_url_lines_hold_the_registrable_name(spark):
+    hosts = {"www.bestcasino.com": "www.bestcasino", "blog.bestcasino.com:80": "blog.bestcasino", "www.free-pills.co.uk": "www.free-pills.co", "192.168.1.1": "192.168.1.1", "a.net": "a", "localhost": "localhost", "u:p@b.xn--p1ai.": "b", "[2001:db8::1]:80": "[2001:db8::1]"}
+    rows = spark.createDataFrame(list(hosts), "string").select("value", url_lm.line_of(F.col("value"), F.lit("/")).alias("line")).collect()
+    assert {r["value"]: r["line"] for r in rows} == hosts
+
+
 def test_url_models_count_every_line(spark):
     bodies = [f"{a}{b}{c}.x" for a in url_lm.SYLLABLES for b in url_lm.SYLLABLES for c in ("", "a")]
     pages = spark.createDataFrame([(k, f"https://{h}.example.com/news/{k}") for k, h in enumerate(bodies * 2)], "page_id long, url string")
