@@ -1,9 +1,11 @@
 """SpotSigs fingerprints: chains of content words that follow common words.
 
 Every common word (anchor) starts a signature: the anchor and the next ``CHAIN``
-words that are not common.  Each text also has one anchor at its start, so a
-text without common words still has a signature.  A text's fingerprint is the
-sorted set of its signatures' hashes.
+words that are not common.  Each text also has one anchor at its start.  In a
+text with fewer than one common word in ``SPARSE`` words (another language, code,
+lists) every word is an anchor and followed by any next ``CHAIN`` words, so that
+its signatures cover its whole length.  A text's fingerprint is the sorted set of
+its signatures' hashes.
 
 :func:`links` joins near copies: texts are first collapsed to classes of equal
 fingerprints; classes are partitioned by set length, and only partitions whose
@@ -28,6 +30,7 @@ from scrubwell.llm.common import cut
 from scrubwell.llm.textstats import STOPS
 
 CHAIN = 2
+SPARSE = 16
 _ANCHOR, _CONTENT = "\x01", "\x02"
 
 
@@ -37,7 +40,8 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     Words are marked as common or not and joined, so that splitting at the marks
     gives, for each content word, the anchors right before it.
     """
-    df = df.withColumn("_m", F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    df = df.withColumn("_m", F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")).withColumn("_w", F.col("_m"))
+    sparse = F.size(F.filter("_w", lambda w: w.isin(STOPS))) * SPARSE < F.size("_w")
     df = df.withColumn("_m", F.concat(F.lit("^" + _ANCHOR), F.array_join(F.transform("_m", lambda w: F.concat(w, F.when(w.isin(STOPS), _ANCHOR).otherwise(_CONTENT))), "")))
     df = df.withColumn("_m", F.split("_m", _CONTENT))
     df = df.withColumn("_c", F.transform("_m", lambda g: F.substring_index(g, _ANCHOR, -1)))
@@ -52,9 +56,12 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
             ),
         ).otherwise(F.array().cast("array<bigint>")),
     )
-    df = df.withColumn(out, F.array_sort(F.array_distinct(F.flatten(chains))))
+    word = lambda i: F.coalesce(F.get(F.col("_w"), i), F.lit(""))
+    every = F.transform("_w", lambda w, i: F.hash(w, *[word(i + k) for k in range(1, CHAIN + 1)]).cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
+    start = F.array(F.hash(F.lit("^"), *[word(F.lit(k)) for k in range(CHAIN)]).cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
+    df = df.withColumn(out, F.array_sort(F.array_distinct(F.when(sparse, F.concat(start, every)).otherwise(F.flatten(chains)))))
     # a text without any word has no signature
-    return df.withColumn(out, F.when(F.col(text).rlike(r"[\p{L}\p{N}]"), F.col(out)).otherwise(F.array().cast("array<bigint>"))).drop("_m", "_c")
+    return df.withColumn(out, F.when(F.col(text).rlike(r"[\p{L}\p{N}]"), F.col(out)).otherwise(F.array().cast("array<bigint>"))).drop("_m", "_c", "_w")
 
 
 def as_string(signatures: Column) -> Column:

@@ -108,6 +108,15 @@ def test_spotsigs_links_equal_brute_force(spark):
         assert {(r["a"], r["b"]) for r in spotsigs.links(docs, similarity=similarity).collect()} == expected
 
 
+def test_spotsigs_of_texts_without_common_words(spark):
+    words = [f"zz{k}" for k in range(100)]
+    texts = [words, [*words[:2], *(f"yy{k}" for k in range(98))], [*words[:60], "xx", *words[61:]], ["zz0", "zz1"]]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: set(r["signatures"]) for r in spotsigs.classes(docs).collect()}
+    assert len(found[0]) == 101 and len(found[0] & found[1]) == 1 and len(found[0] & found[2]) == 98
+    assert [(r["a"], r["b"]) for r in spotsigs.links(docs).collect()] == [(0, 2)]
+
+
 def test_classifier_on_held_out(spark):
     docs, labels = documents(spark), spark.read.parquet(f"{SF}/labels.parquet")
     scored = rule_ensemble.score(docs, rule_ensemble.train(docs, labels)).join(labels, "doc_id").filter("held_out").collect()
