@@ -7,7 +7,9 @@ here by Gini impurity from the small labelled table ``LABELLED``, says which
 blocks belong to the article.
 
 Defined results: null or empty html gives an empty text; unclosed and crossed
-elements end with their parent; repeated rows are extracted alike; very long
+elements end with their parent (of those whose content is never text, an unclosed
+one ends before the next block-level element, too; only script, style, textarea and
+title without an end reach to the page's end); repeated rows are extracted alike; very long
 pages are handled whole, one page in memory at a time; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -27,6 +29,9 @@ from pyspark.sql import functions as F
 BLOCK = frozenset("address article aside blockquote body br caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose content is never text.
 RAW = frozenset("script style noscript template textarea title svg math iframe object select button".split())
+#: Those of them that hold no elements, and those that a second one of their kind ends.
+WHOLE = frozenset("script style textarea title".split())
+SINGLE = frozenset("noscript iframe select button".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements that frame other blocks and so are kept on the stack.
 FRAME = frozenset("article aside blockquote body dialog div dl fieldset figure footer form head header html main menu nav ol section table ul".split())
@@ -53,6 +58,39 @@ class Block:
     article: bool  # inside article or main
 
 
+def raw_end(page: str, at: int, name: str, around: set[str]) -> int:
+    """Where the content of the RAW element ``name`` that starts at ``at`` ends: after its own end tag, if that comes before the parent's."""
+    own = re.compile(rf"</{name}\s*>", re.I)
+    end = own.search(page, at)
+    if name in WHOLE:
+        return end.end() if end else len(page)
+    opened: list[str] = []
+    first = None  # the first block-level element inside
+    k = at
+    while m := TOKEN.search(page, k):
+        k, inner = m.end(), (m[2] or "").lower()
+        if not inner:
+            continue
+        if m[1]:
+            if inner in opened:
+                while opened.pop() != inner:
+                    pass
+            elif inner == name:
+                return m.end()
+            elif inner in around:
+                return m.start() if first is None else first
+        else:
+            if first is None and (inner in BLOCK and inner != "option" or inner == name and name in SINGLE):
+                first = m.start()
+            if first is not None and (end is None or inner == name and name in SINGLE):
+                return first
+            if inner in WHOLE:
+                k = raw_end(page, k, inner, around)
+            elif inner not in VOID and not m[3].rstrip().endswith("/"):
+                opened.append(inner)
+    return len(page) if first is None else first
+
+
 def blocks(page: str | None) -> list[Block]:
     """The flat text blocks of a page in page order."""
     out: list[Block] = []
@@ -92,9 +130,8 @@ def blocks(page: str | None) -> list[Block]:
                 tag = stack[-1][0] if stack else "body"
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             if not m[3].rstrip().endswith("/"):
-                at = end.end() if end else len(page)
+                at = raw_end(page, at, name, {x[0] for x in stack} | {tag, "body", "html"})
             if name not in ("svg", "math"):
                 flush()
             continue

@@ -180,6 +180,16 @@ def test_main_text_of_a_page_without_article():
     assert html_blocks.main_text(page, tree) == f"{body} {body} end"
 
 
+def test_unclosed_raw_elements_end_with_their_parent():
+    tree, body = html_blocks.grow(html_blocks.LABELLED), " ".join(["some words of the story"] * 12)
+    article = f"<article><p>{body}</p></article>"
+    for name in ("button", "select", "svg", "math", "object", "iframe", "noscript", "template"):
+        for page in (f"<nav><{name}>Menu</nav>{article}", f"<nav><{name}>Menu</nav>{article}<div><{name}>x</{name}></div>", f"<body><{name}>Menu{article}</body>", f"<nav><{name}><b>Menu</b></{name}></nav>{article}"):
+            assert html_blocks.main_text(page, tree) == body, page
+    for name in ("script", "style", "textarea", "title"):
+        assert html_blocks.main_text(f"<nav></nav><{name}>x{article}", tree) == ""
+
+
 def test_main_text_of_supplied_pages(spark):
     import html
 
