@@ -151,7 +151,7 @@ class WarcReader(DataSourceReader):
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list) -> Iterator:
-        """Takes equality, IN, prefix and not-null on the header columns, and equality on ``headers[...]``; the rest goes back to Spark."""
+        """Takes equality, IN, prefix and not-null on the header columns; the rest, ``headers[...]`` too, goes back to Spark."""
         for f in filters:
             name = f.attribute[0] if len(f.attribute) == 1 else None
             if name in HEADER and isinstance(f, (EqualTo, EqualNullSafe)) and f.value is not None:
