@@ -163,13 +163,23 @@ def links(distinct: DataFrame, radius: int, blocks: int, tile_rows: int = TILE_R
 COUNTED, PARITY = 1 << 18, 512
 #: Members of a shingle that one task compares with one another, and entries that one group of small shingles holds.
 MEET_ROWS, GROUP_ROWS = 4_096, 20_000
+#: Up to so many members of a shingle are paired by a join.
+FEW = 8
+#: Up to so many hashes of texts (8 bytes each) are broadcast; beyond that, the texts are shuffled to them.
+BROADCAST_ROWS = 500_000
 
 
 def hashes(text: str, shingle: int) -> np.ndarray:
     """The distinct 64-bit hashes of the shingles of ``text``, sorted; of the whole sequence if it has fewer words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    runs = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(r)) for r in runs), dtype=np.uint64))
+    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    if len(h) < shingle:
+        h, shingle = np.concatenate([np.zeros(shingle - len(h), np.uint64), h]), shingle
+    runs = np.zeros(len(h) - shingle + 1, np.uint64)
+    for k in range(shingle):  # a polynomial in the words' hashes, then a final mix
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(runs)]
+    runs = (runs ^ (runs >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(runs ^ (runs >> np.uint64(32)))
 
 
 def shingle_levels(texts: DataFrame, shingle: int) -> np.ndarray:
@@ -189,71 +199,134 @@ def shingle_levels(texts: DataFrame, shingle: int) -> np.ndarray:
     return out
 
 
+def texts_once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+    """Marks and texts of the batches of a task, each mark once (8 bytes for each row of a task are kept)."""
+    seen: set[int] = set()
+    for b in batches:
+        new = [k for k, m in enumerate(b.column("mark").to_pylist()) if not (m in seen or seen.add(m))]
+        yield [b.column("mark")[k].as_py() for k in new], [b.column("_text")[k].as_py() for k in new]
+
+
+def sizes_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """mark, n, bits of every text (mark, _text): size and parity map of its shingle set.
+
+    A bit of the map is the parity of the shingles that fall on it, so two maps
+    differ in at most as many bits as the sets differ in shingles.  A map has PARITY
+    bits, doubled until it has half as many as the set has shingles; a longer map
+    folds onto a shorter one by exclusive-or of its halves.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for marks, texts in texts_once(batches):
+            size, bits = [], []
+            for t in texts:
+                h = hashes(t, shingle)
+                width = PARITY
+                while 2 * width < len(h) and width < 1 << 22:
+                    width *= 2
+                at = (h >> np.uint64(40)).astype(np.int64) % width
+                size.append(len(h))
+                bits.append(np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(size, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], ["mark", "n", "bits"])
+
+    return texts.select("mark", "_text").mapInArrow(run, "mark long, n int, bits array<bigint>")
+
+
 def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """mark, n, bits, prefix of every distinct text (mark, _text): size and parity map of its shingle set, and its first shingles.
+    """g, mark: the first shingles of every distinct text (mark, _text).
 
     In any one order of all shingles, sets of Jaccard ``similarity`` share one of
     their first n - ceil(similarity * n) + 1.  The order here puts shingles of full
-    cells last.  A bit of the map is the parity of the shingles that fall on it, so
-    two maps differ in at most as many bits as the sets differ in shingles.
+    cells last.  A task reports equal texts once; of several tasks each may report one.
     """
     levels = shingle_levels(texts, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size, bits, first = [], [], []
-            for t in b.column("_text"):
-                h = hashes(t.as_py(), shingle)
-                n = len(h)
+        for marks, texts in texts_once(batches):
+            first = []
+            for t in texts:
+                h = hashes(t, shingle)
                 order = np.argsort(levels[(h % np.uint64(COUNTED)).astype(np.int64)], kind="stable")
-                at = (h >> np.uint64(40)).astype(np.int64) % PARITY
-                size.append(n)
-                bits.append(np.packbits((np.bincount(at, minlength=PARITY) & 1).astype(np.uint8)).tobytes())
-                first.append(h[order[: n - math.ceil(similarity * n - 1e-9) + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("mark"), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["mark", "n", "bits", "prefix"])
+                first.append(h[order[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]].view(np.int64))
+            owner = np.repeat(np.array(marks, np.int64), [len(x) for x in first])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *first])), pa.array(owner)], ["g", "mark"])
 
-    return texts.select("mark", "_text").mapInArrow(run, "mark long, n int, bits binary, prefix array<bigint>").dropDuplicates(["mark"])
+    return texts.select("mark", "_text").mapInArrow(run, "g long, mark long")
 
 
-def meetings(sets: DataFrame) -> DataFrame:
-    """The entries of all shingles that several prefixes have, dealt to groups (key, i, j) in which they meet.
+def shared_entries(entries: DataFrame) -> DataFrame:
+    """g, mark: the entries whose shingle more than one text has, each once.  The entries are shuffled once, by shingle."""
+    entries = entries.repartition("g")
+    shared = entries.groupBy("g").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo <> hi").select("g")
+    return entries.join(shared, "g", "left_semi").distinct()
 
-    Small shingles share a group.  The members of a large one are cut into chunks,
-    and each pair of chunks meets in a group of its own.
-    """
-    entries = sets.select("mark", F.explode("prefix").alias("g"))
-    shared = cut(entries.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
-    groups = max(1, -(-(shared.agg(F.sum("c")).first()[0] or 0) // GROUP_ROWS))
-    chunks = F.ceil(F.col("c") / MEET_ROWS).cast("int")
-    df = entries.join(shared, "g").select("mark", "g", chunks.alias("chunks"))
-    df = df.withColumn("me", F.pmod(F.xxhash64("mark"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    key = F.when(F.col("chunks") > 1, F.col("g")).otherwise(F.pmod(F.xxhash64("g"), F.lit(groups)))
-    df = df.select("mark", "g", "me", key.alias("key"), F.least("me", "other").alias("i"), F.greatest("me", "other").alias("j"))
-    return df.join(sets.select("mark", "n", "bits"), "mark")
+
+def _bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``table`` (materialised), for broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(table) if table.count() <= rows else table
 
 
-def candidates(met: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """a, b: pairs of one shingle whose sizes and parity maps allow the similarity, and whose ``root`` differs.
+def possible(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sizes and parity maps allow the similarity."""
+    of = lambda c: sizes.select(F.col("mark").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
+    xor = lambda x, y: x.bitwiseXOR(y)
+    m = F.least(F.size("bitsa"), F.size("bitsb"))  # sizes within the similarity differ by less than two, and so do the maps' widths at most
+    folded = lambda c: F.when(F.size(c) > m, F.zip_with(F.slice(c, F.lit(1), m), F.slice(c, m + 1, m), xor)).otherwise(F.col(c))
+    differ = F.aggregate(F.zip_with(folded("bitsa"), folded("bitsb"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda n, x: n + x)
+    return both.filter(differ <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b")
 
-    ``every``: all of them; else the least and greatest neighbour of each text only.
+
+def stars(shared: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """a, b: each text with the best connected text of each of its shingles, where both may be alike."""
+    scores = _bounded(cut(shared.groupBy("mark").agg(F.count(F.lit(1)).alias("score"))))
+    hubs = shared.join(scores, "mark").groupBy("g").agg(F.max(F.struct("score", "mark")).alias("x")).select("g", F.col("x.mark").alias("b"))
+    pairs = shared.join(hubs, "g").filter("mark <> b").select(F.col("mark").alias("a"), "b").distinct()
+    return possible(pairs, sizes, similarity)
+
+
+def candidates(shared: DataFrame, sizes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """a, b (a < b): all pairs of texts that share a shingle and not a root, and whose sizes and parity maps allow the similarity.
+
+    ``roots``: node and root of texts that are linked already; a shingle whose
+    members have one root is left out.  The FEW members of a small shingle are
+    paired by a join.  The members of a large one are cut into chunks, and each pair
+    of chunks meets in a group of its own, block against block in the order of size:
+    blocks whose sizes differ too much are skipped, others are compared by
+    exclusive-or and bit counts.
     """
     part = (1 - similarity) / (1 + similarity)
+    known = _bounded(cut(roots))
+    rooted = shared.join(known, shared["mark"] == known["node"], "left").select("g", "mark", F.coalesce("root", "mark").alias("root"))
+    mixed = rooted.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g", "c")
+    rooted = cut(rooted.join(mixed, "g"))
+    few = rooted.filter(F.col("c") <= FEW)
+    pairs = few.select("g", F.col("mark").alias("a"), F.col("root").alias("ra")).join(few.select("g", F.col("mark").alias("b"), F.col("root").alias("rb")), "g").filter("a < b and ra <> rb").select("a", "b")
+
+    df = rooted.filter(F.col("c") > FEW).withColumn("chunks", F.ceil(F.col("c") / MEET_ROWS).cast("int"))
+    groups = max(1, -(-df.count() // GROUP_ROWS))
+    df = df.withColumn("me", F.pmod(F.xxhash64("mark"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    key = F.when(F.col("chunks") > 1, F.col("g")).otherwise(F.pmod(F.xxhash64("g"), F.lit(groups)))
+    df = df.select("mark", "root", "g", "me", key.alias("key"), F.least("me", "other").alias("i"), F.greatest("me", "other").alias("j"))
+    met = df.join(sizes, "mark")
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("g", kind="stable")
+        pdf = pdf.sort_values(["g", "n"], kind="stable")
         g, mark, n, me, root = (pdf[c].to_numpy() for c in ("g", "mark", "n", "me", "root"))
-        bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(-1, PARITY // 64)
+        bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, PARITY // 64), axis=0) for x in pdf["bits"]]).view(np.uint64)
         edges = np.flatnonzero(np.diff(g)) + 1
         fa, fb = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(g)], strict=True):
             here = np.arange(start, end)
-            if len(here) < 2 or every and (root[here] == root[start]).all():
+            if len(here) < 2 or (root[here] == root[start]).all():
                 continue
             left, right = (here, here) if key[1] == key[2] else (here[me[here] == key[1]], here[me[here] == key[2]])
             for k in range(0, len(left), 512):
                 x = left[k : k + 512]
-                p, q = np.nonzero((root[x][:, None] != root[right]) & (np.minimum(n[x][:, None], n[right]) >= similarity * np.maximum(n[x][:, None], n[right]) - 1e-9))
-                p, q = x[p], right[q]
+                low, high = np.searchsorted(n[right], [similarity * n[x[0]] - 1e-9, n[x[-1]] / similarity + 1e-9])
+                y = right[low:high]
+                p, q = np.nonzero((root[x][:, None] != root[y]) & (np.minimum(n[x][:, None], n[y]) >= similarity * np.maximum(n[x][:, None], n[y]) - 1e-9))
+                p, q = x[p], y[q]
                 if key[1] == key[2]:
                     p, q = p[p < q], q[p < q]
                 near = np.concatenate([np.bitwise_count(bits[p[c : c + 65_536]] ^ bits[q[c : c + 65_536]]).sum(axis=1, dtype=np.int32) for c in range(0, len(p), 65_536)] or [np.zeros(0, np.int32)])
@@ -261,30 +334,26 @@ def candidates(met: DataFrame, similarity: float, every: bool) -> DataFrame:
                 fa.append(mark[p[fine]])
                 fb.append(mark[q[fine]])
         a, b = np.concatenate(fa), np.concatenate(fb)
-        found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-        if not every:
-            both = pd.concat([found, found.rename(columns={"a": "b", "b": "a"})])
-            found = both.groupby("a", as_index=False)["b"].agg(["min", "max"]).melt("a", value_name="b")[["a", "b"]].drop_duplicates()
-        return found
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    found = met.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long")
-    if every:
-        return found.distinct()
-    ends = found.groupBy("a").agg(F.array(F.min("b"), F.max("b")).alias("b")).select("a", F.explode("b").alias("b"))
-    return ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return possible(pairs.unionByName(met.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long")).distinct(), sizes, similarity)
 
 
 def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose texts (mark, _text) have shingle sets of at least that Jaccard similarity."""
+    """The ``pairs`` (materialised) whose texts (mark, _text) have shingle sets of at least that Jaccard similarity.
+
+    A pair first gets the set of its ``b``, which may be the hub of many pairs, and
+    is then sent to its ``a``, so the sets travel to evenly spread keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = pa.array([hashes(t.as_py(), shingle).view(np.int64) for t in b.column("_text")], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("mark"), sets], ["mark", "s"])
+        for marks, texts in texts_once(batches):
+            sets = pa.array([hashes(t, shingle).view(np.int64) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), sets], ["mark", "s"])
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
-    sets = cut(texts.join(nodes, "mark", "left_semi").select("mark", "_text").mapInArrow(run, "mark long, s array<bigint>").dropDuplicates(["mark"]))
-    both = pairs.join(sets.select(F.col("mark").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("mark").alias("b"), F.col("s").alias("sb")), "b")
+    nodes = _bounded(cut(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()))
+    sets = texts.join(nodes, "mark", "left_semi").select("mark", "_text").mapInArrow(run, "mark long, s array<bigint>").dropDuplicates(["mark"])
+    both = pairs.join(sets.select(F.col("mark").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("mark").alias("a"), F.col("s").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
@@ -345,25 +414,37 @@ def one_of_each(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]) & (_mark(text) == kept["_mark"]), "left_semi")
 
 
-def one_of_near(docs: DataFrame, text: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stand for their group of texts alike in ``similarity`` (Jaccard of shingle sets) or more.
+def near_groups(docs: DataFrame, text: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """doc_id, mark (hash of the text) and root of every row: rows of one root are linked by texts alike in ``similarity`` or more.
 
     Exact but for clashes of 64-bit hashes: texts are grouped by their hash; all
     pairs that can be alike share a shingle of their :func:`prefixes`.  First each
-    text meets two of its candidates; then every candidate pair that these links
-    don't join yet is checked, so no link is lost to one that stood for it.
-    The least doc_id of a group stays, as in :func:`one_of_each`.
+    text meets the best connected text of each shingle; then every candidate pair
+    that these links don't join is checked on the sets, so no link is lost to one
+    that stood for it.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(text).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     ids = cut(own.select("doc_id", "mark"))
-    met = cut(meetings(cut(prefixes(own, shingle, similarity))))
-    some = cut(candidates(met.withColumn("root", F.col("mark")), similarity, every=False))
-    joined = cut(alike(some, own, shingle, similarity))
-    roots = components(joined)
-    labelled = met.join(roots, met["mark"] == roots["node"], "left").select(*met.columns, F.coalesce("root", "mark").alias("root"))
-    rest = cut(candidates(labelled, similarity, every=True).join(some, ["a", "b"], "left_anti"))
-    roots = components(joined.unionByName(alike(rest, own, shingle, similarity)))
-    ids = ids.join(roots, ids["mark"] == roots["node"], "left").select("doc_id", "mark", F.coalesce("root", "mark").alias("root"))
+    shared = cut(shared_entries(prefixes(own, shingle, similarity)))
+    sizes = cut(sizes_of(own, shingle).dropDuplicates(["mark"]))
+    first = cut(stars(shared, sizes, similarity))
+    linked = cut(alike(first, own, shingle, similarity))
+    met = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = cut(candidates(shared, sizes, components(linked), similarity).join(met, ["a", "b"], "left_anti"))
+    roots = components(linked.unionByName(alike(rest, own, shingle, similarity)))
+    return ids.join(roots, ids["mark"] == roots["node"], "left").select("doc_id", "mark", F.coalesce("root", "mark").alias("root"))
+
+
+def one_of_near(docs: DataFrame, text: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stand for their group of :func:`near_groups`: its least doc_id, and of different texts with that id one.
+
+    Null texts are empty, and all empty texts are alike; a null doc_id stays only
+    where a group has no other; rows equal in doc_id and text are one document and
+    all stay; of rows with one doc_id and different texts each text is judged by
+    itself; other columns, whatever their names, are carried along; an empty table
+    gives an empty result.
+    """
+    ids = near_groups(docs, text, similarity, shingle)
     # null ids only where a group has no other
     kept = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("x")).select(F.col("x.doc_id").alias("_kept"), F.col("x.mark").alias("_mark"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]) & (_mark(text) == kept["_mark"]), "left_semi")
