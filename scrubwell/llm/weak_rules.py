@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubwell.llm.common import cut, held
+from scrubwell.llm.common import cut
 from scrubwell.llm.textstats import BASE, with_base_stats, with_ratios
 
 #: name -> (votes good if, votes bad if), over the columns of textstats.
@@ -112,8 +112,11 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with their own columns."""
-    p = fit_on(voted(docs, []))
-    df = voted(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")])
-    df = df.select("_row", (~F.expr(BASE_FAILED) & (p >= threshold)).alias("_kept"))
-    return held(df, F.col("_kept")).select("_row.*")
+    """The rows of ``docs`` that :func:`judge` keeps, with their own columns.
+
+    The texts are read once: rows and votes are materialised in the shared folder,
+    the model is fitted on the votes, and the rows are filtered by them.
+    """
+    rows = voted(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")])
+    df = cut(rows.withColumn("_failed", F.expr(BASE_FAILED)).drop(*BASE))
+    return df.filter(~F.col("_failed") & (fit_on(df) >= threshold)).select("_row.*")
