@@ -1,50 +1,142 @@
 """Main text of HTML pages from flat text blocks.
 
-A page is cut into flat blocks at block-level tags.  Each block has its word
-count, link density and a few facts about the elements around it, and the word
-count and link density of the blocks before and after.  A decision tree, grown
-here by Gini impurity from the small labelled table ``LABELLED``, says which
-blocks belong to the article.
+A page is read once, from left to right, in time linear in its length, and cut
+into flat blocks at block-level tags.  Each block has its word count and link
+density, those of the blocks before and after, and a few facts about the elements
+around it.  A decision tree, grown here by Gini impurity from the labelled pages
+of :mod:`scrubwell.llm.html_layouts`, says which blocks belong to the article.
 
 Defined results: null or empty html gives an empty text; unclosed and crossed
 elements end with their parent (of those whose content is never text, an unclosed
 one ends before the next block-level element, too; only script, style, textarea and
-title without an end reach to the page's end); repeated rows are extracted alike; very long
-pages are handled whole, one page in memory at a time; an empty table gives an
-empty result; other columns are ignored.
+title without an end reach to the page's end); an attribute whose quote is never
+closed ends with its tag; a tag that the page's end cuts off is left out; repeated
+rows are extracted alike; very long pages are handled whole, one page in memory at
+a time; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrubwell.llm import html_layouts
+
 #: Elements whose edges end a block.
-BLOCK = frozenset("address article aside blockquote body br caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Elements whose content is never text.
-RAW = frozenset("script style noscript template textarea title svg math iframe object select button".split())
-#: Those of them that hold no elements, and those that a second one of their kind ends.
-WHOLE = frozenset("script style textarea title".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header html label legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+#: Elements whose content is text of their own, up to their own end tag.
+WHOLE = frozenset("script style textarea title xmp".split())
+#: Elements whose content is never an article's text, and those of them that a second one of their kind ends.
+MUTED = frozenset("noscript template svg iframe object select button audio video canvas datalist".split())
 SINGLE = frozenset("noscript iframe select button".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements that frame other blocks and so are kept on the stack.
-FRAME = frozenset("article aside blockquote body dialog div dl fieldset figure footer form head header html main menu nav ol section table ul".split())
-CHROME = frozenset("nav footer aside header form menu dialog fieldset head".split())
-#: Parts of class, id or role values that mark what surrounds an article.
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|replies|disqus|cookies?|consent|footer|footnav|header|masthead|menu|nav\w*|newsletter|notice|pager|pagination|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-]|\d)",
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that the next block-level element ends, and those that the next of their kind ends, inside the elements that hold them.
+SHORT = HEADINGS | {"p"}
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}
+HOLDS = {"ul": ("li",), "ol": ("li",), "menu": ("li",), "dl": ("dt", "dd"), "table": ("td", "th", "tr"), "tr": ("td", "th")}
+CHROME = frozenset("nav footer aside header form menu dialog fieldset head label legend search".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar status toolbar".split())
+PARAGRAPHS = SHORT | frozenset("blockquote pre figcaption dd dt li td th caption summary".split())
+#: Parts of class and id values that mark what surrounds an article; comments and other pages' articles even where an article element bears them.
+HEADER = "header|masthead"
+ASIDE = r"comments?|commentlist|replies|respond|disqus|ads?|advert\w*|adsense|related|recommend\w*|teasers?|promo\w*|sponsor\w*"
+OTHER = r"banner|breadcrumbs?|cookies?|consent|gdpr|footer|footnav|menu|nav\w*|newsletter|notices?|alert|pager|pagination|popup|modal|share|sharing|sidebar|sidenav|side|rail|social|subscribe|subscription|signup|login|toolbar|widgets?|toc|skip"
+_part = lambda words: re.compile(rf"(?:^|[-_])(?:{words})(?=$|[-_\d])")
+HEADER_PART, ASIDE_PART, OTHER_PART = _part(HEADER), _part(ASIDE), _part(OTHER)
+NEGATED = re.compile(r"(?:no|not|has|with|without|hide|show|is)[-_]|.*[-_](?:open|opened|closed|enabled|disabled|visible|hidden)$")
+STORY = frozenset("article post entry story hentry article-body article-content article-text articlebody entry-content post-content post-body story-body story-content story-text".split())
+#: Short phrases of what surrounds articles, and headings after which no article goes on.
+PHRASES = re.compile(
+    r"©|\bcopyright\b|all rights reserved|privacy policy|terms of (?:use|service)|\bcookies?\b|\bsubscribe\b|sign up|\bnewsletter\b|log ?in\b|sign in|\badvertisement\b|\bsponsored\b|share this|follow us|read more|leave a (?:reply|comment)"
+    r"|alle rechte vorbehalten|datenschutz|\bimpressum\b|\banzeige\b|tous droits réservés|mentions légales|\bpublicité\b|todos los derechos reservados|\bpublicidad\b",
     re.I,
 )
-#: Roles that an attribute may give to a plain element.
-ROLE = re.compile(r"""\brole\s*=\s*["']?(?:navigation|banner|contentinfo|complementary|search|form|alert|dialog|menu)""", re.I)
-NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+ENDING = re.compile(r"(?:\d+ )?(?:(?:reader )?comments?|replies|responses|kommentare|commentaires|comentarios)(?: ?\(\d+\))?:?|leave a (?:reply|comment)|related(?: (?:articles|posts|stories|links))?:?|more (?:stories|articles|from .{1,40})|you (?:may|might) also like:?|share this:?|add (?:a|your) comment", re.I)
+
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTE = re.compile(r"=\s*[\"']")
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
+EMPTY = re.compile(r"(?:^|[\s\"'])/\s*$")  # a tag that ends itself; not a slash at the end of an unquoted value
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+
+
+class Scanner:
+    """Finds strings in a page; a string's next place is remembered, so all searches together are linear."""
+
+    def __init__(self, page: str):
+        self.page, self.size, self.next = page, len(page), {}
+
+    def find(self, what: str, start: int) -> int:
+        at = self.next.get(what, -1)
+        if at < start:
+            at = self.page.find(what, start)
+            at = self.next[what] = self.size if at < 0 else at
+        return at
+
+    def tag_end(self, at: int) -> int:
+        """The ``>`` that ends the tag whose attributes start at ``at``; the page's size without one.
+
+        Quotes count where they open an attribute's value.  One that isn't closed, or
+        whose next quote opens the value of another tag, doesn't hide the ``>``.
+        """
+        page = self.page
+        while True:
+            end = self.find(">", at)
+            opened = QUOTE.search(page, at, end)
+            if opened is None:
+                return end
+            close = self.find(page[opened.end() - 1], opened.end())
+            if close > end and (close == self.size or page[close + 1 : close + 2].strip(" \t\r\n\f/>") or page[opened.end() : close].rstrip().endswith("=")):
+                return end
+            at = close + 1
+
+    def tokens(self) -> Iterator[tuple[str, str, str]]:
+        """(kind, name or text, attributes): text, start and end tags in page order; comments and declarations are left out."""
+        page, at = self.page, 0
+        while at < self.size:
+            tag = self.find("<", at)
+            if tag > at:
+                yield "text", page[at:tag], ""
+            at, first = tag + 1, page[tag + 1 : tag + 2]
+            if first == "!" and page.startswith("--", tag + 2):
+                at = tag + 5 if page.startswith(">", tag + 4) else self.find("-->", tag + 4) + 3
+            elif first and first in "!?":
+                at = self.find(">", tag) + 1
+            elif m := NAME.match(page, tag + 1 + (first == "/")):
+                end, name = self.tag_end(m.end()), m[0].lower()
+                if end == self.size:
+                    return
+                yield "end" if first == "/" else "start", name, page[m.end() : end]
+                at = end + 1
+                if first != "/" and name in WHOLE:
+                    own = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+                    at = self.find(">", own.end()) + 1 if own else self.size
+            elif first == "/":
+                at = self.find(">", tag) + 1
+            elif tag < self.size:
+                yield "text", "<", ""
+
+
+@dataclass(slots=True)
+class Node:
+    name: str
+    parent: int
+    attributes: str
+    holds: dict[str, int]  # where the nearest open elements are that the next of their kind ends
+    closed: bool = False
+    until: int = -1  # for a muted element: the item before which it ends if it isn't closed
+    last: int = 0  # the last node inside
+    words: int = 0
+    title: bool = False  # holds an h1
 
 
 @dataclass(slots=True)
@@ -53,111 +145,166 @@ class Block:
     words: int
     linked: int
     tag: str  # the innermost block-level element
-    chrome: bool  # inside menus, footers, forms and so on, by element
-    hinted: bool  # inside an element whose class, id or role says so
+    chrome: bool  # inside menus, footers, forms and so on, by element or role
+    hinted: bool  # inside an element whose class or id says so
     article: bool  # inside article or main
+    share: float = 0.0  # how much of the page's other text is inside article or main
+    boiler: bool = False
+    ended: bool = False
 
 
-def raw_end(page: str, at: int, name: str, around: set[str]) -> int:
-    """Where the content of the RAW element ``name`` that starts at ``at`` ends: after its own end tag, if that comes before the parent's."""
-    own = re.compile(rf"</{name}\s*>", re.I)
-    end = own.search(page, at)
-    if name in WHOLE:
-        return end.end() if end else len(page)
-    opened: list[str] = []
-    first = None  # the first block-level element inside
-    k = at
-    while m := TOKEN.search(page, k):
-        k, inner = m.end(), (m[2] or "").lower()
-        if not inner:
-            continue
-        if m[1]:
-            if inner in opened:
-                while opened.pop() != inner:
-                    pass
-            elif inner == name:
-                return m.end()
-            elif inner in around:
-                return m.start() if first is None else first
-        else:
-            if first is None and (inner in BLOCK and inner != "option" or inner == name and name in SINGLE):
-                first = m.start()
-            if first is not None and (end is None or inner == name and name in SINGLE):
-                return first
-            if inner in WHOLE:
-                k = raw_end(page, k, inner, around)
-            elif inner not in VOID and not m[3].rstrip().endswith("/"):
-                opened.append(inner)
-    return len(page) if first is None else first
+def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int] | None], list[list[int]]]:
+    """Nodes (parents first), items (node, text and link; null at a block's edge) and links (closed, first edge after its start)."""
+    nodes, items, links = [Node("", 0, "", {})], [], []
+    stack, opened, fresh = [0], Counter(), []
+    link, depth = -1, 0
+
+    def edge() -> None:
+        if items and items[-1] is not None:
+            items.append(None)
+        if link >= 0 and links[link][1] < 0:
+            links[link][1] = len(items)
+
+    def pop(closed: str | None = None) -> None:
+        nonlocal link
+        node = nodes[stack.pop()]
+        opened[node.name] -= 1
+        node.closed = node.name == closed
+        if link >= 0 and len(stack) < depth:
+            link = -1
+
+    for kind, name, attributes in Scanner(page).tokens():
+        if kind == "text":
+            items.append((stack[-1], name, link))
+        elif name == "br":
+            items.append((stack[-1], "\n", link))
+        elif kind == "end":
+            if name == "a" and link >= 0:
+                links[link][0], link = 1, -1
+            if name in BLOCK:
+                edge()
+            if opened[name] > 0:
+                while nodes[stack[-1]].name != name:
+                    pop()
+                pop(name)
+        elif name == "a":
+            if "href" in attributes.lower() and not EMPTY.search(attributes):
+                link, depth = len(links), len(stack)
+                links.append([0, -1])
+        elif name in BLOCK or name in MUTED:
+            if name in BLOCK:
+                edge()
+                for k in fresh:
+                    nodes[k].until = len(items)
+                fresh.clear()
+                while nodes[stack[-1]].name in SHORT:
+                    pop()
+            at = max((nodes[stack[-1]].holds.get(x, -1) for x in ENDS.get(name, ())), default=-1)
+            if name in SINGLE and opened[name] > 0:
+                while nodes[stack[-1]].name != name:
+                    pop()
+                pop()
+            while 0 <= at < len(stack):
+                pop()
+            if name in MUTED and EMPTY.search(attributes):
+                continue
+            holds = nodes[stack[-1]].holds
+            if name in HOLDS:
+                holds = {k: v for k, v in holds.items() if k not in HOLDS[name]}
+            if name in ENDS:
+                holds = {**holds, name: len(stack)}
+            nodes.append(Node(name, stack[-1], attributes, holds))
+            stack.append(len(nodes) - 1)
+            opened[name] += 1
+            if name in MUTED:
+                fresh.append(len(nodes) - 1)
+        elif name == "hr":
+            edge()
+    return nodes, items, links
+
+
+def told(attributes: str) -> dict[str, str]:
+    """The attributes that say what an element is for."""
+    low = attributes.lower()
+    if not any(x in low for x in ("class", "id", "role", "itemprop", "hidden", "style")):
+        return {}
+    return {(m[1] or m[5]).lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
 
 
 def blocks(page: str | None) -> list[Block]:
     """The flat text blocks of a page in page order."""
+    nodes, items, links = parse(page or "")
+    for k, x in enumerate(items):
+        if x is not None:
+            nodes[x[0]].words += len(x[1].split())
+    for k in range(len(nodes) - 1, 0, -1):
+        node, above = nodes[k], nodes[nodes[k].parent]
+        node.last = max(node.last, k)
+        above.last = max(above.last, node.last)
+        above.words += node.words
+        above.title |= node.title or node.name == "h1"
+    said = [told(n.attributes) for n in nodes]
+    role = [x.get("role", "").strip().lower() for x in said]
+    bears = [n.name in ("article", "main") or role[k] in ("main", "article") for k, n in enumerate(nodes)]
+    largest = max((k for k, x in enumerate(bears) if x), key=lambda k: (nodes[k].words, -k), default=-1)
+    chrome, hinted, article, muted = [False], [False], [False], [-1]
+    for k in range(1, len(nodes)):
+        n, p = nodes[k], nodes[k].parent
+        wraps = k <= largest <= n.last
+        names = [CAMEL.sub("-", x).lower() for v in (said[k].get("class", ""), said[k].get("id", "")) for x in v.split()]
+        story = bears[k] or said[k].get("itemprop", "").lower() == "articlebody" or any(x in STORY for x in names)
+        names = [x for x in names if not NEGATED.match(x)]
+        own = n.name in CHROME and not (n.name == "header" and article[p]) and not (n.name in ("form", "fieldset") and (wraps or n.title)) or role[k] in ROLES and not wraps
+        own |= "hidden" in said[k] or re.search(r"display\s*:\s*none", said[k].get("style", ""), re.I) is not None
+        hint = any(ASIDE_PART.search(x) for x in names) and not (n.name not in ("article", "section") and wraps and nodes[largest].name == "main")
+        if not bears[k] and not wraps:
+            hint |= any(OTHER_PART.search(x) for x in names) or not article[p] and any(HEADER_PART.search(x) for x in names)
+        if n.name in ("html", "body", "main"):
+            hint = False
+        chrome.append(chrome[p] or own)
+        hinted.append(hinted[p] or hint)
+        article.append(article[p] or story)
+        until = -1 if n.name not in MUTED else n.until if not n.closed and n.until >= 0 else len(items)
+        muted.append(max(until, muted[p]))
+
     out: list[Block] = []
     parts: list[str] = []
-    linked: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []
-    page, at, tag, in_link = page or "", 0, "body", 0
+    linked, at = 0, 0
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
+        nonlocal linked
+        text = " ".join("".join(parts).split())
         if text:
-            links = len(html.unescape(" ".join(linked)).split())
-            top = stack[-1] if stack else ("", False, False, False)
-            words = text.count(" ") + 1
-            out.append(Block(text, words, min(links, words), tag, *top[1:]))
+            n = text.count(" ") + 1
+            short = n <= 25
+            out.append(Block(text, n, min(linked, n), nodes[at].name, chrome[at], hinted[at], article[at], 0.0, short and PHRASES.search(text) is not None))
         parts.clear()
-        linked.clear()
-
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-            if in_link:
-                linked.append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        if m[1]:
-            if name == "a":
-                in_link = max(0, in_link - 1)
-            if name in BLOCK:
-                flush()
-                if name in FRAME and any(x[0] == name for x in stack):
-                    while stack.pop()[0] != name:
-                        pass
-                    in_link = 0
-                tag = stack[-1][0] if stack else "body"
+        linked = 0
+
+    for k, x in enumerate([*items, None]):
+        if x is None:
+            flush()
             continue
-        if name in RAW:
-            if not m[3].rstrip().endswith("/"):
-                at = raw_end(page, at, name, {x[0] for x in stack} | {tag, "body", "html"})
-            if name not in ("svg", "math"):
-                flush()
+        node, text, link = x
+        if k < muted[node]:
             continue
-        if name == "a":
-            in_link = 1
-        if name in BLOCK:
-            flush()
-            if name in FRAME:
-                top = stack[-1] if stack else ("", False, False, False)
-                told = m[3]
-                hint = bool(told) and (bool(ROLE.search(told)) or any(HINTS.search(next(filter(None, v), "")) for v in NAMED.findall(told)))
-                inside = top[3] or name in ("article", "main")
-                stack.append((name, top[1] or (name in CHROME and not (name == "header" and inside)), top[2] or hint, inside))
-            if name != "br" and name not in VOID:
-                tag = name
-    rest = page[at:]
-    if "<" in rest and re.search(r"<[a-zA-Z/!][^>]*$", rest):
-        rest = rest[: re.search(r"<[a-zA-Z/!][^>]*$", rest).start()]  # a tag that the page's end cuts off
-    parts.append(rest)
-    if in_link:
-        linked.append(rest)
-    flush()
+        text = html.unescape(text)
+        parts.append(text)
+        at = node
+        if link >= 0 and (links[link][0] or k < links[link][1] or links[link][1] < 0):
+            linked += len(text.split())
+    clean = [b for b in out if not b.chrome and not b.hinted]
+    share = sum(b.words for b in clean if b.article) / max(1, sum(b.words for b in clean))
+    ended: set[bool] = set()
+    for b in out:
+        b.share, b.ended = share, b.article in ended
+        if b.words <= 6 and (b.tag in HEADINGS or b.tag not in PARAGRAPHS) and ENDING.fullmatch(b.text):
+            b.ended = True
+            ended |= {b.article, False}
     return out
 
 
-FEATURES = ["words", "density", "prev_words", "prev_density", "next_words", "next_density", "chrome", "hinted", "article", "item"]
+FEATURES = ["words", "density", "prev_words", "prev_density", "next_words", "next_density", "chrome", "hinted", "article", "share", "heading", "paragraph", "item", "boiler", "ended"]
 
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:
@@ -167,55 +314,44 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
     rows = []
     for k, b in enumerate(found):
         before, after = own[k - 1] if k else none, own[k + 1] if k + 1 < len(own) else none
-        rows.append((*own[k], *before, *after, float(b.chrome), float(b.hinted), float(b.article), float(b.tag in ("li", "td", "th", "dt", "dd"))))
+        item = b.tag in ("li", "td", "th", "dt", "dd")
+        rows.append((*own[k], *before, *after, *map(float, (b.chrome, b.hinted, b.article, b.share, b.tag in HEADINGS, b.tag in PARAGRAPHS, item, b.boiler, b.ended))))
     return rows
 
 
-#: The labelled table: blocks by FEATURES, and whether they belong to an article.  Made by hand from
-#: what pages look like: with and without article elements, with and without telling class names.
-LABELLED: list[tuple[tuple[float, ...], int]] = [
-    # words, link density, before: words, density, after: words, density, chrome, hinted, article, list item
-    ((1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 1), 0), ((1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1), 0), ((2, 1.0, 1, 1.0, 8, 0.0, 1, 0, 0, 1), 0),
-    ((1, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 1), 0), ((3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), 0), ((4, 1.0, 3, 1.0, 12, 0.0, 0, 1, 0, 0), 0),
-    ((8, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0), 0), ((12, 0.0, 2, 1.0, 60, 0.0, 0, 1, 0, 0), 0), ((40, 0.0, 30, 0.0, 8, 0.0, 0, 1, 0, 0), 0),
-    ((40, 0.1, 30, 0.0, 50, 0.0, 0, 1, 1, 0), 0), ((25, 0.0, 60, 0.0, 18, 0.0, 0, 1, 1, 0), 0), ((6, 0.0, 70, 0.0, 9, 0.5, 0, 1, 1, 1), 0),
-    ((9, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 0), 0), ((14, 0.2, 3, 0.0, 0, 0.0, 1, 0, 0, 0), 0), ((60, 0.0, 80, 0.0, 10, 0.0, 1, 0, 0, 0), 0),
-    ((5, 0.0, 3, 1.0, 4, 0.0, 1, 0, 1, 0), 0), ((30, 0.0, 30, 0.0, 6, 0.0, 1, 0, 1, 0), 0), ((10, 1.0, 80, 0.0, 8, 1.0, 0, 0, 0, 1), 0),
-    ((4, 0.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0), 0), ((3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), 0), ((6, 0.0, 4, 1.0, 0, 0.0, 0, 0, 0, 0), 0),
-    ((5, 0.8, 50, 0.0, 6, 0.9, 0, 0, 0, 0), 0), ((12, 0.9, 60, 0.0, 11, 1.0, 0, 0, 1, 1), 0), ((8, 1.0, 40, 0.0, 9, 1.0, 0, 0, 1, 1), 0),
-    ((9, 0.0, 9, 0.0, 30, 0.0, 0, 0, 1, 0), 1), ((1, 0.0, 9, 0.0, 40, 0.0, 0, 0, 1, 0), 1), ((2, 0.0, 60, 0.0, 50, 0.0, 0, 0, 1, 0), 1),
-    ((60, 0.0, 8, 0.0, 50, 0.0, 0, 0, 1, 0), 1), ((100, 0.0, 40, 0.0, 9, 0.0, 0, 0, 1, 0), 1), ((5, 0.0, 30, 0.0, 9, 0.2, 0, 0, 1, 0), 1),
-    ((1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 1, 0), 1), ((1, 0.0, 20, 0.0, 9, 0.0, 0, 0, 1, 0), 1), ((30, 0.3, 40, 0.0, 20, 0.0, 0, 0, 1, 0), 1),
-    ((14, 0.0, 30, 0.0, 12, 0.0, 0, 0, 1, 1), 1), ((6, 0.0, 20, 0.0, 7, 0.0, 0, 0, 1, 1), 1), ((12, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 0), 1),
-    ((7, 0.0, 1, 1.0, 80, 0.0, 0, 0, 1, 0), 1), ((3, 0.0, 1, 1.0, 8, 1.0, 0, 0, 1, 0), 1), ((20, 0.5, 40, 0.0, 30, 0.0, 0, 0, 1, 0), 1),
-    ((60, 0.0, 50, 0.0, 70, 0.1, 0, 0, 0, 0), 1), ((40, 0.1, 10, 0.0, 60, 0.0, 0, 0, 0, 0), 1), ((25, 0.0, 60, 0.0, 30, 0.0, 0, 0, 0, 0), 1),
-    ((8, 0.0, 70, 0.0, 50, 0.0, 0, 0, 0, 0), 1), ((10, 0.0, 40, 0.0, 80, 0.0, 0, 0, 0, 0), 1), ((90, 0.0, 2, 1.0, 9, 0.0, 0, 0, 0, 0), 1),
-    ((16, 0.0, 30, 0.0, 40, 0.0, 0, 0, 0, 1), 1), ((45, 0.0, 8, 0.0, 0, 0.0, 0, 0, 0, 0), 1), ((50, 0.2, 60, 0.0, 0, 0.0, 0, 0, 0, 0), 1),
-]
-
-
-def grow(rows: list[tuple[tuple[float, ...], int]], least: int = 1) -> tuple | float:
-    """A decision tree: (feature, cut, not above, above), or the share of label 1 in a leaf."""
-    ones = sum(y for _, y in rows)
-    share = ones / len(rows)
-    if share in (0, 1) or len(rows) < 2 * least:
-        return share
-    best = None
-    for k in range(len(FEATURES)):
-        values = sorted({x[k] for x, _ in rows})
-        for low, high in zip(values, values[1:], strict=False):
-            at = (low + high) / 2
-            left = [y for x, y in rows if x[k] <= at]
-            right = [y for x, y in rows if x[k] > at]
-            if min(len(left), len(right)) < least:
-                continue
-            impurity = sum(len(s) * (p := sum(s) / len(s)) * (1 - p) for s in (left, right))
-            if best is None or impurity < best[0] - 1e-12:
-                best = (impurity, k, at)
-    if best is None:
-        return share
+def labelled(layouts: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled table: FEATURES of every block of the layouts, and whether it belongs to the article."""
+    x, y = [], []
+    for layout in html_layouts.LAYOUTS if layouts is None else layouts:
+        for fill in range(html_layouts.FILLS):
+            found = blocks(html_layouts.filled(layout, fill))
+            x += features(found)
+            y += [html_layouts.MARK in b.text for b in found]
+    return np.array(x, np.float64), np.array(y, np.float64)
+
+
+def grow(x: np.ndarray, y: np.ndarray, least: int = 4, gain: float = 1.5) -> tuple | float:
+    """A decision tree: (feature, cut, not above, above), or the share of label 1 in a leaf.
+
+    Leaves have at least ``least`` rows; a split lowers the Gini impurity of its
+    rows (summed over them) by at least ``gain``.
+    """
+    impure = lambda n, ones: 2 * ones * (n - ones) / np.maximum(n, 1)
+    n, share = len(y), float(y.mean())
+    best = (impure(n, y.sum()) - gain, -1, 0.0)
+    for k in range(x.shape[1]):
+        order = np.argsort(x[:, k], kind="stable")
+        v, below, ones = x[order, k], np.arange(1, n), np.cumsum(y[order])[:-1]
+        total = impure(below, ones) + impure(n - below, y.sum() - ones)
+        total[(v[1:] == v[:-1]) | (below < least) | (n - below < least)] = np.inf
+        if n > 1 and total.min() < best[0] - 1e-12:
+            at = int(total.argmin())
+            best = (float(total[at]), k, float(v[at] + v[at + 1]) / 2)
     _, k, at = best
-    return (k, at, grow([r for r in rows if r[0][k] <= at], least), grow([r for r in rows if r[0][k] > at], least))
+    if k < 0:
+        return share
+    low = x[:, k] <= at
+    return (k, at, grow(x[low], y[low], least, gain), grow(x[~low], y[~low], least, gain))
 
 
 def says(tree: tuple | float, x: tuple[float, ...]) -> bool:
@@ -232,7 +368,7 @@ def main_text(page: str | None, tree: tuple | float) -> str:
 
 def extract(pages: DataFrame, source: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``keep``, text (the main text) and n_chars of every page."""
-    tree = grow(LABELLED)
+    tree = grow(*labelled())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
