@@ -33,7 +33,7 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_lm.judge(pages, URL_RULES, url_lm.train(pages))
+    return url_lm.judge(pages, URL_RULES, url_lm.train(pages, URL_RULES))
 
 
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

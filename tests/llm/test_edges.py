@@ -121,7 +121,7 @@ def test_large_ids_beside_null_ids(spark):
     big = (1 << 62) + 1
     rows = spark.createDataFrame([(None, "a b", "s", "x://h/p"), (big, "c d e", "s", "x://h/p")], "doc_id long, text string, source string, url string").coalesce(1)
     pages = rows.withColumnRenamed("doc_id", "page_id")
-    for got in (packing.packed(rows), mixing.schedule(rows), simhash.cluster(rows), html_blocks.extract(pages, "text"), url_lm.judge(pages, {}, url_lm.train(pages))):
+    for got in (packing.packed(rows), mixing.schedule(rows), simhash.cluster(rows), html_blocks.extract(pages, "text"), url_lm.judge(pages, {}, url_lm.train(pages, {}))):
         assert {r[0] for r in got.collect()} == {None, big}
 
 
@@ -133,13 +133,13 @@ def test_html(pages):
 
 
 def test_urls(pages):
-    model = url_lm.train(pages)
     rules = {"net/": "block", "org/fr/": "allow"}
+    model = url_lm.train(pages, rules)
     got = {r["page_id"]: r for r in url_lm.judge(pages, rules, model).collect()}
     assert (got[1]["host"], got[1]["path"], got[1]["rule"], got[1]["verdict"]) == ("a.net", "/x", "net/", "block")
     assert (got[2]["host"], got[2]["path"], got[2]["rule"]) == ("", "", None)
     assert got[4]["path"] == "/fr/" and got[4]["verdict"] == "allow"
-    assert url_lm.judge(pages.limit(0), rules, url_lm.train(pages.limit(0))).count() == 0
+    assert url_lm.judge(pages.limit(0), rules, url_lm.train(pages.limit(0), rules)).count() == 0
 
 
 def test_warc(spark, pages):
