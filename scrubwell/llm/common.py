@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; where none is set, a temporary one in local mode (tests), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="scrubwell-")
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext.getCheckpointDir():
@@ -56,7 +59,7 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[str], out: str, rows
     ``keys`` must not be null.  ``df`` is read twice, so it should be materialised.
     """
     total = df.count()
-    buckets = max(8, -(-total // rows_per_task))
+    buckets = max(64, -(-total // rows_per_task))
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     both = [*keys, "_bucket"]
     before = (
@@ -68,6 +71,14 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[str], out: str, rows
     return numbered.join(before, both).withColumn(out, F.col("_before") + F.col("_rn") - 1).drop("_bucket", "_before", "_rn")
 
 
+def copies(df: DataFrame, n: str, out: str, chunk: int = 4_096) -> DataFrame:
+    """Each row ``n`` times, numbered from 0 in ``out``; a row with very many copies is written by many tasks."""
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"cast(({n} - 1) div {chunk} as bigint)")))
+    parts = df.withColumn("_chunk", at).repartition(*[F.col(c) for c in df.columns], "_chunk")
+    upto = F.least(F.col(n).cast("long"), (F.col("_chunk") + 1) * chunk) - 1
+    return parts.withColumn(out, F.explode(F.sequence(F.col("_chunk") * chunk, upto))).drop("_chunk")
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A driver-made table whose size the caller bounds, marked for broadcast."""
     return F.broadcast(spark.createDataFrame(rows, schema))

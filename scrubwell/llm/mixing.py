@@ -9,13 +9,15 @@ Weights are the exact targets: as whole numbers of any size, never rounded to
 slots.  When a source runs out, a new phase begins in which the others share its
 weight, and counts from its first slot.  No row is dropped.
 
-Scale: the driver simulates every block and holds its slot (8 bytes a block);
-rows are ranked within their source in hash buckets, so a source with most of
-the rows is ranked by many tasks.
+Scale: the driver simulates the blocks and holds a slot for each (8 bytes), so a
+block is BLOCK rows, or one part in MAX_BLOCKS of all rows where that is more:
+the law is the same at every size, in units of a block, and the plan never has
+more than MAX_BLOCKS blocks and one for each source.  Rows are ranked within their
+source in hash buckets, so a source with most of the rows is ranked by many tasks.
 
 Defined results: null sources form one source, written null; sources without a
-target get the mean target; repeated rows are placed one after another; an empty
-table gives an empty result; other columns are ignored.
+target get ``default``, or the mean target; repeated rows are placed one after
+another; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,36 +34,11 @@ from pyspark.sql import functions as F
 
 from scrubwell.llm.common import cut, salted_rank
 
-BLOCK = 16
-PERIOD = 1_024
+BLOCK, MAX_BLOCKS = 16, 1 << 20
 
 
-def shares(weights: dict, period: int = PERIOD) -> dict:
-    """Whole slots in a period for each source, at least one, by largest remainder: a rounded mix, which :func:`plan` does not use."""
-    period = max(period, 4 * len(weights))
-    total = sum(weights.values())
-    exact = {s: max(1.0, w / total * period) for s, w in weights.items()}
-    scale = sum(exact.values())
-    exact = {s: e / scale * period for s, e in exact.items()}
-    out = {s: max(1, int(e)) for s, e in exact.items()}
-    order = sorted(exact, key=lambda s: (out[s] - exact[s], str(s)))
-    short = period - sum(out.values())
-    for s in order[: max(0, short)]:
-        out[s] += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s], str(s)))] -= 1
-    return out
-
-
-def one_period(slots: dict) -> dict[object, list[int]]:
-    """The slots of one period that each source gets: earliest deadline first among released blocks."""
-    period = sum(slots.values())
-    got, _ = phase(slots, {s: period + 1 for s in slots}, period)
-    return got
-
-
-def phase(weights: dict, left: dict, most: int | None = None) -> tuple[dict[object, list[int]], int]:
-    """The slots each source gets until one has had all of its ``left`` blocks or ``most`` slots are dealt, and their number; ``weights`` are whole."""
+def phase(weights: dict, left: dict) -> tuple[dict[object, list[int]], int]:
+    """The slots each source gets until one has had all of its ``left`` blocks, and their number; ``weights`` are whole."""
     total = sum(weights.values())
     names = sorted(weights, key=str)
     share = [weights[n] for n in names]
@@ -78,7 +55,7 @@ def phase(weights: dict, left: dict, most: int | None = None) -> tuple[dict[obje
         got[names[k]].append(t)
         t += 1
         done[k] += 1
-        if done[k] == upto[k] or t == most:
+        if done[k] == upto[k]:
             return got, t
         heapq.heappush(waiting, (done[k] * total // share[k], k))
 
@@ -104,7 +81,7 @@ def plan(blocks: dict, weights: dict) -> dict[object, np.ndarray]:
     return {s: np.concatenate([np.zeros(0, np.int64), *x]) for s, x in parts.items()}
 
 
-def schedule(docs: DataFrame, targets: dict | None = None, source: str = "source", block: int = BLOCK, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def schedule(docs: DataFrame, targets: dict | None = None, source: str = "source", block: int = BLOCK, carry: tuple[str, ...] = ("doc_id",), default: float | None = None) -> DataFrame:
     """``carry``, mix_source, block, slot and position (gapless from 0, the order of the mix) of every row.
 
     ``targets``: weight by source; without it, the square root of the source's rows.
@@ -115,10 +92,11 @@ def schedule(docs: DataFrame, targets: dict | None = None, source: str = "source
     if targets is None:
         weights = {s: n**0.5 for s, n in counts.items()}
     else:
-        mean = sum(targets.values()) / max(1, len(targets))
-        weights = {s: targets.get(s[1:] if s else None, mean) for s in counts}
+        other = sum(targets.values()) / max(1, len(targets)) if default is None else default
+        weights = {s: targets.get(s[1:] if s else None, other) for s in counts}
     if unfit := [s for s, w in weights.items() if not w > 0]:
         raise ValueError(f"target weights must be positive: {unfit}")
+    block = max(block, -(-sum(counts.values()) // MAX_BLOCKS))
     slots = plan({s: -(-n // block) for s, n in counts.items()}, weights)
     # what a short last block leaves out moves later rows up
     short = {s: (-(-n // block), -n % block) for s, n in counts.items()}
