@@ -1,11 +1,15 @@
 """Best-fit packing into bins of several permitted lengths.
 
-Pieces of equal length are alike, so the packing is planned on the histogram of
-lengths (at most the largest capacity has rows, whatever the corpus): lengths go
-in decreasing order, each into the open bins with the least room that fits; where
-none fits, bins of the permitted length with the least cost for each token are
-opened, the room left counted as far as shorter pieces can fill it; at the end
-each bin shrinks to the shortest permitted length that holds its contents.
+A bin costs something for its being one, its length, and the square of its length
+over ``ATTENTION`` (a sequence's attention grows so), so a long bin must earn its
+length.  Pieces of equal length are alike, so the packing is planned on the
+histogram of lengths (at most the largest capacity has rows, whatever the corpus):
+lengths go in decreasing order, each into the open bins with the least room that
+fits; where none fits, bins of the permitted length with the least cost for each
+token are opened, the room left counted as far as shorter pieces can fill it; at
+the end each bin shrinks to the shortest permitted length that holds its contents.
+The permitted lengths are chosen jointly: a plan is made for every subset of them
+that new bins may have, and the one with the least total cost is taken.
 Equal bins are planned as one group, so the plan's size follows the number of
 lengths, not of rows.  Rows then find their bin by their rank within their length.
 
@@ -19,6 +23,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +34,12 @@ from pyspark.sql import functions as F
 from scrubwell.llm.common import SPACE, cut, salted_rank
 
 CAPACITIES = (512, 1024, 2048)
-#: Cost of a bin: its length, and something for its being a bin.
-BIN_COST = 16.0
+#: Cost of a bin: something for its being one, its length, and its length's square over ATTENTION.
+BIN_COST, ATTENTION = 16.0, 4096.0
+
+
+def cost(capacity: int, bin_cost: float = BIN_COST, attention: float = ATTENTION) -> float:
+    return bin_cost + capacity + capacity**2 / attention
 
 
 def n_tokens(text: Column) -> Column:
@@ -38,27 +47,37 @@ def n_tokens(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")).cast("long")
 
 
-def pack(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
-    """The plan for ``histogram`` (length -> pieces).
+Plan = tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]
+
+
+def pack(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST, attention: float = ATTENTION) -> Plan:
+    """The cheapest of the plans (:func:`plan`) whose new bins have a subset of the permitted lengths."""
+    price = {c: cost(c, bin_cost, attention) for c in sorted(capacities)}
+    longest = max(histogram, default=0)
+    if not 0 <= longest <= max(price) or min(histogram, default=1) < 1:
+        raise ValueError("a piece fits no bin")
+    subsets = [x for n in range(1, len(price) + 1) for x in itertools.combinations(price, n) if x[-1] >= longest]
+    plans = [plan(histogram, x, price) for x in subsets]
+    return min(plans, key=lambda x: sum(bins * price[c] for _, bins, c in x[1]))
+
+
+def plan(histogram: dict[int, int], caps: tuple[int, ...], price: dict[int, float]) -> Plan:
+    """The plan for ``histogram`` (length -> pieces) with new bins of the lengths ``caps``, shrunk to any length in ``price``.
 
     Returns moves (length, first rank, pieces for each bin, first bin, offset) and
     groups (first bin, bins, capacity).  A move sends piece ``first rank + i`` to
     bin ``first bin + i // k`` at ``offset + (i % k) * length``.
     """
-    caps = sorted(capacities)
-    top = caps[-1]
     room: dict[int, list[tuple[int, int, int]]] = {}  # room left -> groups (first bin, bins, capacity)
     moves, next_bin = [], 0
     rest = sum(length * n for length, n in histogram.items())
     for length in sorted(histogram, reverse=True):
-        if not 0 < length <= top:
-            raise ValueError(f"a piece of length {length} fits no bin")
         n, rank = histogram[length], 0
         rest -= length * n
         while n:
             fit = min((r for r in room if r >= length), default=None)
             if fit is None:
-                fit, group = _open(length, n, rest, caps, bin_cost, next_bin)
+                fit, group = _open(length, n, rest, caps, price, next_bin)
                 next_bin += group[1]
             else:
                 group = room[fit].pop()
@@ -77,20 +96,19 @@ def pack(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, bi
                 rank, n, full = rank + n, 0, full + 1
             if full < bins:
                 room.setdefault(fit, []).append((first + full, bins - full, cap))
-    groups = [(first, bins, min(c for c in caps if c >= cap - r)) for r, gs in room.items() for first, bins, cap in gs]
+    groups = [(first, bins, min(c for c in price if c >= cap - r)) for r, gs in room.items() for first, bins, cap in gs]
     return moves, sorted(groups)
 
 
-def _open(length: int, n: int, rest: int, caps: list[int], bin_cost: float, next_bin: int) -> tuple[int, tuple[int, int, int]]:
+def _open(length: int, n: int, rest: int, caps: tuple[int, ...], price: dict[int, float], next_bin: int) -> tuple[int, tuple[int, int, int]]:
     """New bins of the capacity with the least cost for each token that they will hold."""
 
-    def cost(c: int) -> float:
+    def for_a_token(c: int) -> float:
         k = min(c // length, n)
         bins = max(1, n // k)
-        used = k * length + min(c - k * length, rest / bins)
-        return (c + bin_cost) / used
+        return price[c] / (k * length + min(c - k * length, rest / bins))
 
-    cap = min((c for c in caps if c >= length), key=lambda c: (cost(c), c))
+    cap = min((c for c in caps if c >= length), key=lambda c: (for_a_token(c), c))
     return cap, (next_bin, -(-n // (cap // length)), cap)
 
 
@@ -101,11 +119,11 @@ def pieces(docs: DataFrame, tokens: Column, top: int) -> DataFrame:
     return df.select("doc_id", "piece", F.least(F.lit(top).cast("long"), F.col("_n") - F.col("piece") * top).cast("int").alias("length"))
 
 
-def packed(docs: DataFrame, text: str = "text", capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST) -> DataFrame:
-    """doc_id, piece, length, bin_id, capacity and offset (in its bin) of every piece."""
-    df = cut(pieces(docs, n_tokens(F.col(text)), max(capacities)))
+def packed(docs: DataFrame, text: str = "text", capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST, attention: float = ATTENTION, tokens: Column | None = None) -> DataFrame:
+    """doc_id, piece, length, bin_id, capacity and offset (in its bin) of every piece.  ``tokens``: a text's length; without it, its words."""
+    df = cut(pieces(docs, n_tokens(F.col(text)) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long"), max(capacities)))
     histogram = {r["length"]: r["n"] for r in df.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # max(capacities) rows at most
-    moves, groups = pack(histogram, capacities, bin_cost)
+    moves, groups = pack(histogram, capacities, bin_cost, attention)
     moves.sort(key=lambda m: (m[0], m[1]))
     m = np.array(moves, np.int64).reshape(-1, 5)
     g = np.array(groups, np.int64).reshape(-1, 3)
