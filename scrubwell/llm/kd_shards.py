@@ -12,8 +12,9 @@ Every dimension is a 24-bit code followed by 24 bits of a hash of the row, so a
 value that a third of all rows share can still be split.
 
 Defined results: null texts weigh ``OVERHEAD`` bytes; null metadata is a value
-of its own; rows that are equal in every column stay together; an empty table
-gives an empty result; other columns are ignored.
+of its own; rows that are equal in all that the tree reads are numbered, and so
+are spread like any others; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scrubwell.llm.common import cut, salted_rank, small_frame
+from scrubwell.llm.common import copies, cut, salted_rank, small_frame
 
 OVERHEAD = 16
 BITS, DIGIT = 24, 12
@@ -40,7 +41,9 @@ def _codes(docs: DataFrame, text: str) -> DataFrame:
         F.crc32(F.encode(body, "utf-8")).alias("text_crc32"),
         *[F.coalesce(F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit((1 << BITS) - 1)) + 1, F.lit(0)).alias(f"c_{c}") if c in docs.columns else F.lit(0).cast("long").alias(f"c_{c}") for c in ("source", "lang")],
     )
-    tie = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(1 << BITS))
+    # equal rows are counted and written again with a number, which the tie-breaking hash reads
+    df = copies(df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")), "_n", "_copy")
+    tie = F.pmod(F.xxhash64("doc_id", "text_crc32", "_copy"), F.lit(1 << BITS))
     place = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)).cast("double") / float(span) * float((1 << BITS) - 1)), F.lit(0)).cast("long")
     code = {"source": F.col("c_source"), "lang": F.col("c_lang"), "length": F.floor(F.log2("size") * (1 << 18)).cast("long"), "doc_id": place}
     return df.select("doc_id", "size", "text_crc32", *[(F.shiftleft(code[d], BITS) + tie).alias(f"k_{d}") for d in DIMENSIONS], F.lit(1).cast("long").alias("node"))
