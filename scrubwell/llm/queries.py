@@ -12,6 +12,9 @@ from scrubwell.llm.common import scratch_path, table
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
+#: Target weights of the mix by source, and that of every other source.
+TARGETS, OTHER_TARGET = {"src0": 5.0, "src1": 3.0, "src2": 2.0, "src3": 0.3}, 1.0
+
 
 def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = kd_shards.kd_shards(table(spark, sf_dir, "documents"), shards=40)
@@ -46,7 +49,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.schedule(table(spark, sf_dir, "documents")).withColumnRenamed("mix_source", "source")
+    return mixing.schedule(table(spark, sf_dir, "documents"), TARGETS, default=OTHER_TARGET).withColumnRenamed("mix_source", "source")
 
 
 def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,10 +80,8 @@ ORACLE_SQL: dict[str, str] = {
         d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM p),
         b AS (SELECT *, array_to_string(list_transform(range(40), lambda i: format('{:04b}', ('0x' || substr(hex, i + 1, 1))::INT)), '') AS bits FROM d),
         f AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: substr(bits, 5 * i + j + 1, 1)::INT * (16 >> j)))::INT, 1)), '') AS digest,
-                     min(page_id) OVER (PARTITION BY hex) AS first_id FROM b)
-        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, digest AS payload_digest,
-               CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN page_id > first_id THEN first_id END AS refers_to
+                     min(page_id) OVER (PARTITION BY hex) AS first_id, row_number() OVER (PARTITION BY hex ORDER BY page_id NULLS LAST) AS rn FROM b)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN rn > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN rn > 1 THEN first_id END AS refers_to
         FROM f
     """,
 }
