@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -80,5 +81,8 @@ def copies(df: DataFrame, n: str, out: str, chunk: int = 4_096) -> DataFrame:
 
 
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A driver-made table whose size the caller bounds, marked for broadcast."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """A driver-made table whose size the caller bounds, marked for broadcast; a literal, so no Python runs on executors."""
+    fields = [x.split() for x in schema.split(", ")]
+    text = json.dumps([dict(zip((n for n, _ in fields), r, strict=True)) for r in rows])
+    kind = f"array<struct<{', '.join(f'{n}: {t}' for n, t in fields)}>>"
+    return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(text), kind))))
