@@ -10,12 +10,15 @@ its signatures' hashes.
 :func:`links` joins near copies: texts are first collapsed to classes of equal
 fingerprints; classes are partitioned by set length, and only partitions whose
 lengths allow the wanted Jaccard similarity meet, on the rarest signatures that
-a similar set must share (prefix filter); candidates are compared exactly.
+a similar set must share (prefix filter), those of a common signature in chunks;
+candidates are compared exactly.  :func:`near_classes` gives every document its
+class, the group of classes that links join, and its number of links.
 
 Defined results: null text is empty; an empty text has no signature and an empty
 fingerprint, and likeness 1 to another empty one; repeated rows have equal
-fingerprints, and follow each other in the order of their text; an empty table
-gives an empty result; other columns are ignored.
+fingerprints; rows of one doc_id follow each other in the order of their text's
+hash, and are dealt to many tasks by it; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +30,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scrubwell.llm.common import cut
+from scrubwell.llm.simhash import components
 from scrubwell.llm.textstats import STOPS
 
 CHAIN = 2
 SPARSE = 16
+#: Members of a signature that meet in one group.
+MEET_ROWS = 2_000
 _ANCHOR, _CONTENT = "\x01", "\x02"
 
 
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: the sorted array of distinct signature hashes (32 bits, as long) of the text column ``text``.
+    """Adds ``out``: the sorted array of distinct signature hashes (64 bits) of the text column ``text``.
 
     Words are marked as common or not and joined, so that splitting at the marks
     gives, for each content word, the anchors right before it.
@@ -52,20 +58,20 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
             (F.instr(g, _ANCHOR) > 0) & ((i == 0) | (after(i, 0) != "")),
             F.transform(
                 F.slice(F.split(g, _ANCHOR), 1, F.size(F.split(g, _ANCHOR)) - 1),
-                lambda a: F.hash(a, *[after(i, k) for k in range(CHAIN)]).cast("long").bitwiseAND(F.lit((1 << 32) - 1)),
+                lambda a: F.xxhash64(a, *[after(i, k) for k in range(CHAIN)]),
             ),
         ).otherwise(F.array().cast("array<bigint>")),
     )
     word = lambda i: F.coalesce(F.get(F.col("_w"), i), F.lit(""))
-    every = F.transform("_w", lambda w, i: F.hash(w, *[word(i + k) for k in range(1, CHAIN + 1)]).cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
-    start = F.array(F.hash(F.lit("^"), *[word(F.lit(k)) for k in range(CHAIN)]).cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
+    every = F.transform("_w", lambda w, i: F.xxhash64(w, *[word(i + k) for k in range(1, CHAIN + 1)]))
+    start = F.array(F.xxhash64(F.lit("^"), *[word(F.lit(k)) for k in range(CHAIN)]))
     df = df.withColumn(out, F.array_sort(F.array_distinct(F.when(sparse, F.concat(start, every)).otherwise(F.flatten(chains)))))
     # a text without any word has no signature
     return df.withColumn(out, F.when(F.col(text).rlike(r"[\p{L}\p{N}]"), F.col(out)).otherwise(F.array().cast("array<bigint>"))).drop("_m", "_c", "_w")
 
 
 def as_string(signatures: Column) -> Column:
-    return F.array_join(F.transform(signatures, lambda s: F.lower(F.lpad(F.hex(s), 8, "0"))), "")
+    return F.array_join(F.transform(signatures, lambda s: F.lower(F.lpad(F.hex(s), 16, "0"))), "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -93,7 +99,11 @@ def links(docs: DataFrame, text: str = "text", similarity: float = 0.8) -> DataF
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(similarity))).cast("int")
     prefix = cut(prefix.select("id", "n", "g", step.alias("p")))
     other = prefix.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "g", F.explode(F.array("p", F.col("p") - 1)).alias("p"))
-    met = prefix.join(other, ["g", "p"]).filter((F.col("n2") >= similarity * F.col("n") - 1e-9) & (F.col("n") >= similarity * F.col("n2") - 1e-9) & (F.col("id") != F.col("id2")))
+    # the members of a common signature are cut into chunks; each row meets each chunk in a group of its own
+    sizes = other.groupBy("g", "p").agg(F.ceil(F.count(F.lit(1)) / MEET_ROWS).cast("int").alias("chunks"))
+    other = other.join(sizes, ["g", "p"]).withColumn("chunk", F.pmod(F.xxhash64("id2"), F.col("chunks")).cast("int")).drop("chunks")
+    prefix = prefix.join(sizes, ["g", "p"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    met = prefix.join(other, ["g", "p", "chunk"]).filter((F.col("n2") >= similarity * F.col("n") - 1e-9) & (F.col("n") >= similarity * F.col("n2") - 1e-9) & (F.col("id") != F.col("id2")))
     pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
     full = pairs.join(reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return full.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).filter(F.col("jaccard") >= similarity - 1e-12)
@@ -105,31 +115,47 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.select("doc_id", "signatures", F.sha2(as_string(F.col("signatures")), 256).alias("fingerprint_hash"))
 
 
+def near_classes(docs: DataFrame, text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """doc_id, class_id, group_id and n_links of every row.
+
+    Class: equal fingerprints, named by the least doc_id.  Group: classes that
+    :func:`links` join, directly or not, named alike.  n_links: the class's links.
+    Classes without a signature, or without any doc_id, have no links.
+    """
+    own = classes(docs, text).select("doc_id", "fingerprint_hash")
+    least = own.groupBy("fingerprint_hash").agg(F.min("doc_id").alias("class_id"))
+    found = cut(links(docs, text, similarity))
+    degrees = found.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    roots = components(found.select("a", "b")).select(F.col("node").alias("class_id"), F.col("root").alias("group_id"))
+    named = least.join(degrees, "class_id", "left").join(roots, "class_id", "left").select("fingerprint_hash", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return own.join(named, "fingerprint_hash").select("doc_id", "class_id", "group_id", "n_links")
+
+
 def edited(docs: DataFrame, text: str = "text", rows_per_task: int = 4_000) -> DataFrame:
     """Fingerprints of every text and of the text whose last quarter the next text's beginning replaces.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next.  The next text is the one with the next doc_id
-    (null ids first, ties in the order of the text; the first after the last).
+    (null ids first, ties in the order of the text's hash; the first after the last).
 
-    Texts are shuffled once, into ranges of doc_id.  Each range's first row is
-    also sent to the range before it, so that every row finds the next one in
-    its own window.
+    Texts are shuffled once, into ranges of (doc_id, hash), and signed there.  Each
+    range's first row is also sent to the range before it, so that every row finds
+    the next one in its own window.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    ids = docs.select(key.alias("_id"))
-    part = ranges(ids, "_id", rows_per_task)
-    heads = ids.select("_id", part.alias("_part")).groupBy("_part").agg(F.min("_id").alias("_id"))
-    # one row a range, MAX_RANGES at most: small enough for one window and a broadcast
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    ids = cut(df.select("_id", "_h"))
+    part = ranges(ids, rows_per_task)
+    heads = ids.select("_id", "_h", part.alias("_part")).groupBy("_part").agg(F.min(F.struct("_id", "_h")).alias("_x"))
+    # one row a range, two for each MAX_RANGES at most: small enough for one window and a broadcast
     everywhere = Window.partitionBy(F.lit(0))
-    heads = heads.select("_id", F.coalesce(F.lag("_part").over(everywhere.orderBy("_part")), F.max("_part").over(everywhere)).alias("_to"))
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    df = with_signatures(df, "_text", "_sig").withColumn("_part", part).join(F.broadcast(heads), "_id", "left")
+    heads = heads.select("_x.*", F.coalesce(F.lag("_part").over(everywhere.orderBy("_part")), F.max("_part").over(everywhere)).alias("_to"))
+    df = df.withColumn("_part", part).join(F.broadcast(heads), ["_id", "_h"], "left")
     own = F.struct(F.col("_part").alias("part"), F.lit(False).alias("copy"))
     sent = F.struct(F.col("_to").alias("part"), F.lit(True).alias("copy"))
     df = df.withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, sent))))
-    df = df.select("doc_id", "_id", "_text", "_sig", "_at.part", "_at.copy")
-    w = Window.partitionBy("part").orderBy("copy", "_id", "_text")
+    df = with_signatures(df.select("doc_id", "_id", "_h", "_text", "_at.part", "_at.copy").repartition("part"), "_text", "_sig")
+    w = Window.partitionBy("part").orderBy("copy", "_id", "_h")
     df = df.withColumn("_next", F.lead(F.struct("_text", "_sig")).over(w)).filter(~F.col("copy"))
     n, tail = F.length("_text"), F.floor(F.length("_text") / 4).cast("int")
     df = df.select(
@@ -147,26 +173,25 @@ def edited(docs: DataFrame, text: str = "text", rows_per_task: int = 4_000) -> D
 MAX_RANGES = 1 << 16
 
 
-def ranges(ids: DataFrame, key: str, rows_per_task: int) -> Column:
-    """A number for each value of ``key`` (long), in its order, with about ``rows_per_task`` rows to a number.
+def ranges(ids: DataFrame, rows_per_task: int) -> Column:
+    """A number for each (_id, _h) in their order, with about ``rows_per_task`` rows to a number.
 
-    At most 256 quantiles, found approximately, and equal steps between two of them.
+    At most 256 quantiles of the ids, found approximately, and equal steps between
+    two of them; an id that fills several quantiles is cut by equal steps of _h.
     """
     n = ids.count()
     parts = max(1, min(MAX_RANGES, -(-n // rows_per_task)))
     coarse = min(parts, 256)
     if coarse == 1:
         return F.lit(0)
-    real = ids.filter(F.col(key) > -(1 << 63))
-    bounds = sorted(set(real.agg(F.percentile_approx(key, [k / coarse for k in range(coarse + 1)], 20_000)).first()[0] or []))
-    at = F.col(key)
-    if len(bounds) < 2:
-        return _search(at, bounds, 0, len(bounds))
+    found = ids.agg(F.percentile_approx("_id", [k / coarse for k in range(coarse + 1)], 20_000)).first()[0] or []
+    bounds = sorted(set(found))
+    at, fine = F.col("_id"), max(1, -(-parts // coarse))
     place = _search(at, bounds, 0, len(bounds))  # 0: up to the first bound; len: over the last
-    fine = max(1, -(-parts // coarse))
-    if fine == 1:
-        return place
     listed = F.array(*[F.lit(b) for b in bounds])
     low, high = F.get(listed, place - 1), F.get(listed, place)
-    inner = F.when((place > 0) & (place < len(bounds)), F.floor((at - low).cast("double") / (high - low).cast("double") * (fine - 1e-6)))
-    return (place * fine + F.coalesce(inner, F.lit(0))).cast("int")
+    inner = F.when((place > 0) & (place < len(bounds)) & (low > -(1 << 63)), F.floor((at - low).cast("double") / (high - low).cast("double") * (fine - 1e-6)))
+    steps = F.get(F.array(*[F.lit(fine * found.count(b) if found.count(b) > 1 else 0) for b in bounds]), place)
+    hashed = F.floor((F.col("_h").cast("double") / 2.0**64 + 0.5) * (steps - 1e-6))
+    inside = F.when((at == high) & (steps > 0), fine + hashed).otherwise(F.coalesce(inner, F.lit(0)))
+    return (place.cast("long") * (fine * (coarse + 3)) + inside).cast("long")

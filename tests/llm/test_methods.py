@@ -96,11 +96,28 @@ def test_spotsigs(spark):
         text = r["text"][: n - n // 4] + after["text"][: n // 4]
         x = got[r["doc_id"]]
         assert x["edited_sha256"] == hashlib.sha256(text.encode()).hexdigest() and x["n_chars"] == n
-        a, b = ({s[i : i + 8] for i in range(0, len(s), 8)} for s in (x["fingerprint"], got[after["doc_id"]]["fingerprint"]))
+        a, b = ({s[i : i + 16] for i in range(0, len(s), 16)} for s in (x["fingerprint"], got[after["doc_id"]]["fingerprint"]))
         assert abs(x["near_next"] - (len(a & b) / len(a | b) if a | b else 1)) < 1e-9
 
 
-def test_spotsigs_links_equal_brute_force(spark):
+def test_spotsigs_of_a_repeated_id(spark):
+    """Rows of one id, and of no id, are dealt to many ranges; the chain of next texts stays whole."""
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 7, 7, k]), " ".join(f"w{rng.randint(0, 999)}" for _ in range(12))) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(keyed, key=lambda r: (-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["h"]))
+    expected = Counter()
+    for k, r in enumerate(order):
+        after, n = order[(k + 1) % len(order)]["text"], len(r["text"])
+        expected[r["doc_id"], hashlib.sha256((r["text"][: n - n // 4] + after[: n // 4]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in spotsigs.edited(docs, rows_per_task=9).collect()) == expected
+    ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.xxhash64("text").alias("_h"))
+    assert max(r["count"] for r in ids.groupBy(spotsigs.ranges(ids, 9).alias("p")).count().collect()) < 60
+
+
+def test_spotsigs_links_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "MEET_ROWS", 3)
     docs = documents(spark)
     sets = {}
     for r in spotsigs.classes(docs).groupBy("fingerprint_hash").agg(F.min("doc_id").alias("id"), F.first("signatures").alias("s")).collect():
@@ -108,6 +125,9 @@ def test_spotsigs_links_equal_brute_force(spark):
     for similarity in (0.8, 0.3):
         expected = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])}
         assert {(r["a"], r["b"]) for r in spotsigs.links(docs, similarity=similarity).collect()} == expected
+        groups, degree = components(list(sets), expected), Counter(x for pair in expected for x in pair)
+        got = spotsigs.near_classes(docs, similarity=similarity).collect()
+        assert len(got) == docs.count() and all(r["group_id"] == groups[r["class_id"]] and r["n_links"] == degree[r["class_id"]] for r in got)
 
 
 def test_spotsigs_of_texts_without_common_words(spark):
