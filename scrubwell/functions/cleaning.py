@@ -26,5 +26,9 @@ CLEANING: list[Rule] = [
 ]
 
 
+#: What a line must hold for a rule to change it.
+GUARD = r"[!?\t_~@]|\.\.|Dr\. *\."
+
+
 def clean(text: Column) -> Column:
-    return rewrite_lines(text, CLEANING)
+    return rewrite_lines(text, CLEANING, GUARD)

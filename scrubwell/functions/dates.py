@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,19 +24,19 @@ def _after(words: str) -> Rule:
 
 
 def _any(words: str, gap: str) -> str:
-    """Alternatives, longest first."""
+    """Alternatives; as the placeholder must follow, their order doesn't matter."""
     return "|".join(f"{w}{gap}" for w in words.split())
 
 
 #: Weekdays (Thursday's capitals are spelled as in the notes' rules), examinations, prepositions.
 WEEKDAYS = [("SUNDAY", "[Ss]unday"), ("MONDAY", "[Mm]onday"), ("TUESDAY", "[Tt]uesday"), ("WEDNESDAY", "[Ww]ednesday"), ("THURDSAY", "[Tt]hursday"), ("FRIDAY", "[Ff]riday"), ("SATURDAY", "[Ss]aturday")]
-EXAMS_LOWER = "graphy? echo bal xr kub e[cek]g t[te]e"
-EXAMS_UPPER = "[Cc]ulture GRAPHY? BAL CSF EGD E[CEK]G"
+EXAMS_LOWER = "bal graphy? xr kub echo e[cek]g t[te]e"
+EXAMS_UPPER = "BAL GRAPHY? [Cc]ulture CSF EGD E[CEK]G"
 IMAGING = "CTAP CT[AU]? MR[ACI]P? XR"
-IMAGING_2 = "S?PEC?T ECHO KUB US T[TE]E"
 PORTABLE = "[Pp][Oo][Rr][Tt][Aa][Bb][Ll][Ee]"
-ENDINGS = "[A-Za-z]+opsy [A-Za-z]+opy [A-Za-z]+omy"
-PREPOSITIONS = "[Dd]ated [Oo]n [Ff]rom [Ss]ince [Tt]hrough [Tt]hru [Tt]rough [Tt]o [Uu]ntil"
+IMAGING_2 = "S?PEC?T KUB ECHO US T[TE]E"
+ENDINGS = "[A-Za-z]+opy [A-Za-z]+omy [A-Za-z]+opsy"
+PREPOSITIONS = "[Ff]rom [Ss]ince [Tt]hrough [Tt]hru [Tt]rough [Tt]o [Uu]ntil"
 PREPOSITIONS_UPPER = "DATED ON FROM SINCE THROUGH THRU TROUGH TO UNTIL"
 DAY_PARTS = "[Mm]orning [Aa]fternoon [Ee]vening [Nn]ight"
 DAY_PARTS_UPPER = "MORNING AFTERNOON EVENING NIGHT"
@@ -50,8 +52,8 @@ KEYWORD_RULES: list[Rule] = [
     _after(" +BAL| +CSF?| +EGD| +E[ECK]G"),
     ("sub", rf"{DAY}([:,]? [a ]?[the ]?[A-Za-z]+ *)([Cc]ulture|graph)", r"\1/\2\3\4"),
     _after(rf" +CT[AU]?| +MR[ACI]P?| +C?XR|[^.,\n]*{PORTABLE}| +S?PEC?T| +KUB| +ECHO| +US| +T[TE]E"),
-    _after(" +[A-Za-z]+opsy| +[A-Za-z]+opy| +[A-Za-z]+omy"),
-    _before("[Oo]n +the |" + _any(PREPOSITIONS, " +")),
+    _after(" +[A-Za-z]+opy| +[A-Za-z]+omy| +[A-Za-z]+opsy"),
+    _before(_any("[Dd]ated [Oo]n", " +") + "|[Oo]n +the |" + _any(PREPOSITIONS, " +")),
     _before(_any(PREPOSITIONS_UPPER, " +")),
     ("sub", f"({_any(DAY_PARTS, ' +')})([Oo][Ff] +){DAY}", r"\1\2\3/\4"),
     ("sub", f"({_any(DAY_PARTS_UPPER, ' +')})([Oo][Ff] +){DAY}", r"\1\2\3/\4"),
@@ -102,12 +104,22 @@ def resolve_bands(text: Column) -> Column:
         plain = (~x.rlike("^0[0-9]")) & ((~y.rlike("^0[0-9]")) | ((unit == "month") & x.try_cast("int").between(6, 11)))
         return F.when((unit != "") & plain & n.isNotNull(), F.concat(F.lit("in "), n.cast("string"), F.regexp_replace(part, r"^in \[\*\*[0-9]+-[0-9]+\*\*\]", ""))).otherwise(part)
 
-    return F.when(text.contains("in [**"), F.array_join(F.transform(F.split(text, rf"(?={_RANGE.replace('(', '(?:')})"), one), "")).otherwise(text)
+    return F.array_join(F.transform(F.split(text, rf"(?={_RANGE.replace('(', '(?:')})"), one), "")
+
+
+def by_line(text: Column, f: Callable[[Column], Column], guard: str) -> Column:
+    """``f``, which never reaches over a line's end, on the lines that match ``guard``; the others are left at once."""
+    return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(guard), f(x)).otherwise(x)), "\n")
+
+
+def keyword_rules(text: Column) -> Column:
+    """The keyword rules and the late ones, without the bands."""
+    return by_line(text, lambda x: substitute(x, [*KEYWORD_RULES, *LATE_RULES]), r"\[\*\*[-0-9]+\*\*\]")
 
 
 def resolve(text: Column) -> Column:
-    """All rules that need no surrogate map; notes without placeholders are left at once."""
-    return F.when(text.contains("[**"), substitute(resolve_bands(substitute(text, KEYWORD_RULES)), LATE_RULES)).otherwise(text)
+    """All rules that need no surrogate map; all of them take placeholders of digits."""
+    return by_line(text, lambda x: substitute(resolve_bands(substitute(x, KEYWORD_RULES)), LATE_RULES), r"\[\*\*[-0-9]+\*\*\]")
 
 
 #: What counts as a year in range, and the forms of dates in placeholders.
@@ -148,7 +160,7 @@ def backdate(text: Column, shift: Column) -> Column:
         month = lambda p: F.replace(get(p, 1), F.lit("-"), F.lit(""))
         short = r"\[\*\*([0-9]+)\*\*\]"
         return (
-            F.when(~s.startswith("[**"), s)
+            F.when(~(s.startswith("[**") & s.rlike(r"^\[\*\*[-0-9/]+\*\*\]$")), s)
             .when(s.rlike(f"^{YMD}$"), F.concat(get(YMD, 2), F.lit("/"), get(YMD, 3), F.lit("/"), (number(get(YMD, 1)) - shift).cast("string")))
             .when(s.rlike(f"^{YM}$"), F.concat(month(YM), F.lit("/"), (number(get(YM, 2)) - shift).cast("string")))
             .when(s.rlike(f"^{Y}$"), (number(get(Y, 1)) - shift).cast("string"))

@@ -82,8 +82,8 @@ def mention(n_sentences: int = 5, id_required: bool = True) -> str:
 def patient_info(text: Column, n_sentences: int = 5) -> Column:
     """Struct of the first mention, its placeholders and the age; nulls without one."""
     p = mention(n_sentences)
-    found = text.rlike(p)
-    return F.struct(*[F.when(found, F.regexp_extract(text, p, k)).alias(n) for k, n in enumerate(("full_name_mention", "first_name_placeholder", "last_name_placeholder", "patient_age"), 1)])
+    found = F.regexp_extract(text, p, 1)  # the parts are then read from the mention alone
+    return F.struct(*[F.when(found != "", F.regexp_extract(found, p, k) if k > 1 else found).alias(n) for k, n in enumerate(("full_name_mention", "first_name_placeholder", "last_name_placeholder", "patient_age"), 1)])
 
 
 def quoted(literal: Column) -> Column:

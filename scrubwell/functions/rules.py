@@ -24,18 +24,23 @@ def substitute(text: Column, rules: list[Rule]) -> Column:
     return text
 
 
-def _step(lines: Column, kind: str, group: list[Rule]) -> Column:
-    if kind == "sub":
-        return F.transform(lines, lambda x: substitute(x, group))
-    return F.filter(lines, lambda x: ~x.rlike("|".join(f"(?:{r[1]})" for r in group)))
+#: Stands for a dropped line until the rules are through.
+DROPPED = "\x00"
 
 
-def rewrite_lines(text: Column, rules: list[Rule]) -> Column:
-    """Applies the rules to each line; dropped lines go with their line break."""
-    lines = F.split(text, "\n")
-    for kind, group in groupby(rules, key=lambda r: r[0]):
-        lines = _step(lines, kind, list(group))
-    return F.array_join(lines, "\n")
+def rewrite_lines(text: Column, rules: list[Rule], guard: str | None = None) -> Column:
+    """Applies the rules to each line; dropped lines go with their line break.
+
+    ``guard``: a pattern that every line a rule can change matches; other lines are
+    left at once.
+    """
+
+    def one(x: Column) -> Column:
+        steps = [("sub", f"^.*(?:{r[1]}).*$", DROPPED) if r[0] == "drop" else r for r in rules]
+        done = substitute(x, steps)
+        return done if guard is None else F.when(x.rlike(guard), done).otherwise(x)
+
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), one), lambda x: x != DROPPED), "\n")
 
 
 def sql_text(value: str) -> str:

@@ -27,6 +27,13 @@ def with_names(notes: DataFrame, mapping: DataFrame, text: str, n_sentences: int
     return df.withColumns({"patient_full_name": full, "patient_full_name_tfreq": freq}).drop("_first", "_last")
 
 
+def mention_chain(notes: DataFrame, mapping: DataFrame, first: DataFrame, last: DataFrame, key: str, subject: str, text: str, n_sentences: int = 5) -> DataFrame:
+    """Notes that name their patient, one for each different mention, with both names in the vocabulary, one for each subject; the first by ``key`` each time."""
+    df = with_names(notes.select(key, subject, text), mapping, text, n_sentences).filter("patient_full_name_tfreq > 0")
+    df = keep_first(df.select(key, subject, "full_name_mention", "patient_age", "patient_full_name"), ["full_name_mention"], [key])
+    return keep_first(in_vocabulary(df, first, last, "patient_full_name"), [subject], [key])
+
+
 def in_vocabulary(df: DataFrame, first: DataFrame, last: DataFrame, name: str) -> DataFrame:
     """Rows whose first and last name both are single-token names."""
     df = df.withColumns({"_f": F.substring_index(name, " ", 1), "_l": F.substring_index(name, " ", -1)})
@@ -47,8 +54,9 @@ def predicted_names(samples: DataFrame, first: DataFrame, last: DataFrame, text:
 
 
 def round_robin(items: DataFrame, prompts: DataFrame, n_prompts: int) -> DataFrame:
-    """Item i gets prompt i mod n."""
-    return items.join(F.broadcast(prompts), F.pmod(items["item"], F.lit(n_prompts)) == prompts["prompt_index"])
+    """Item i gets prompt i mod n; few prompts are broadcast."""
+    prompts = F.broadcast(prompts) if n_prompts <= 100_000 else prompts
+    return items.join(prompts, F.pmod(items["item"], F.lit(n_prompts)) == prompts["prompt_index"])
 
 
 def first_by_window(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

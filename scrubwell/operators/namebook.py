@@ -28,7 +28,7 @@ def with_vocab_ids(names: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def products(first: DataFrame, last: DataFrame) -> DataFrame:
-    """All first with all last names, and the product of their weights."""
+    """All first with all last names, and the product of their weights: as many rows as the two (small) books multiply to."""
     return first.select(F.col("name").alias("first_name"), F.col("weight").alias("_w")).crossJoin(last.select(F.col("name").alias("last_name"), F.col("weight").alias("_v"))).select("first_name", "last_name", (F.col("_w") * F.col("_v")).alias("weight"))
 
 

@@ -17,15 +17,16 @@ def draw(key: Column, seed: int, n: int) -> Column:
     return F.pmod(F.conv(F.substring(seeded(key, seed), 1, 8), 16, 10).cast("bigint"), F.lit(n))
 
 
-def global_rank(df: DataFrame, hashed: str, key: str, out: str, by: list[str] | None = None) -> DataFrame:
+def global_rank(df: DataFrame, hashed: str, key: str, out: str, by: list[str] | None = None, digits: int = 3) -> DataFrame:
     """Row number from 1 in the order of (hashed, key), within ``by`` if given.
 
-    ``hashed`` is a hexadecimal hash, so its first three digits deal the rows
-    evenly over 4,096 windows; the rows before each of them come from a table of
-    4,096 counts (for each ``by``), so no task sees the whole input.
+    ``hashed`` is a hexadecimal hash, so its first ``digits`` digits deal the rows
+    evenly over 16^digits windows; the rows before each of them come from a table
+    of as many counts (for each ``by``), so no task sees the whole input.  Three
+    digits do for a billion rows, four (65,536 counts) for ten and more.
     """
     by = by or []
-    df = df.withColumn("_b", F.substring(hashed, 1, 3))
+    df = df.withColumn("_b", F.substring(hashed, 1, digits))
     counts = df.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.select(*by, "_b", (F.sum("_n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b")) - F.col("_n")).alias("_before"))
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(hashed, key)))

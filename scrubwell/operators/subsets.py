@@ -31,17 +31,23 @@ def train_test(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
 
 
 def rare_cutoff(df: DataFrame, subject: str, wanted: int, row: str) -> DataFrame:
-    """threshold, n_patients, n_docs: the largest count of rows per subject whose subjects still hold more than ``wanted`` rows.
+    """threshold, n_patients, n_docs: see :func:`rare_cutoffs`."""
+    return rare_cutoffs(df, subject, [wanted], row).drop("wanted")
 
-    -1 and the totals where all rows are not more than ``wanted``.  One
-    aggregation; the window runs over the histogram of counts.
+
+def rare_cutoffs(df: DataFrame, subject: str, wanted: list[int], row: str) -> DataFrame:
+    """wanted, threshold, n_patients, n_docs: the largest count of rows per subject whose subjects still hold more than ``wanted`` rows.
+
+    -1 and the totals where all rows are not more than ``wanted``.  One aggregation
+    for all sizes; the window runs over the histogram of counts.
     """
     per = df.filter(F.col(subject).isNotNull()).groupBy(subject).agg(F.count(row).alias("n"))
     hist = per.groupBy("n").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("patients"))
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
     cum = hist.select("n", F.sum("docs").over(w).alias("cd"), F.sum("patients").over(w).alias("cp"))
-    over = F.max(F.when(F.col("cd") > wanted, F.struct("n", "cp", "cd")))
-    return cum.agg(over.alias("x"), F.max("cp").alias("p"), F.max("cd").alias("d")).select(F.coalesce("x.n", F.lit(-1)).cast("long").alias("threshold"), F.coalesce("x.cp", "p").cast("long").alias("n_patients"), F.coalesce("x.cd", "d").cast("long").alias("n_docs"))
+    each = cum.withColumn("wanted", F.explode(F.array(*[F.lit(n).cast("long") for n in wanted])))
+    over = F.max(F.when(F.col("cd") > F.col("wanted"), F.struct("n", "cp", "cd")))
+    return each.groupBy("wanted").agg(over.alias("x"), F.max("cp").alias("p"), F.max("cd").alias("d")).select("wanted", F.coalesce("x.n", F.lit(-1)).cast("long").alias("threshold"), F.coalesce("x.cp", "p").cast("long").alias("n_patients"), F.coalesce("x.cd", "d").cast("long").alias("n_docs"))
 
 
 def frequent_subjects(df: DataFrame, subject: str, wanted: int, row: str) -> DataFrame:

@@ -42,7 +42,6 @@ RULES: list[tuple[int, str, str]] = [
     (6, r"Company", "pool:company"),
     (7, r"Country", "pool:country"),
     (8, r"E-mail", "email"),
-    (9, r"^Email:", "email:Email: "),
     (10, r"Doctor First Name|\[\*\*First Name|\[\*\* First Name|Known firstname|Name6 \(MD\)|Name10 \(NameIs\)", "pool:first"),
     (11, r"Dictator Info|Doctor Last Name|\[\*\*Last Name|Known lastname|Name \(STitle\)|Name5 \(PTitle\) [0-9]|Name[78] \(MD\)|Name11 \(NameIs\)|Name13|Name14", "pool:last"),
     (12, r"Female First Name", "pool:female"),
@@ -67,6 +66,7 @@ RULES: list[tuple[int, str, str]] = [
 ]
 #: Selectors that find keys by what stands before them in a note: (order, pattern with the key as group 1, generator).
 CONTEXT_RULES = [
+    (9, r"(?m)^(Email:[^\n]*)", "email:Email: "),
     (11, r"Dr.[ ]?(\[\*\*Name2? \(NI\) [0-9]+\*\*\])", "pool:last"),
     (17, r"- (\[\*\*Location[^\]]+[0-9]+\*\*\])", "pool:city"),
     (40, r"Unit No: +(\[\*\*Numeric Identifier [0-9]+\*\*\])", "int:0:2000"),
@@ -105,16 +105,17 @@ def generate(key: Column, seed: int, how: str) -> Column:
 
 
 def value(key: Column, seed: int) -> Column:
-    """The surrogate of a placeholder by the last rule that selects it, or null: one expression, no join."""
-    out = F.lit(None).cast("string")
-    for _, pattern, how in RULES:
-        out = F.when(key.rlike(pattern), generate(key, seed, how)).otherwise(out)
+    """ord and value (a struct) by the last rule that selects a placeholder, or null: one CASE from the last rule on, no join."""
+    out = None
+    for o, pattern, how in reversed(RULES):
+        made = F.struct(F.lit(o).alias("ord"), generate(key, seed, how).alias("dummy_phi"))
+        out = F.when(key.rlike(pattern), made) if out is None else out.when(key.rlike(pattern), made)
     return out
 
 
 def rule_map(keys: DataFrame, seed: int, contexts: DataFrame | None = None, key: str = "placeholder") -> DataFrame:
     """placeholder, dummy_phi for each selected key.  ``contexts``: keys found by context, with their ``ord``."""
-    base = keys.select(key, F.coalesce(*[F.when(F.col(key).rlike(p), F.lit(o)) for o, p, _ in reversed(RULES)]).alias("ord"), value(F.col(key), seed).alias("dummy_phi")).filter("ord is not null")
+    base = keys.select(key, value(F.col(key), seed).alias("_v")).filter("_v is not null").select(key, "_v.*")
     if contexts is None:
         return base.select(key, "dummy_phi")
     made = F.lit(None).cast("string")
@@ -126,12 +127,11 @@ def rule_map(keys: DataFrame, seed: int, contexts: DataFrame | None = None, key:
 
 
 def context_keys(notes: DataFrame, text: str) -> DataFrame:
-    """placeholder, ord: keys that stand behind a telling word."""
-    found = None
-    for o, pattern, _ in CONTEXT_RULES:
-        part = notes.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("placeholder"), F.lit(o).alias("ord"))
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
+    """placeholder, ord: keys that stand behind a telling word, found in one pass over the text."""
+    any_rule = "|".join(f"(?:{p})" for _, p, _ in CONTEXT_RULES)
+    whole = notes.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(any_rule), F.lit(0))).alias("_s")).distinct()
+    of = lambda o, p: F.transform(F.regexp_extract_all(F.col("_s"), F.lit(p), F.lit(1)), lambda x: F.struct(x.alias("placeholder"), F.lit(o).alias("ord")))
+    return whole.select(F.inline(F.concat(*[of(o, p) for o, p, _ in CONTEXT_RULES]))).distinct()
 
 
 def with_ids(mapping: DataFrame, key: str = "placeholder") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from scrubwell.functions import cleaning, dates, names, training_text
 from scrubwell.functions.rules import sql_rewrite_lines, sql_substitute, sql_text
-from scrubwell.operators import checks, concepts, mentions, namebook, placeholders, ranking, scoring, subsets, surrogates
+from scrubwell.operators import checks, concepts, mentions, namebook, placeholders, relations, scoring, subsets, surrogates
 from scrubwell.plans import notes
 from scrubwell.sources import readers, writers
 from scrubwell.sources.readers import PHI_TYPES, extract_tags
@@ -40,10 +40,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from scrubwell.plans import corpus_queries  # noqa: F401  its queries register themselves
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from scrubwell.plans import corpus_queries  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -95,11 +99,18 @@ def _generated(key: str, seed: int, how: str) -> str:
 
 
 FOUND = rf"SELECT DISTINCT unnest(regexp_extract_all(note, {sql_text(placeholders.PLACEHOLDER)})) AS placeholder FROM notes"
-_RULES = " UNION ALL ".join(f"SELECT placeholder, {o} AS ord, 0 AS late, {_generated('placeholder', SEED, how)} AS v FROM found WHERE regexp_matches(placeholder, {sql_text(p)})" for o, p, how in surrogates.RULES)
-_CONTEXTS = " UNION ALL ".join(
-    f"SELECT placeholder, {o}, 1, {_generated('placeholder', SEED, how)} FROM (SELECT DISTINCT unnest(regexp_extract_all(note, {sql_text(p)}, 1)) AS placeholder FROM notes)" for o, p, how in surrogates.CONTEXT_RULES
-)
-MAP = f"found AS ({FOUND}), ruled AS ({_RULES} UNION ALL {_CONTEXTS}), map AS (SELECT placeholder, arg_max(v, ord * 2 + late) AS dummy_phi FROM ruled GROUP BY placeholder)"
+
+
+def map_sql(seed: int = SEED, contexts: str = "notes", name: str = "map") -> str:
+    """CTEs that end in ``name`` (placeholder, dummy_phi); ``contexts``: the source (note) of the keys that stand behind a telling word."""
+    rules = " UNION ALL ".join(f"SELECT placeholder, {o} AS ord, 0 AS late, {_generated('placeholder', seed, how)} AS v FROM {name}_f WHERE regexp_matches(placeholder, {sql_text(p)})" for o, p, how in surrogates.RULES)
+    behind = " UNION ALL ".join(
+        f"SELECT placeholder, {o}, 1, {_generated('placeholder', seed, how)} FROM (SELECT DISTINCT unnest(regexp_extract_all(note, {sql_text(p)}, 1)) AS placeholder FROM {contexts})" for o, p, how in surrogates.CONTEXT_RULES
+    )
+    return f"{name}_f AS ({FOUND}), {name}_r AS ({rules} UNION ALL {behind}), {name} AS (SELECT placeholder, arg_max(v, ord * 2 + late) AS dummy_phi FROM {name}_r GROUP BY placeholder)"
+
+
+MAP = map_sql()
 PARTS = "string_split(replace(replace({t}, '[**', chr(1) || '[**'), '**]', '**]' || chr(1)), chr(1))"
 FILLED = f"seg AS (SELECT row_id, unnest({PARTS.format(t='note')}) AS s, generate_subscripts({PARTS.format(t='note')}, 1) AS i FROM notes), filled AS (SELECT row_id, string_agg(coalesce(dummy_phi, s), '' ORDER BY i) AS filled FROM seg LEFT JOIN map ON s = placeholder GROUP BY row_id)"
 
@@ -194,7 +205,7 @@ def c_clean_lines(spark, sf_dir):
 
 @query(f"WITH {NOTES} SELECT row_id, {sql_substitute(sql_substitute('note', dates.KEYWORD_RULES), dates.LATE_RULES)} AS resolved FROM notes")
 def e_keyword_rules(spark, sf_dir):
-    return _notes(spark, sf_dir).select("row_id", dates.substitute(dates.substitute(F.col("note"), dates.KEYWORD_RULES), dates.LATE_RULES).alias("resolved"))
+    return _notes(spark, sf_dir).select("row_id", dates.keyword_rules(F.col("note")).alias("resolved"))
 
 
 _GRID = "g AS (SELECT DISTINCT o_orderkey % 40 AS x, (o_orderkey // 40) % 40 AS y FROM orders)"
@@ -230,7 +241,12 @@ def _latest(pattern: str, group: int) -> str:
     return f"coalesce(list_max(list_transform(regexp_extract_all(note, {sql_text(pattern)}, {group}), lambda v: v::INT)), 0)"
 
 
-SHIFT = f"shifted AS (SELECT row_id, note, CASE WHEN regexp_matches(note, {sql_text(dates.YMD)}) THEN greatest({_latest(dates.YMD, 1)}, {_latest(dates.YM, 2)}, {_latest(dates.Y, 1)}) END AS latest FROM notes)"
+def shift_sql(source: str, name: str = "shifted") -> str:
+    """row_id, note and its latest year, of a source with row_id and note."""
+    return f"{name} AS (SELECT row_id, note, CASE WHEN regexp_matches(note, {sql_text(dates.YMD)}) THEN greatest({_latest(dates.YMD, 1)}, {_latest(dates.YM, 2)}, {_latest(dates.Y, 1)}) END AS latest FROM {source})"
+
+
+SHIFT = shift_sql("notes")
 
 
 @query(f"WITH {NOTES}, {SHIFT} SELECT row_id, latest - (2000 + latest % 20) AS shift FROM shifted")
@@ -238,7 +254,8 @@ def r5_year_shift(spark, sf_dir):
     return _notes(spark, sf_dir).select("row_id", dates.year_shift(F.col("note")).alias("shift"))
 
 
-def _backdate_sql() -> str:
+def backdated_sql(source: str = "notes", name: str = "backdated") -> str:
+    """CTEs that end in ``name`` (row_id, backdated) for a source with row_id and note."""
     ex = lambda p, k: f"regexp_extract(s, {sql_text('^' + p + '$')}, {k})"
     full = lambda p: f"regexp_matches(s, {sql_text('^' + p + '$')})"
     months = "[" + ", ".join(sql_text(m) for m in dates.MONTHS) + "]"
@@ -252,13 +269,13 @@ def _backdate_sql() -> str:
         WHEN {full(dates.YM_OUT)} THEN {months}[replace({ex(dates.YM_OUT, 1)}, '-', '')::INT]
         WHEN {full(dates.DAY)} AND starts_with(coalesce(after, ''), ':') THEN {ex(dates.DAY, 1)} || '-' || {ex(dates.DAY, 2)}
         ELSE s END"""
-    return f"""WITH {NOTES}, {SHIFT}, parts AS (SELECT row_id, latest - (2000 + latest % 20) AS shift, {PARTS.format(t='note')} AS p FROM shifted),
-        seg AS (SELECT row_id, shift, unnest(p) AS s, generate_subscripts(p, 1) AS i, p FROM parts),
-        near AS (SELECT row_id, shift, s, i, p[i - 1] AS before, p[i + 1] AS after FROM seg)
-        SELECT row_id, string_agg({case}, '' ORDER BY i) AS backdated FROM near GROUP BY row_id"""
+    return f"""{shift_sql(source, name + "_s")}, {name}_p AS (SELECT row_id, latest - (2000 + latest % 20) AS shift, {PARTS.format(t='note')} AS p FROM {name}_s),
+        {name}_g AS (SELECT row_id, shift, unnest(p) AS s, generate_subscripts(p, 1) AS i, p FROM {name}_p),
+        {name}_n AS (SELECT row_id, shift, s, i, p[i - 1] AS before, p[i + 1] AS after FROM {name}_g),
+        {name} AS (SELECT row_id, string_agg({case}, '' ORDER BY i) AS backdated FROM {name}_n GROUP BY row_id)"""
 
 
-@query(_backdate_sql())
+@query(f"WITH {NOTES}, {backdated_sql()} SELECT row_id, backdated FROM backdated")
 def r6_backdate(spark, sf_dir):
     df = _notes(spark, sf_dir).withColumn("shift", dates.year_shift(F.col("note")))
     return df.select("row_id", dates.backdate(F.col("note"), F.col("shift")).alias("backdated"))
@@ -296,7 +313,7 @@ def t2_merge(spark, sf_dir):
     return df.select("row_id", F.posexplode(training_text.merge_short(F.col("p"))).alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+@query("(set in corpus_queries)")
 def stream_prepared(spark, sf_dir):
     """The batch form of the streaming function."""
     return prepared(_notes(spark, sf_dir), "note").select("row_id", "prepared", "all_filled")
@@ -317,11 +334,7 @@ WANTED = [100, 1000, 5000, 10000, 14999, 15000, 20000]
 
 @query(f"WITH {ORDERS}, {_CUT}, d AS (SELECT unnest({WANTED}) AS wanted), x AS (SELECT wanted, max(n) FILTER (WHERE cd > wanted) AS t FROM d, cum GROUP BY wanted) SELECT wanted::BIGINT AS wanted, coalesce(t, -1)::BIGINT AS threshold, coalesce((SELECT cp FROM cum WHERE n = t), (SELECT max(cp) FROM cum))::BIGINT AS n_patients, coalesce((SELECT cd FROM cum WHERE n = t), (SELECT max(cd) FROM cum))::BIGINT AS n_docs FROM x")
 def w2_threshold(spark, sf_dir):
-    df, out = _orders(spark, sf_dir), None
-    for n in WANTED:
-        one = subsets.rare_cutoff(df, "subject_id", n, "row_id").select(F.lit(n).cast("long").alias("wanted"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return subsets.rare_cutoffs(_orders(spark, sf_dir), "subject_id", WANTED, "row_id")
 
 
 def _train_test_sql(source: str, size: int) -> str:
@@ -578,21 +591,19 @@ def a12_normalised(spark, sf_dir):
 
 @query(f"WITH {NOTES} SELECT row_id, len(flatten(list_transform(string_split(note, chr(10)), lambda x: string_split(x, ' ')))) AS n_parts FROM notes")
 def a17_flattened(spark, sf_dir):
-    parts = F.flatten(F.transform(F.split("note", "\n"), lambda x: F.split(x, " ")))
+    parts = relations.flattened(F.split("note", "\n"), " ")
     return notes.notes(spark, sf_dir).select("row_id", F.size(parts).cast("long").alias("n_parts"))
 
 
 @query(f"WITH {ORDERS}, p AS (SELECT *, lag(category) OVER (PARTITION BY subject_id ORDER BY row_id) AS before FROM o) SELECT subject_id, row_id, category FROM p WHERE category IS DISTINCT FROM before")
 def a6_adjacent_dedupe(spark, sf_dir):
-    before = F.lag("category").over(Window.partitionBy("subject_id").orderBy("row_id"))
-    return _orders(spark, sf_dir).withColumn("before", before).filter(~F.col("category").eqNullSafe(F.col("before"))).select("subject_id", "row_id", "category")
+    return relations.adjacent_deduped(_orders(spark, sf_dir), ["subject_id"], ["row_id"], "category").select("subject_id", "row_id", "category")
 
 
 @query("WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) SELECT p_partkey, unnest(range(len(w)))::INT AS pos, unnest(w) AS word, unnest(list_transform(w, lambda x: length(x)))::INT AS chars FROM w")
 def j12_zipped_lists(spark, sf_dir):
     words = F.split("p_name", " ")
-    lists = F.arrays_zip(F.sequence(F.lit(0), F.size(words) - 1).alias("pos"), words.alias("word"), F.transform(words, F.length).alias("chars"))
-    return _table(spark, sf_dir, "part").select("p_partkey", F.inline(lists).alias("pos", "word", "chars"))
+    return relations.zipped_lists(_table(spark, sf_dir, "part"), ["p_partkey"], pos=F.sequence(F.lit(0), F.size(words) - 1), word=words, chars=F.transform(words, F.length))
 
 
 @query("SELECT c_custkey, coalesce(n_name, '') AS n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) ON c_nationkey = n_nationkey")
@@ -605,25 +616,23 @@ def j4_lookup_or_empty(spark, sf_dir):
 @query(f"WITH {ORDERS} SELECT row_id, subject_id FROM o WHERE subject_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
 def j5_rows_of_subjects(spark, sf_dir):
     wanted = _table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("subject_id"))
-    return _orders(spark, sf_dir).join(wanted, "subject_id", "left_semi").select("row_id", "subject_id")
+    return relations.rows_of(_orders(spark, sf_dir), wanted, "subject_id").select("row_id", "subject_id")
 
 
 @query(f"WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY md5('{SEED}:' || p_partkey), p_partkey) AS rn FROM part) SELECT p_partkey, rn FROM r WHERE rn <= (SELECT count(*) FROM supplier)")
 def l3_head_of_other_size(spark, sf_dir):
-    size = _table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n"))
     ranked = subsets.shuffled(_table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", SEED)
-    return ranked.join(F.broadcast(size), F.col("rn") <= F.col("n")).select("p_partkey", F.col("rn").cast("long").alias("rn"))
+    return relations.head_of_size(ranked, _table(spark, sf_dir, "supplier")).select("p_partkey", F.col("rn").cast("long").alias("rn"))
 
 
 @query("SELECT c_nationkey AS k, 'c' AS rule FROM customer UNION ALL SELECT s_nationkey, 's' FROM supplier")
 def o2_union_all(spark, sf_dir):
-    c = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.lit("c").alias("rule"))
-    return c.unionByName(_table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.lit("s").alias("rule")))
+    return relations.union_of({"c": _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), "s": _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))})
 
 
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def o3_distinct_keys(spark, sf_dir):
-    return o2_union_all(spark, sf_dir).select("k").distinct()
+    return relations.distinct_keys(o2_union_all(spark, sf_dir), "k")
 
 
 @query(f"WITH {NOTES} SELECT row_id, category FROM notes WHERE category IN ('Physician ', 'Discharge summary')")
@@ -632,7 +641,7 @@ def p4_two_categories(spark, sf_dir):
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notes.notes(spark, sf_dir).select("row_id", F.explode(F.split("note", "\n")).alias("line"))
+    return relations.lines_of(notes.notes(spark, sf_dir), "row_id", "note")
 
 
 LINES = f"{NOTES}, lines AS (SELECT row_id, unnest(string_split(note, chr(10))) AS line FROM notes)"
@@ -640,12 +649,12 @@ LINES = f"{NOTES}, lines AS (SELECT row_id, unnest(string_split(note, chr(10)))
 
 @query(f"WITH {LINES} SELECT row_id, line FROM lines WHERE regexp_matches(line, 'Hospital|Telephone|days')")
 def p8_lines_with(spark, sf_dir):
-    return _lines(spark, sf_dir).filter(F.col("line").rlike("Hospital|Telephone|days"))
+    return relations.lines_with(_lines(spark, sf_dir), ["Hospital", "Telephone", "days"])
 
 
 @query(f"WITH {LINES} SELECT row_id, count(*) AS n_lines FROM lines WHERE NOT regexp_matches(line, '^[._~]+$') GROUP BY row_id")
 def p9_lines_without(spark, sf_dir):
-    return _lines(spark, sf_dir).filter(~F.col("line").rlike("^[._~]+$")).groupBy("row_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    return relations.lines_without(_lines(spark, sf_dir), ["^[._~]+$"]).groupBy("row_id").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 @query(f"WITH {ORDERS}, r AS (SELECT row_id, row_number() OVER (ORDER BY md5('{SEED}:' || row_id), row_id) AS rn FROM o) SELECT row_id, rn <= 1000 AS taken FROM r")
@@ -659,8 +668,7 @@ _KEYED = r"\[\*\*[A-Z][a-z]+ [0-9]+\*\*\]"
 @query(f"WITH {NOTES}, p AS (SELECT row_id, regexp_extract_all(note, '{_KEYED}') AS ps FROM notes) SELECT row_id, unnest(range(len(ps)))::INT AS pos, unnest(ps) AS placeholder, unnest(list_transform(ps, lambda x, i: coalesce(ps[i + 1], ''))) AS following FROM p")
 def w4_following_placeholder(spark, sf_dir):
     found = notes.notes(spark, sf_dir).select("row_id", F.regexp_extract_all("note", F.lit(_KEYED), F.lit(0)).alias("ps"))
-    rows = F.transform("ps", lambda x, i: F.struct(i.alias("pos"), x.alias("placeholder"), F.coalesce(F.get("ps", i + 1), F.lit("")).alias("following")))
-    return found.select("row_id", F.inline(rows).alias("pos", "placeholder", "following"))
+    return found.select("row_id", F.inline(relations.with_following(F.col("ps"))).alias("pos", "placeholder", "following"))
 
 
 # round trips through sources and sinks
@@ -722,7 +730,7 @@ def k5_training_text(spark, sf_dir):
     return spark.read.text(path).select("half", "code", "anonymity", F.md5("value").alias("line_md5"))
 
 
-@query()
+@query("(set in corpus_queries)")
 def k6_stream_appended(spark, sf_dir):
     """The streaming function over a stream, each batch appended."""
     path = shared_path(spark, "stream")
@@ -765,7 +773,7 @@ def p7_masked_by_other_frame(spark, sf_dir):
 def j2_attached_by_index(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     lowered = orders.filter("o_orderkey % 3 = 0").select("o_orderkey", F.lower("o_orderpriority").alias("lowered"))
-    return orders.join(lowered, "o_orderkey", "left")
+    return relations.attached(orders, lowered, "o_orderkey")
 
 
 @query("SELECT c_custkey, coalesce(n_name, c_nationkey::VARCHAR) AS shown FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) ON c_nationkey = n_nationkey")
@@ -785,12 +793,12 @@ def j8_valid_only(spark, sf_dir):
 @query(f"WITH {LOGITS} SELECT doc_id, n_name AS name, logit FROM lg JOIN nation ON token_id = n_nationkey")
 def j11_gathered(spark, sf_dir):
     names_ = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("token_id"), F.col("n_name").alias("name"))
-    return _logits(spark, sf_dir).join(names_, "token_id").select("doc_id", "name", "logit")
+    return relations.gathered(_logits(spark, sf_dir), names_, "token_id").select("doc_id", "name", "logit")
 
 
 @query(f"WITH {ORDERS} SELECT subject_id, array_to_string(list_sort(list(DISTINCT category)), '|') AS categories FROM o GROUP BY 1")
 def a5_distinct_sorted(spark, sf_dir):
-    return _orders(spark, sf_dir).groupBy("subject_id").agg(F.array_join(F.sort_array(F.collect_set("category")), "|").alias("categories"))
+    return relations.distinct_sorted(_orders(spark, sf_dir), ["subject_id"], "category").select("subject_id", F.array_join("category", "|").alias("categories"))
 
 
 @query(f"WITH {ORDERS} SELECT count(*) AS n, count(*) FILTER (WHERE category = '1-URGENT') AS n_urgent, sum(row_id) FILTER (WHERE category = '1-URGENT')::BIGINT AS urgent_ids FROM o")
@@ -830,7 +838,7 @@ def l5_seeded_permutation(spark, sf_dir):
 def o5_disjoint_halves(spark, sf_dir):
     halves = subsets.half_split(_orders(spark, sf_dir).select("row_id"), "row_id", SEED)
     sides = [halves.filter(F.col("half") == h).select("row_id") for h in ("hospital", "shadow")]
-    return spark.range(1).select(F.lit(checks.disjoint(*sides)).alias("disjoint"))
+    return checks.disjoint(*sides)
 
 
 # names and concepts, part by part

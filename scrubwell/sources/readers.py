@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 PHI_TYPES = ["AGE", "DATE", "DOCTOR", "HOSPITAL", "ID", "LOCATION", "PATIENT", "PHONE"]
 
@@ -23,19 +24,17 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """sample_index, text: lines with their number in the file's order.
+    """sample_index, text: lines with their number in the order of files (by path) and of their lines.
 
-    Lines are numbered by file offset, in parallel: number within the partition, plus the sizes of earlier partitions.
+    Numbered in parallel: a block of a file is read by one task, so its lines have
+    consecutive ids; the lines of earlier blocks come from a table with a row for
+    each block.
     """
-    df = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = {r[0]: r[1] for r in df.groupBy(part.alias("p")).count().collect()}  # one row a partition
-    before, at = {}, 0
-    for p in sorted(sizes):
-        before[p], at = at, at + sizes[p]
-    starts = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv]) if before else F.create_map()
-    number = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return df.select(((starts[part] if before else F.lit(0)) + number).alias("sample_index"), F.col("value").alias("text"))
+    block = ["_path", "_start"]
+    df = spark.read.text(path).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    blocks = df.groupBy(*block).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(*block)) - F.col("_n")
+    return df.join(blocks.select(*block, "_first", before.alias("_before")), block).select((F.col("_before") + F.col("_id") - F.col("_first")).alias("sample_index"), "text")
 
 
 def extract_tags(df: DataFrame, text: str, types: list[str] = PHI_TYPES) -> DataFrame:

@@ -1,12 +1,14 @@
 """Handwritten line cases, properties, sources and sinks."""
 
+import random
 import re
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from scrubwell import schemas
+from scrubwell import logs, schemas
+from scrubwell.__main__ import main
 from scrubwell.functions import cleaning, dates, names, training_text
 from scrubwell.operators import checks, mentions, placeholders, scoring, subsets, surrogates
 from scrubwell.sources import readers, writers
@@ -90,7 +92,8 @@ def test_splits_are_disjoint_and_exact(spark):
     checks.require(report, "exact_size", "same_categories")
     row = report.first()
     assert (row["n_both"], row["n_neither"], row["n_test"]) == (0, 0, 901)
-    assert checks.disjoint(df.filter("k < 5").select("k"), df.filter("k > 5").select("k"))
+    assert checks.disjoint(df.filter("k < 5").select("k"), df.filter("k > 5").select("k")).first()["disjoint"]
+    assert not checks.disjoint(df.filter("k < 6").select("k"), df.filter("k > 4").select("k")).first()["disjoint"]
 
 
 @pytest.mark.parametrize("wanted", [0, 5, 9, 10, 100])
@@ -178,3 +181,65 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = prepared(spark.readStream.schema("ROW_ID long, TEXT string").parquet(f"{tmp_path}/in"))
     append_batches(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, prepared(notes).collect()))
+
+
+def test_lines_of_several_files_are_numbered_in_order(spark, tmp_path):
+    texts = {f"f{k}.txt": [f"{k}:{j}" for j in range(1 + 7 * ((k * 5) % 6))] for k in range(6)}
+    for name, rows_ in texts.items():
+        (tmp_path / name).write_text("\n".join(rows_) + "\n")
+    expected = [x for name in sorted(texts) for x in texts[name]]
+    assert [(r["sample_index"], r["text"]) for r in readers.read_lines(spark, str(tmp_path)).orderBy("sample_index").collect()] == list(enumerate(expected))
+
+
+def test_merged_sentences_equal_a_loop(spark):
+    rng = random.Random(3)
+    lists = [["x" * rng.choice([3, 10, 19, 20, 40]) + str(k) for k in range(rng.randint(0, 9))] for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(lists)), "k int, p array<string>")
+    for r in df.select("k", training_text.merge_short(F.col("p")).alias("m")).collect():
+        done = []
+        for part in lists[r["k"]]:
+            if done and len(part) < 20:
+                done[-1] += " " + part
+            else:
+                done.append(part)
+        assert r["m"] == done
+
+
+def test_logs(tmp_path):
+    path = f"{tmp_path}/a/x.log"
+    log = logs.logger("scrubwell.test", path)
+    assert logs.logger("scrubwell.test", path) is log and len(log.handlers) == 2
+    log.debug("written")
+    text = open(path).read()
+    assert "DEBUG" in text and "written" in text
+    assert logs.clock(0).tm_hour == 9
+
+
+def test_command_line_from_notes_to_predictions(spark, tmp_path):
+    path = str(tmp_path)
+    text = "Admission Date: [**2177-12-5**]\n[**Known firstname {0}**] [**Known lastname {0}**] is a 40 yo man with fever. One. Two. Three. Four. Seen on [**4-5**]."
+    rows_ = [(k, k % 7, *[None] * 4, "Physician " if k % 2 else "Nursing", *[None] * 3, text.format(k)) for k in range(60)]
+    writers.write_csv(spark.createDataFrame(rows_, schemas.NOTE_EVENTS), f"{path}/notes")
+    for side, listed in (("first", surrogates.POOLS["first"]), ("last", surrogates.POOLS["last"])):
+        writers.write_csv(spark.createDataFrame([(n,) for n in listed], "name string"), f"{path}/{side}", header=False)
+    writers.write_tsv(spark.createDataFrame([("fever", "C1", "FEVER", "dsyn")], "term string, cui string, preferred_name string, semtype string"), f"{path}/terms")
+    (tmp_path / "samples.txt").write_text("[CLS] ada dale is a man with fever\nnone\n[CLS] x y z is a fever case\n")
+    small = [x for c in subsets.CODES for x in ("--size", f"{c}=5")]
+    main(["build", f"{path}/notes", f"{path}/corpus"], spark)
+    main(["flags", *small, f"{path}/corpus", f"{path}/halves"], spark)
+    main(["split", f"{path}/halves", f"{path}/split"], spark)
+    main(["training-text", f"{path}/halves", f"{path}/text"], spark)
+    main(["mentions", f"{path}/halves", f"{path}/first", f"{path}/last", f"{path}/mentions"], spark)
+    main(["gold", f"{path}/mentions/half=hospital/code=c1p2", f"{path}/terms", f"{path}/gold"], spark)
+    main(["predictions", f"{path}/samples.txt", f"{path}/terms", f"{path}/first", f"{path}/last", f"{path}/pred"], spark)
+    halves = spark.read.parquet(f"{path}/halves")
+    assert halves.count() == 60 and halves.filter("in_train_1M").count() == 10 and halves.filter("not all_placeholders_replaced").count() == 0
+    assert "HADM_ID" not in halves.columns and halves.filter("TEXT_WITH_DUMMY_PHI_HOSPITAL like '%on 4/5.%' and TEXT_WITH_DUMMY_PHI_HOSPITAL like '%12/5/2017%'").count() == 60
+    assert spark.read.text(f"{path}/text").filter("anonymity = 'hipaa' and half = 'shadow' and code = 'c1p2'").count() > 0
+    assert readers.read_tsv(spark, f"{path}/gold/names", "document_id long, subject_id long, patient_full_name string, full_name_mention string").count() > 0
+    got = {(r["sample_index"], r["patient_full_name"], r["cui"], r["is_valid_full_name"]) for r in readers.read_tsv(spark, f"{path}/pred", "patient_full_name string, cui string, preferred_name string, sample_index long, is_valid_full_name boolean").collect()}
+    assert got == {(0, "Ada Dale", "C1", True), (2, "X Y Z", "C1", False)}
+    (tmp_path / "k.csv").write_text('1,"a [**X 1**] b"\n')
+    (tmp_path / "m.csv").write_text("[**X 1**],old\n[**X 1**],new\n")
+    main(["fill", f"{path}/k.csv", f"{path}/m.csv", f"{path}/filled"], spark)
+    assert readers.read_csv(spark, f"{path}/filled", schemas.INDEXED_TEXT, header=False).collect()[0]["TEXT"] == "a new b"
