@@ -139,14 +139,16 @@ def segments(text: Column) -> Column:
     return F.split(marked, MARK)
 
 
-def _latest(text: Column, pattern: str, group: int) -> Column:
-    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda y: y.cast("int"))), F.lit(0))
-
-
 def year_shift(text: Column) -> Column:
-    """How many years a note's dates move: its latest year lands in 2000-2019.  Null without a full date in range."""
-    latest = F.greatest(_latest(text, YMD, 1), _latest(text, YM, 2), _latest(text, Y, 1))
-    return F.when(text.rlike(YMD), latest - (2000 + latest % 20))
+    """How many years a note's dates move: its latest year lands in 2000-2019.  Null without a full date in range.
+
+    The text is searched once, for placeholders of digits; their forms are then told apart.
+    """
+    found = F.regexp_extract_all(text, F.lit(r"\[\*\*[-0-9/]+\*\*\]"), F.lit(0))
+    year = lambda p, pattern, k: F.when(p.rlike(f"^{pattern}$"), F.regexp_extract(p, f"^{pattern}$", k).try_cast("int"))
+    of = lambda p: F.struct(F.coalesce(year(p, YMD, 1), year(p, YM, 2), year(p, Y, 1)).alias("y"), p.rlike(f"^{YMD}$").alias("full"))
+    told = F.aggregate(F.transform(found, of), F.struct(F.lit(0).alias("y"), F.lit(False).alias("full")), lambda a, p: F.struct(F.greatest(a["y"], F.coalesce(p["y"], F.lit(0))).alias("y"), (a["full"] | p["full"]).alias("full")))
+    return F.when(told["full"], told["y"] - (2000 + told["y"] % 20))
 
 
 def backdate(text: Column, shift: Column) -> Column:

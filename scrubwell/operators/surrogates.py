@@ -127,11 +127,11 @@ def rule_map(keys: DataFrame, seed: int, contexts: DataFrame | None = None, key:
 
 
 def context_keys(notes: DataFrame, text: str) -> DataFrame:
-    """placeholder, ord: keys that stand behind a telling word, found in one pass over the text."""
-    any_rule = "|".join(f"(?:{p})" for _, p, _ in CONTEXT_RULES)
-    whole = notes.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(any_rule), F.lit(0))).alias("_s")).distinct()
+    """placeholder, ord: keys that stand behind a telling word; no rule reaches over a line, and only lines with a placeholder or an address are searched."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.contains("[**") | x.startswith("Email:"))
+    lines = notes.select(F.explode(lines).alias("_s"))
     of = lambda o, p: F.transform(F.regexp_extract_all(F.col("_s"), F.lit(p), F.lit(1)), lambda x: F.struct(x.alias("placeholder"), F.lit(o).alias("ord")))
-    return whole.select(F.inline(F.concat(*[of(o, p) for o, p, _ in CONTEXT_RULES]))).distinct()
+    return lines.select(F.inline(F.concat(*[of(o, p) for o, p, _ in CONTEXT_RULES]))).distinct()
 
 
 def with_ids(mapping: DataFrame, key: str = "placeholder") -> DataFrame:
