@@ -162,7 +162,7 @@ def links(distinct: DataFrame, radius: int, blocks: int, tile_rows: int = TILE_R
 #: Cells of the table of how many shingles fall where, and bits of a text's parity map.
 COUNTED, PARITY = 1 << 18, 512
 #: Members of a shingle that one task compares with one another, and entries that one group of small shingles holds.
-MEET_ROWS, GROUP_ROWS = 4_096, 20_000
+MEET_ROWS, GROUP_ROWS = 4_096, 5_000
 #: Up to so many members of a shingle are paired by a join.
 FEW = 8
 #: Up to so many hashes of texts (8 bytes each) are broadcast; beyond that, the texts are shuffled to them.

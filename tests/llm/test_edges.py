@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing extra columns, for every operator."""
 
+import random
 import re
 from collections import Counter
 
@@ -84,6 +85,47 @@ def test_simhash(docs, empty):
     assert sorted((r["doc_id"] or 0, r["text"][:3]) for r in simhash.one_of_each(rows).collect()) == [(0, "alo"), (5, "one"), (5, "oth"), (big, "the")]
 
 
+def test_one_of_near(docs, empty):
+    one = simhash.one_of_near(docs)
+    assert one.columns == docs.columns and simhash.one_of_near(empty).count() == 0
+    kept = Counter(r["doc_id"] for r in one.collect())
+    # 1 stands for both rows of 2; the empty texts of 3 and 4 are one group; a null id that is alone stays
+    assert kept == {1: 1, 3: 1, None: 1, 6: 1, 7: 1, 8: 1, 9: 1}
+    big = (1 << 62) + 1
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join(words[:58]), " ".join([*words, "more", "of", "it"]), "one two three four", "one two three four", "one two three five"]
+    rows = docs.sparkSession.createDataFrame([(None, texts[0]), (big, texts[1]), (5, texts[2]), (8, texts[3]), (8, texts[3]), (8, texts[5]), (None, "alone here"), (None, "alone here")], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.one_of_near(rows).collect())
+    assert got == {(5, texts[2]): 1, (8, texts[3]): 2, (8, texts[5]): 1, (None, "alone here"): 2}
+
+
+def test_near_copies_of_very_long_texts(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(40_000)]
+    near, far = list(base), list(base)
+    for k in range(0, 40_000, 100):
+        near[k] = "x"
+    for k in range(0, 40_000, 20):
+        far[k] = "y"
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate((base, near, far, base[:30_000]))], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_near(docs).collect()} == {0, 2, 3}
+
+
+def test_near_copies_in_a_shingle_of_many(spark, monkeypatch):
+    """Groups larger than a chunk: every pair of chunks meets."""
+    monkeypatch.setattr(simhash, "MEET_ROWS", 7)
+    monkeypatch.setattr(simhash, "FEW", 3)
+    rng = random.Random(8)
+    texts = []
+    for g in range(12):  # all share a beginning, few are near one another
+        base = ["same", "words", "at", "the", "start", *(f"g{g}w{k}" for k in range(30))]
+        texts += [base, [*base[:-2], f"a{g}", f"b{g}"], [f"x{rng.randint(0, 999)}" if k % 4 == 3 else w for k, w in enumerate(base)]]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    alike = {(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.one_of_near(docs).collect()} == set(range(len(texts))) - {i for i, _ in alike} and len(alike) == 12
+
+
 def test_spotsigs(docs, empty):
     got = spotsigs.edited(docs).collect()
     assert len(got) == len(ROWS)
@@ -169,3 +211,41 @@ def test_pipeline_stages_on_an_empty_table(spark, empty, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_on_edge_rows(spark, docs, labels, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns, through every stage and through run()."""
+    folder = str(tmp_path)
+    labels.write.parquet(f"{folder}/labels.parquet")
+    docs.unionByName(docs.limit(3)).write.parquet(f"{folder}/documents.parquet")
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, rows, folder)
+        if name == "best_fit":
+            assert got.columns == ["doc_id", "piece", "length", "bin_id", "capacity", "offset"] and got.count() > 0
+        else:
+            assert got.columns == rows.columns
+            left, had = (Counter((r["doc_id"], r["text"], r["source"]) for r in x.collect()) for x in (got, rows))
+            assert not left - had and (name != "pfair_mix" or left == had)
+    assert set(corpus_pipeline.run(spark, folder).columns) == {"doc_id", "piece", "length", "bin_id", "capacity", "offset"}
+
+
+def test_a_shared_folder_must_be_named(spark, monkeypatch):
+    from scrubwell.llm import common
+    from scrubwell.sources import shared
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+    for f in (lambda s: common.shared_dir(s), lambda s: shared.shared_path(s, "x")):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            f(Session())
