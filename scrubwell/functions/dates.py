@@ -153,11 +153,13 @@ def year_shift(text: Column) -> Column:
 
 def backdate(text: Column, shift: Column) -> Column:
     """Shifts every date of a note by ``shift`` (a column, so that it is computed once); null shift: unchanged."""
-    parts = segments(text)
+    parts, none = segments(text), F.array(F.lit(""))
+    # neighbours are zipped to each segment: inside a lambda, the split would be done again for each of them
+    near = F.arrays_zip(parts.alias("s"), F.concat(none, F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("before"), F.concat(F.slice(parts, F.lit(2), F.size(parts)), none).alias("after"))
 
-    def one(s: Column, i: Column) -> Column:
+    def one(x: Column) -> Column:
+        s, previous, following = x["s"], x["before"], x["after"]
         get = lambda p, k: F.regexp_extract(s, f"^{p}$", k)
-        previous, following = F.coalesce(F.get(parts, i - 1), F.lit("")), F.coalesce(F.get(parts, i + 1), F.lit(""))
         number = lambda c: c.try_cast("int")
         month = lambda p: F.replace(get(p, 1), F.lit("-"), F.lit(""))
         short = r"\[\*\*([0-9]+)\*\*\]"
@@ -173,4 +175,4 @@ def backdate(text: Column, shift: Column) -> Column:
             .otherwise(s)
         )
 
-    return F.when(shift.isNull(), text).otherwise(F.array_join(F.transform(parts, one), ""))
+    return F.when(shift.isNull(), text).otherwise(F.array_join(F.transform(near, one), ""))

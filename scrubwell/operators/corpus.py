@@ -98,9 +98,9 @@ def training_sentences(corpus: DataFrame, key: str = "ROW_ID", private: str | Co
     Each text is split once; only then are its sentences written for each subset.
     """
     codes = F.array_compact(F.array(*[F.when(F.col(f"in_train_{CODES[c]}") | F.col(f"in_test_{CODES[c]}"), F.lit(c)) for c in CODES]))
-    parts = lambda text, hipaa: merge_short(sentences(normalise(text, hipaa=hipaa)))
+    parts = lambda text, hipaa: sentences(normalise(text, hipaa=hipaa))
     private = F.col(private) if isinstance(private, str) else private
     variants = F.array(F.struct(F.lit("no_anonymization").alias("anonymity"), parts(private, False).alias("p")), F.struct(F.lit("hipaa").alias("anonymity"), parts(F.col(public), True).alias("p")))
     df = corpus.select(by, key, codes.alias("_codes"), F.explode(variants).alias("x")).select(by, key, "_codes", "x.*")
-    df = df.select(by, key, "_codes", "anonymity", F.posexplode("p").alias("pos", "sentence"))
+    df = df.select(by, key, "_codes", "anonymity", F.posexplode(merge_short(F.col("p"))).alias("pos", "sentence"))
     return df.select(by, F.explode("_codes").alias("code"), "anonymity", key, "pos", "sentence")

@@ -866,7 +866,7 @@ _EITHER = f"^{_FIRST}$|^{_LAST}$"
 def m8_masked_by_tokens(spark, sf_dir):
     own = F.array_distinct(placeholders.placeholders(F.col("note")))
     lengths = F.map_from_arrays(own, F.transform(own, lambda p: F.length(p) % 3 + 1))
-    return _notes(spark, sf_dir).select("row_id", names.mask_names_by_tokens(F.col("note"), lengths).alias("masked"))
+    return _notes(spark, sf_dir).withColumn("lengths", lengths).select("row_id", names.mask_names_by_tokens(F.col("note"), F.col("lengths")).alias("masked"))
 
 
 @query(f"WITH {BOOK} SELECT name, n_nationkey AS vocab_id FROM book JOIN (SELECT *, lower(split_part(p, ' ', 1)) AS token FROM (SELECT n_nationkey, (SELECT min(p_name) FROM part WHERE p_partkey % 25 = n_nationkey) AS p FROM nation)) ON name = token")

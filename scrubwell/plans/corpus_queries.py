@@ -180,7 +180,9 @@ def _sentences_sql(text: str, hipaa: bool, variant: str) -> str:
     SELECT half, code, anonymity, line_md5, count(*) AS n FROM lines GROUP BY ALL""")
 def k5_training_corpus(spark, sf_dir):
     """Both variants of six subsets of both halves, written by folder and read back."""
-    df = corpus.flagged_subsets(corpus.halved(_d7(spark, sf_dir), "row_id"), "row_id", "subject_id", "category", _NOTE_SIZES)
+    own = _notes(spark, sf_dir).select("row_id", "subject_id", "category")  # the flags need no text
+    flags = corpus.flagged_subsets(corpus.halved(own, "row_id"), "row_id", "subject_id", "category", _NOTE_SIZES)
+    df = _d7(spark, sf_dir).drop("subject_id", "category").join(flags, "row_id")
     path = shared_path(spark, "training")
     writers.write_training_text(corpus.training_sentences(df, "row_id", "TEXT_WITH_DUMMY_PHI_HOSPITAL", "note"), path)
     return spark.read.text(path).groupBy("half", "code", "anonymity", F.md5("value").alias("line_md5")).agg(F.count(F.lit(1)).alias("n"))
