@@ -8,8 +8,9 @@ of :mod:`scrubwell.llm.html_layouts`, says which blocks belong to the article.
 
 Defined results: null or empty html gives an empty text; unclosed and crossed
 elements end with their parent (of those whose content is never text, an unclosed
-one ends before the next block-level element, too; only script, style, textarea and
-title without an end reach to the page's end); an attribute whose quote is never
+one ends before the next block-level element, too; menus and headers without an end
+don't count where they hold the article or most of the page; only script, style,
+textarea and title without an end reach to the page's end); an attribute whose quote is never
 closed ends with its tag; a tag that the page's end cuts off is left out; repeated
 rows are extracted alike; very long pages are handled whole, one page in memory at
 a time; an empty table gives an empty result; other columns are ignored.
@@ -255,6 +256,8 @@ def blocks(page: str | None) -> list[Block]:
         story = bears[k] or said[k].get("itemprop", "").lower() == "articlebody" or any(x in STORY for x in names)
         names = [x for x in names if not NEGATED.match(x)]
         own = n.name in CHROME and not (n.name == "header" and article[p]) and not (n.name in ("form", "fieldset") and (wraps or n.title)) or role[k] in ROLES and not wraps
+        # a menu or header without an end isn't what holds the article, or most of the page
+        own &= n.closed or not (wraps or n.name in ("nav", "header", "menu") and 2 * n.words > nodes[0].words)
         own |= "hidden" in said[k] or re.search(r"display\s*:\s*none", said[k].get("style", ""), re.I) is not None
         hint = any(ASIDE_PART.search(x) for x in names) and not (n.name not in ("article", "section") and wraps and nodes[largest].name == "main")
         if not bears[k] and not wraps:

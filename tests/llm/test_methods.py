@@ -303,6 +303,14 @@ HELD_OUT = [
     (f"<p>{A}<br>{B}</p><noscript>Turn it on</noscript><footer><p>&copy; 2020 someone</p></footer>", f"{A} {B}"),
     ("<article>x <!-- <p>no</p> --> y &lt;b&gt; &amp;amp; 5 < 6<script>if (a<b) '</p>'</script></article>", "x y <b> &amp; 5 < 6"),
     ("<p>foo<b>bar</b> <i>b</i>az</p>", "foobar baz"),
+    (f"<nav><a href=x>Home</a><article><p>{A}</p></article>", A),
+    (f"<nav><a href=x>Home</a> <a href=y>News</a><p>{A}</p><p>{B}</p>", f"{A} {B}"),
+    (f"<p>{A}</p><footer>{B}", A),
+    (f"<HTML><BODY><NAV><A HREF=x>Home</A></NAV><ARTICLE><P>{A}<P>{B}</ARTICLE></BODY></HTML>", f"{A} {B}"),
+    (f"<article><p>{A}</p><p class=ad>Buy now</p><section class=related-posts><h3>More</h3><p>{B}</p></section><table><tr><th>Year<th>Sum<tr><td>1<td>2</table></article>", f"{A} Year Sum 1 2"),
+    (f"<ul class=menu><li>Home<li>News</ul><div><h1>Title of it</h1><p>{A}</p><h2>3 Comments</h2><p>{B}</p></div>", f"Title of it {A}"),
+    (f"<p>{A}<p>{B}<form><input><select><option>a<option>b</select><textarea>zzz</textarea><button>Go</button></form>", f"{A} {B}"),
+    (f"<div role=alert>Site maintenance tonight</div><a href=#c>Skip to content</a><p>{A}</p>", A),
     ("", ""),
 ]
 
