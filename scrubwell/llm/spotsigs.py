@@ -7,12 +7,12 @@ lists) every word is an anchor and followed by any next ``CHAIN`` words, so that
 its signatures cover its whole length.  A text's fingerprint is the sorted set of
 its signatures' hashes.
 
-:func:`links` joins near copies: texts are first collapsed to classes of equal
-fingerprints; classes are partitioned by set length, and only partitions whose
-lengths allow the wanted Jaccard similarity meet, on the rarest signatures that
-a similar set must share (prefix filter), those of a common signature in chunks;
-candidates are compared exactly.  :func:`near_classes` gives every document its
-class, the group of classes that links join, and its number of links.
+:func:`classes` finds near copies: equal fingerprints are one class; only classes
+whose set lengths allow the wanted Jaccard similarity and which share one of the
+rarest signatures that a similar set must share (prefix filter) meet, partitioned
+by set length; sizes and parity maps sift them, and the rest are compared exactly.
+:func:`near_classes` gives every document its class and the group of classes that
+links join.
 
 Defined results: null text is empty; an empty text has no signature and an empty
 fingerprint, and likeness 1 to another empty one; repeated rows have equal
@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scrubwell.llm.common import cut
-from scrubwell.llm.simhash import components
+from scrubwell.llm.simhash import components, stars
 from scrubwell.llm.textstats import STOPS
 
 CHAIN = 2
 SPARSE = 16
-#: Members of a signature that meet in one group.
+#: Members of a signature of which each group has so many on either side.
 MEET_ROWS = 2_000
+#: Cells of the table of how many signatures fall where.
+COUNTED = 1 << 16
 _ANCHOR, _CONTENT = "\x01", "\x02"
 
 
@@ -87,64 +89,139 @@ def _search(x: Column, bounds: list, low: int, high: int) -> Column:
     return F.when(x > bounds[mid], _search(x, bounds, mid + 1, high)).otherwise(_search(x, bounds, low, mid))
 
 
-def links(docs: DataFrame, text: str = "text", similarity: float = 0.8) -> DataFrame:
-    """a, b, jaccard: pairs of class representatives (least doc_id) with similar fingerprints.  See :func:`classes`."""
-    reps = cut(classes(docs, text).groupBy("fingerprint_hash").agg(F.min("doc_id").alias("id"), F.first("signatures").alias("s")).select("id", "s").filter(F.size("s") > 0))
-    counts = reps.select(F.explode("s").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = reps.select("id", F.size("s").alias("n"), F.explode("s").alias("g")).join(counts, "g")
-    # rarest first; a set of n that shares a share t with another must share one of its first n - ceil(t n) + 1
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
-    prefix = ranked.withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1)
-    # partitions by set length, each as wide as one similarity step
-    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(similarity))).cast("int")
-    prefix = cut(prefix.select("id", "n", "g", step.alias("p")))
-    other = prefix.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "g", F.explode(F.array("p", F.col("p") - 1)).alias("p"))
-    # the members of a common signature are cut into chunks; each row meets each chunk in a group of its own
-    sizes = other.groupBy("g", "p").agg(F.ceil(F.count(F.lit(1)) / MEET_ROWS).cast("int").alias("chunks"))
-    other = other.join(sizes, ["g", "p"]).withColumn("chunk", F.pmod(F.xxhash64("id2"), F.col("chunks")).cast("int")).drop("chunks")
-    prefix = prefix.join(sizes, ["g", "p"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    met = prefix.join(other, ["g", "p", "chunk"]).filter((F.col("n2") >= similarity * F.col("n") - 1e-9) & (F.col("n") >= similarity * F.col("n2") - 1e-9) & (F.col("id") != F.col("id2")))
-    pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    full = pairs.join(reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return full.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).filter(F.col("jaccard") >= similarity - 1e-12)
-
-
-def classes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, signatures and fingerprint_hash (equal for equal fingerprints) of every row."""
-    df = with_signatures(docs.select(F.col("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text", "signatures")
-    return df.select("doc_id", "signatures", F.sha2(as_string(F.col("signatures")), 256).alias("fingerprint_hash"))
+def signed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, _id (never null), _h (hash of the text), mark (equal for equal fingerprints) and s (the signatures) of every row."""
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    df = with_signatures(df, "_text", "s")
+    return df.select("doc_id", "_id", "_h", F.xxhash64("s").alias("mark"), "s")
+
+
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+
+
+def levels(rows: DataFrame) -> Column:
+    """A literal of COUNTED bytes: for each cell, into which signatures fall by hash, the bit length of the number of signatures in it."""
+    counts = rows.select(F.explode("s").alias("g")).groupBy(F.pmod("g", F.lit(COUNTED)).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    found = bytearray(COUNTED)
+    for r in counts.collect():  # COUNTED rows at most
+        found[r["cell"]] = r["n"].bit_length()
+    return F.lit(bytes(found))
+
+
+def prefixes(rows: DataFrame, similarity: float) -> DataFrame:
+    """g, mark, n: the first signatures of every fingerprint, and its size.
+
+    In any one order of all signatures, sets of Jaccard ``similarity`` share one of
+    their first n - ceil(similarity * n) + 1.  The order here puts signatures of full
+    cells last.  Equal fingerprints are combined before any shuffle.
+    """
+    n, level = F.size("s"), levels(rows)
+    order = F.array_sort(F.transform("s", lambda g: F.struct(F.substring(level, F.pmod(g, F.lit(COUNTED)).cast("int") + 1, F.lit(1)).alias("level"), g.alias("g"))))
+    first = F.slice(order, F.lit(1), (n - F.ceil(F.lit(similarity) * n - F.lit(1e-9)) + 1).cast("int"))
+    entries = rows.filter(n > 0).select(F.explode(first).alias("x"), "mark", n.alias("n")).select("x.g", "mark", "n").distinct().repartition("g")
+    shared = entries.groupBy("g").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo <> hi").select("g")
+    return entries.join(shared, "g", "left_semi")
+
+
+def parity(s: Column) -> Column:
+    """512 bits as eight longs: each the parity of the signatures that fall on it.  Maps differ in at most as many bits as sets differ in signatures."""
+    one = F.lit(1).cast("long")
+    bit = lambda g: F.call_function("shiftleft", one, F.pmod(F.shiftrightunsigned(g, 50), F.lit(64)).cast("int"))
+    of = lambda k: F.filter(s, lambda g: F.pmod(F.shiftrightunsigned(g, 40), F.lit(8)) == k)
+    return F.array(*[F.aggregate(of(k), F.lit(0).cast("long"), lambda acc, g: acc.bitwiseXOR(bit(g))) for k in range(8)])
+
+
+def candidates(shared: DataFrame, sizes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """a, b (a < b): all fingerprints that share a signature and not a root, and whose sizes and parity maps allow the similarity.
+
+    ``roots``: node and root of fingerprints that are linked already; a signature
+    whose members have one root is left out.  The others are partitioned by set
+    length, each partition as wide as one similarity step; a partition meets itself
+    and the one below it.  The members of a common signature are cut into chunks of
+    MEET_ROWS, and each pair of chunks meets in a group of its own.
+    """
+    rooted = shared.join(roots, shared["mark"] == roots["node"], "left").select("g", "mark", "n", F.coalesce("root", "mark").alias("root"))
+    mixed = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
+    p = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(similarity)) + F.lit(1e-9)).cast("int")
+    rooted = rooted.join(mixed, "g", "left_semi").withColumn("p", p).join(sizes.select("mark", *[F.col("bits")[k].alias(f"_{k}") for k in range(8)]), "mark")
+    rooted = cut(rooted)
+    left = rooted
+    right = rooted.withColumn("q", F.col("p")).withColumn("p", F.explode(F.array("p", F.col("p") + 1)))
+    chunks = lambda df, name: df.groupBy("g", "p").agg(F.ceil(F.count(F.lit(1)) / MEET_ROWS).cast("int").alias(name))
+    meets = chunks(left, "nx").join(chunks(right, "ny"), ["g", "p"])
+    mine = lambda n: F.pmod(F.xxhash64("mark"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(meets, ["g", "p"]).withColumn("x", mine("nx")).withColumn("y", every("ny")).drop("nx", "ny").alias("l")
+    right = right.join(meets, ["g", "p"]).withColumn("y", mine("ny")).withColumn("x", every("nx")).drop("nx", "ny").alias("r")
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    differ = sum((F.bit_count(l(f"_{k}").bitwiseXOR(r(f"_{k}"))) for k in range(1, 8)), F.bit_count(l("_0").bitwiseXOR(r("_0"))))
+    same = (l("g") == r("g")) & (l("p") == r("p")) & (l("x") == r("x")) & (l("y") == r("y"))
+    once = (r("q") < l("p")) | (l("mark") < r("mark"))
+    fits = (F.least(l("n"), r("n")) >= similarity * F.greatest(l("n"), r("n")) - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (l("n") + r("n")) + 1e-9)
+    met = left.join(right, same & once & (l("root") != r("root")) & fits)
+    return met.select(F.least(l("mark"), r("mark")).alias("a"), F.greatest(l("mark"), r("mark")).alias("b")).distinct()
+
+
+def alike(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (materialised) whose fingerprints have at least that Jaccard similarity.
+
+    A pair first gets the set of its ``b``, which may be the hub of many pairs, and
+    is then sent to its ``a``, so the sets travel to evenly spread keys.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
+    sets = rows.select("mark", "s").join(nodes, "mark", "left_semi").dropDuplicates(["mark"])
+    both = pairs.join(sets.select(F.col("mark").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("mark").alias("a"), F.col("s").alias("sa")), "a")
+    return both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity - 1e-12).select("a", "b")
+
+
+def classes(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """mark, class_id and group_id of every fingerprint of ``rows`` (:func:`signed`, materialised).
+
+    First each fingerprint meets the best connected one of each signature of its
+    prefix; then every candidate pair that these links don't join is compared, so no
+    link is lost, and a large group of near copies is never all its pairs.
+    """
+    shared = cut(prefixes(rows, similarity))
+    sizes = cut(rows.join(shared.select("mark").distinct(), "mark", "left_semi").select("mark", F.size("s").alias("n"), parity(F.col("s")).alias("bits")).distinct())
+    first = cut(stars(shared, sizes, similarity))
+    linked = cut(alike(first, rows, similarity))
+    met = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = cut(candidates(shared, sizes, components(linked), similarity).join(met, ["a", "b"], "left_anti"))
+    roots = components(linked.unionByName(alike(rest, rows, similarity)))
+    named = rows.groupBy("mark").agg(F.min("doc_id").alias("class_id")).join(roots, F.col("mark") == F.col("node"), "left").select("mark", "class_id", F.coalesce("root", "mark").alias("root"))
+    least = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    return named.join(least, "root").select("mark", "class_id", "group_id")
 
 
 def near_classes(docs: DataFrame, text: str = "text", similarity: float = 0.8) -> DataFrame:
-    """doc_id, class_id, group_id and n_links of every row.
+    """doc_id, class_id and group_id of every row.
 
-    Class: equal fingerprints, named by the least doc_id.  Group: classes that
-    :func:`links` join, directly or not, named alike.  n_links: the class's links.
-    Classes without a signature, or without any doc_id, have no links.
+    Class: equal fingerprints, named by the least doc_id.  Group: classes that links
+    (Jaccard ``similarity`` or more) join, directly or not, named alike.  Texts
+    without a signature are one class and have no links; where no row has a doc_id,
+    the names are null.
     """
-    own = classes(docs, text).select("doc_id", "fingerprint_hash")
-    least = own.groupBy("fingerprint_hash").agg(F.min("doc_id").alias("class_id"))
-    found = cut(links(docs, text, similarity))
-    degrees = found.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-    roots = components(found.select("a", "b")).select(F.col("node").alias("class_id"), F.col("root").alias("group_id"))
-    named = least.join(degrees, "class_id", "left").join(roots, "class_id", "left").select("fingerprint_hash", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return own.join(named, "fingerprint_hash").select("doc_id", "class_id", "group_id", "n_links")
+    rows = cut(signed(docs, text))
+    return rows.select("doc_id", "mark").join(classes(rows, similarity), "mark").select("doc_id", "class_id", "group_id")
 
 
-def edited(docs: DataFrame, text: str = "text", rows_per_task: int = 4_000) -> DataFrame:
+def edited(docs: DataFrame, text: str = "text", rows_per_task: int = 4_000, similarity: float = 0.8) -> DataFrame:
     """Fingerprints of every text and of the text whose last quarter the next text's beginning replaces.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited and near_next.  The next text is the one with the next doc_id
+    near_edited, near_next, and class_id and group_id of :func:`near_classes`.  The next text is the one with the next doc_id
     (null ids first, ties in the order of the text's hash; the first after the last).
 
     Texts are shuffled once, into ranges of (doc_id, hash), and signed there.  Each
     range's first row is also sent to the range before it, so that every row finds
-    the next one in its own window.
+    the next one in its own window.  A row with the class and group of each
+    (doc_id, hash) travels with them and comes right before its texts.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
-    ids = cut(df.select("_id", "_h"))
+    rows = cut(signed(docs, text))
+    ids = cut(rows.select("_id", "_h", "mark").join(classes(rows, similarity), "mark").select("_id", "_h", F.struct("class_id", "group_id").alias("_label")))
+    del rows
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     part = ranges(ids, rows_per_task)
     heads = ids.select("_id", "_h", part.alias("_part")).groupBy("_part").agg(F.min(F.struct("_id", "_h")).alias("_x"))
     # one row a range, two for each MAX_RANGES at most: small enough for one window and a broadcast
@@ -154,12 +231,16 @@ def edited(docs: DataFrame, text: str = "text", rows_per_task: int = 4_000) -> D
     own = F.struct(F.col("_part").alias("part"), F.lit(False).alias("copy"))
     sent = F.struct(F.col("_to").alias("part"), F.lit(True).alias("copy"))
     df = df.withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, sent))))
-    df = with_signatures(df.select("doc_id", "_id", "_h", "_text", "_at.part", "_at.copy").repartition("part"), "_text", "_sig")
-    w = Window.partitionBy("part").orderBy("copy", "_id", "_h")
-    df = df.withColumn("_next", F.lead(F.struct("_text", "_sig")).over(w)).filter(~F.col("copy"))
+    labels = ids.distinct().select(part.alias("part"), "_id", "_h", F.lit(False).alias("copy"), "_label")
+    df = df.select("doc_id", "_id", "_h", "_text", "_at.part", "_at.copy").unionByName(labels, allowMissingColumns=True).repartition("part")
+    df = with_signatures(df, "_text", "_sig").withColumn("_own", F.when(F.col("_text").isNotNull(), F.struct("_text", "_sig")))
+    df = df.withColumn("_kind", F.col("_text").isNotNull())
+    w = Window.partitionBy("part").orderBy("copy", "_id", "_h", "_kind")
+    following = F.expr("lead(_own) IGNORE NULLS OVER (PARTITION BY part ORDER BY copy, _id, _h, _kind)")
+    df = df.withColumn("_next", following).withColumn("_label", F.last("_label", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(~F.col("copy") & F.col("_kind"))
     n, tail = F.length("_text"), F.floor(F.length("_text") / 4).cast("int")
     df = df.select(
-        "doc_id", n.cast("long").alias("n_chars"), "_sig", F.col("_next._sig").alias("_next_sig"),
+        "doc_id", "_label", n.cast("long").alias("n_chars"), "_sig", F.col("_next._sig").alias("_next_sig"),
         F.concat(F.substring(F.col("_text"), F.lit(1), n - tail), F.substring(F.col("_next._text"), F.lit(1), tail)).alias("_edited"),
     )
     df = with_signatures(df, "_edited", "_edited_sig")
@@ -167,6 +248,7 @@ def edited(docs: DataFrame, text: str = "text", rows_per_task: int = 4_000) -> D
         "doc_id", "n_chars", F.sha2(F.encode("_edited", "utf-8"), 256).alias("edited_sha256"),
         as_string(F.col("_sig")).alias("fingerprint"), as_string(F.col("_edited_sig")).alias("edited_fingerprint"),
         jaccard(F.col("_sig"), F.col("_edited_sig")).alias("near_edited"), jaccard(F.col("_sig"), F.col("_next_sig")).alias("near_next"),
+        "_label.class_id", "_label.group_id",
     )
 
 

@@ -132,7 +132,10 @@ def test_spotsigs(docs, empty):
     assert next(r["fingerprint"] for r in got if r["doc_id"] == 1) == next(r["fingerprint"] for r in got if r["doc_id"] == 2)
     assert next(r["fingerprint"] for r in got if r["doc_id"] == 3) == ""
     assert spotsigs.edited(empty).count() == 0
-    assert spotsigs.links(docs).count() == 0  # equal texts are one class
+    assert spotsigs.near_classes(empty).count() == 0
+    named = Counter((r["doc_id"], r["class_id"], r["group_id"]) for r in spotsigs.near_classes(docs).collect())
+    assert named[1, 1, 1] == 1 and named[2, 1, 1] == 2 and named[3, 3, 3] == named[4, 3, 3] == 1 and named[None, None, None] == 1
+    assert named == Counter((r["doc_id"], r["class_id"], r["group_id"]) for r in got)
 
 
 def test_packing(docs, empty):

@@ -116,27 +116,48 @@ def test_spotsigs_of_a_repeated_id(spark):
     assert max(r["count"] for r in ids.groupBy(spotsigs.ranges(ids, 9).alias("p")).count().collect()) < 60
 
 
-def test_spotsigs_links_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(spotsigs, "MEET_ROWS", 3)
+def test_spotsigs_classes_equal_brute_force(spark, monkeypatch):
     docs = documents(spark)
-    sets = {}
-    for r in spotsigs.classes(docs).groupBy("fingerprint_hash").agg(F.min("doc_id").alias("id"), F.first("signatures").alias("s")).collect():
-        sets[r["id"]] = set(r["s"])
-    for similarity in (0.8, 0.3):
-        expected = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])}
-        assert {(r["a"], r["b"]) for r in spotsigs.links(docs, similarity=similarity).collect()} == expected
-        groups, degree = components(list(sets), expected), Counter(x for pair in expected for x in pair)
-        got = spotsigs.near_classes(docs, similarity=similarity).collect()
-        assert len(got) == docs.count() and all(r["group_id"] == groups[r["class_id"]] and r["n_links"] == degree[r["class_id"]] for r in got)
+    rows = spotsigs.signed(docs).collect()
+    least = {}
+    for r in rows:
+        least[r["mark"]] = min(least.get(r["mark"], r["doc_id"]), r["doc_id"])
+    sets, of = {least[r["mark"]]: set(r["s"]) for r in rows}, {r["doc_id"]: least[r["mark"]] for r in rows}
+    for similarity, meet in ((0.8, 2_000), (0.3, 3)):
+        monkeypatch.setattr(spotsigs, "MEET_ROWS", meet)
+        links = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])}
+        groups = components(list(sets), links)
+        assert links
+        got = {r["doc_id"]: (r["class_id"], r["group_id"]) for r in spotsigs.near_classes(docs, similarity=similarity).collect()}
+        assert got == {i: (c, groups[c]) for i, c in of.items()}
+        assert {r["doc_id"]: (r["class_id"], r["group_id"]) for r in spotsigs.edited(docs, rows_per_task=30, similarity=similarity).collect()} == got
+
+
+def test_spotsigs_keeps_links_beside_the_hub(spark, monkeypatch):
+    """Texts that share their rarest signatures with a hub unlike them, and are near to one another."""
+    monkeypatch.setattr(spotsigs, "MEET_ROWS", 2)
+    rng = random.Random(3)
+    rows = []
+    for g in range(6):
+        base = [f"the a{g}x{k} b{g}x{k}" for k in range(60)]
+        for c in range(5):  # ever more of the base is replaced
+            own = list(base)
+            for k in range(c * 8):
+                own[k] = f"the c{g}x{c}x{k} d{rng.randint(0, 9)}"
+            rows.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    sets = {r["doc_id"]: set(r["s"]) for r in spotsigs.signed(docs).collect()}
+    links = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    assert {r["doc_id"]: r["group_id"] for r in spotsigs.near_classes(docs, similarity=0.6).collect()} == components(list(sets), links)
 
 
 def test_spotsigs_of_texts_without_common_words(spark):
     words = [f"zz{k}" for k in range(100)]
     texts = [words, [*words[:2], *(f"yy{k}" for k in range(98))], [*words[:60], "xx", *words[61:]], ["zz0", "zz1"]]
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
-    found = {r["doc_id"]: set(r["signatures"]) for r in spotsigs.classes(docs).collect()}
+    found = {r["doc_id"]: set(r["s"]) for r in spotsigs.signed(docs).collect()}
     assert len(found[0]) == 101 and len(found[0] & found[1]) == 1 and len(found[0] & found[2]) == 98
-    assert [(r["a"], r["b"]) for r in spotsigs.links(docs).collect()] == [(0, 2)]
+    assert {r["doc_id"]: r["group_id"] for r in spotsigs.near_classes(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 3}
 
 
 def test_classifier_on_held_out(spark):
