@@ -261,7 +261,7 @@ def shared_entries(entries: DataFrame) -> DataFrame:
     return entries.join(shared, "g", "left_semi").distinct()
 
 
-def _bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``table`` (materialised), for broadcast if it has at most ``rows`` rows."""
     return F.broadcast(table) if table.count() <= rows else table
 
@@ -279,7 +279,7 @@ def possible(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame
 
 def stars(shared: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
     """a, b: each text with the best connected text of each of its shingles, where both may be alike."""
-    scores = _bounded(cut(shared.groupBy("mark").agg(F.count(F.lit(1)).alias("score"))))
+    scores = bounded(cut(shared.groupBy("mark").agg(F.count(F.lit(1)).alias("score"))))
     hubs = shared.join(scores, "mark").groupBy("g").agg(F.max(F.struct("score", "mark")).alias("x")).select("g", F.col("x.mark").alias("b"))
     pairs = shared.join(hubs, "g").filter("mark <> b").select(F.col("mark").alias("a"), "b").distinct()
     return possible(pairs, sizes, similarity)
@@ -296,7 +296,7 @@ def candidates(shared: DataFrame, sizes: DataFrame, roots: DataFrame, similarity
     exclusive-or and bit counts.
     """
     part = (1 - similarity) / (1 + similarity)
-    known = _bounded(cut(roots))
+    known = bounded(cut(roots))
     rooted = shared.join(known, shared["mark"] == known["node"], "left").select("g", "mark", F.coalesce("root", "mark").alias("root"))
     mixed = rooted.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g", "c")
     rooted = cut(rooted.join(mixed, "g"))
@@ -351,7 +351,7 @@ def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
             sets = pa.array([hashes(t, shingle).view(np.int64) for t in texts], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), sets], ["mark", "s"])
 
-    nodes = _bounded(cut(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()))
+    nodes = bounded(cut(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()))
     sets = texts.join(nodes, "mark", "left_semi").select("mark", "_text").mapInArrow(run, "mark long, s array<bigint>").dropDuplicates(["mark"])
     both = pairs.join(sets.select(F.col("mark").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("mark").alias("a"), F.col("s").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scrubwell.llm.common import cut
-from scrubwell.llm.simhash import components, stars
+from scrubwell.llm.simhash import bounded, components, stars
 from scrubwell.llm.textstats import STOPS
 
 CHAIN = 2
@@ -90,10 +90,10 @@ def _search(x: Column, bounds: list, low: int, high: int) -> Column:
 
 
 def signed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, _id (never null), _h (hash of the text), mark (equal for equal fingerprints) and s (the signatures) of every row."""
+    """doc_id, _id (never null), _h (hash of the text), mark (equal for equal fingerprints), s (the signatures), n and bits (their number and parity map) of every row."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     df = with_signatures(df, "_text", "s")
-    return df.select("doc_id", "_id", "_h", F.xxhash64("s").alias("mark"), "s")
+    return df.select("doc_id", "_id", "_h", F.xxhash64("s").alias("mark"), "s", F.size("s").alias("n"), parity(F.col("s")).alias("bits"))
 
 
 def _key() -> Column:
@@ -167,9 +167,10 @@ def alike(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs`` (materialised) whose fingerprints have at least that Jaccard similarity.
 
     A pair first gets the set of its ``b``, which may be the hub of many pairs, and
-    is then sent to its ``a``, so the sets travel to evenly spread keys.
+    is then sent to its ``a``, so the sets travel to evenly spread keys.  Only sets
+    of a pair travel, as long as the list of those is small enough for a broadcast.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
+    nodes = bounded(cut(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()))
     sets = rows.select("mark", "s").join(nodes, "mark", "left_semi").dropDuplicates(["mark"])
     both = pairs.join(sets.select(F.col("mark").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("mark").alias("a"), F.col("s").alias("sa")), "a")
     return both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity - 1e-12).select("a", "b")
@@ -183,7 +184,7 @@ def classes(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
     link is lost, and a large group of near copies is never all its pairs.
     """
     shared = cut(prefixes(rows, similarity))
-    sizes = cut(rows.join(shared.select("mark").distinct(), "mark", "left_semi").select("mark", F.size("s").alias("n"), parity(F.col("s")).alias("bits")).distinct())
+    sizes = cut(rows.select("mark", "n", "bits").distinct().join(shared.select("mark").distinct(), "mark", "left_semi"))
     first = cut(stars(shared, sizes, similarity))
     linked = cut(alike(first, rows, similarity))
     met = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
