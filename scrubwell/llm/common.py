@@ -86,3 +86,23 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     text = json.dumps([dict(zip((n for n, _ in fields), r, strict=True)) for r in rows])
     kind = f"array<struct<{', '.join(f'{n}: {t}' for n, t in fields)}>>"
     return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(text), kind))))
+
+
+def ordinals(df: DataFrame, by: str, order: list[str], out: str, total: str | None = None) -> DataFrame:
+    """Adds a gapless number from 0 within ``by``, in the order of ``order`` (nulls first), and the number of its rows.
+
+    The rows are dealt into ranges of (by, order), which follow each other; each range
+    is written to the shared folder with its number.  A window counts inside (by,
+    range) and a table of one count for each of those says what lies before, so a
+    value of ``by`` that holds most rows is numbered by many tasks.  ``by`` must not be
+    null.  Rows equal in ``by`` and ``order`` are told apart by their place in the input.
+    """
+    tie, span = "_tie", [by, *order, "_tie"]
+    path = scratch_path(df.sparkSession, "ordered")
+    df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*span).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    whole = Window.partitionBy(by)
+    counts = rows.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(by, "_range", (F.sum("_n").over(whole.orderBy("_range")) - F.col("_n")).alias("_before"), *([F.sum("_n").over(whole).alias(total)] if total else []))
+    rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(by, "_range").orderBy(*order, tie)))
+    return rows.join(counts, [by, "_range"]).withColumn(out, F.col("_before") + F.col("_rn") - 1).drop("_range", "_before", "_rn", tie)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubwell.llm import html_blocks, kd_shards, mixing, packing, rule_ensemble, simhash, spotsigs, url_lm, warc, weak_rules
+from scrubwell.llm import html_blocks, kd_shards, line_dedup, merkle, mixing, packing, rule_ensemble, simhash, spotsigs, time_parts, url_lm, warc, weak_rules
 from scrubwell.llm.common import scratch_path, table
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -69,8 +69,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return df.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
+
+
+def op13_time_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return time_parts.relaid(table(spark, sf_dir, "clicks"), scratch_path(spark, "clicks"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kd_shards, op2_html_blocks, op3_rule_ensemble, op4_spotsigs, op5_url_lm, op6_best_fit, op7_simhash, op8_pfair_mix, op9_weak_rules, op10_warc)
+    f.__name__: f
+    for f in (
+        op1_kd_shards, op2_html_blocks, op3_rule_ensemble, op4_spotsigs, op5_url_lm, op6_best_fit, op7_simhash, op8_pfair_mix, op9_weak_rules, op10_warc,
+        op11_merkle, op12_line_dedup, op13_time_parts,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
