@@ -60,13 +60,23 @@ FORMS = {
 }
 
 
+#: Kinds whose listed patterns never ask for the identifier.
+LISTED_WITHOUT_ID = ("initial",)
+
+
+def _forms(kind: str, id_required: bool) -> list[str]:
+    # one digit at least, or none; as few as do, so nothing else changes
+    return [rf"\[\*\*{form.replace('#?', chr(92) + ('d+?' if id_required else 'd*?'))}\*\*\]" for form in FORMS[kind]]
+
+
 def patterns(kind: str, id_required: bool = True) -> list[str]:
-    number = r"(?:\d+)" if id_required else r"(?:\d*)"
-    return [rf"\[\*\*{form.replace('#', number)}\*\*\]" for form in FORMS[kind]]
+    """The patterns of a kind one by one; with ``id_required`` a placeholder without identifier doesn't match, but for LISTED_WITHOUT_ID."""
+    return _forms(kind, id_required and kind not in LISTED_WITHOUT_ID)
 
 
 def pattern(kind: str, id_required: bool = True, group: str = "(") -> str:
-    return group + "|".join(patterns(kind, id_required)) + ")"
+    """One pattern for a kind, in a group; with ``id_required`` a placeholder without identifier doesn't match."""
+    return group + "|".join(_forms(kind, id_required)) + ")"
 
 
 def full_name(id_required: bool = True) -> str:

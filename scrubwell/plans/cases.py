@@ -96,12 +96,22 @@ SURROGATES: list[tuple[str, str, str | None]] = [
     ("V40", "[**Numeric Identifier 35**]", "^(1?[0-9]{1,3}|2000)$"), ("V40 near", "[**Numeric Identifier 36**]", None), ("V41", "[**University/College 37**]", "^[A-Z][a-z]+ University$"), ("V42", "[**URL 38**]", "^www[.][a-z]+[.]example[.]org$"), ("V43", "[**State/Zipcode 39**]", "^[0-9]{5}$"),
     ("none", "[**Nothing 40**]", None), ("none", "[**2177-12-5**]", None),
 ]
+#: Placeholders of which the words before them decide.
+IN_CONTEXT = ["[**Name (NI) 13**]", "[**Name2 (NI) 14**]", "[**Name (NI) 15**]", "[**Location (un) 22**]", "[**Location (un) 23**]", "[**Numeric Identifier 35**]", "[**Numeric Identifier 36**]", "Email: someone"]
 #: Notes in which the context keys stand behind their telling words, and others that do not.
 CONTEXT = "Email: someone\nsee Dr. [**Name (NI) 13**] or Dr.[**Name2 (NI) 14**], not [**Name (NI) 15**]\nborn - [**Location (un) 22**], not in [**Location (un) 23**]\nUnit No:  [**Numeric Identifier 35**] No: [**Numeric Identifier 36**]"
 
-#: (placeholder, kinds of name placeholder it is)
+#: (placeholder whose identifier is #, kind of name placeholder it is, whether a listed pattern asks for the identifier)
 KINDS = [
-    ("[**Known firstname 1**]", "first"), ("[**Doctor First Name 2**]", "first"), ("[**Female First Name (un) 3**]", "first"), ("[**First Name (STitle) 4**]", "first"), ("[**First Name11 (Name Pattern1) 5**]", "first"), ("[**First Name3 (LF) 6**]", "first"), ("[**Male First Name (un) 7**]", "first"),
-    ("[**Name10 (NameIs) 8**]", "first"), ("[**Name6 (MD) 9**]", "first"), ("[** First Name **]", "first"), ("[**Doctor Last Name 1**]", "last"), ("[**Known lastname 2**]", "last"), ("[**Last Name (un) 3**]", "last"), ("[**Last Name 4**]", "last"), ("[**Name11 (NameIs) 5**]", "last"), ("[**Name (STitle) 6**]", "last"),
-    ("[**Name13 (STitle) 7**]", "last"), ("[**Name7 (MD) 8**]", "last"), ("[**Name2 (NI) 9**]", "last"), ("[**Name Prefix (Prefixes) 1**]", "prefix"), ("[**Initial (NamePattern1) 1**]", "initial"), ("[**Initials (NamePattern4) 2**]", "initial"), ("[**Name Initial (MD) 3**]", "initial"), ("[**Name12 (NameIs) 4**]", "initial"),
+    ("[**Known firstname #**]", "first", True), ("[**Doctor First Name #**]", "first", True), ("[**Female First Name (un) #**]", "first", True), ("[**First Name (STitle) #**]", "first", True), ("[**First Name11 (Name Pattern1) #**]", "first", True),
+    ("[**First Name3 (LF) #**]", "first", True), ("[**Male First Name (un) #**]", "first", True), ("[**Name10 (NameIs) #**]", "first", True), ("[**Name6 (MD) #**]", "first", True), ("[**Doctor Last Name #**]", "last", True),
+    ("[**Known lastname #**]", "last", True), ("[**Last Name (un) #**]", "last", True), ("[**Last Name #**]", "last", True), ("[**Name11 (NameIs) #**]", "last", True), ("[**Name (STitle) #**]", "last", True), ("[**Name13 (STitle) #**]", "last", True),
+    ("[**Name7 (MD) #**]", "last", True), ("[**Name2 (NI) #**]", "last", True), ("[**Name Prefix (Prefixes) #**]", "prefix", True), ("[**Initial (NamePattern1) #**]", "initial", False), ("[**Initials (NamePattern4) #**]", "initial", False),
+    ("[**Name Initial (MD) #**]", "initial", False), ("[**Name12 (NameIs) #**]", "initial", False), ("[**Hospital1 #**]", "not_name", True), ("[**Age over 90 #**]", "not_name", True),
 ]
+
+#: (note, whether no placeholder is left, whether none lacks its identifier)
+LEFT = [("replaced", True, True), ("[**Name (STitle) **] or [**x [**State **]", False, False), ("[**State 3**]", False, True), ("[**State 3**] [**Hospital **", False, True), ("Hospital **] and State", True, True), ("a [**Hospital **] b", False, False)]
+
+#: (note, its text once the key "Email: y" has the value x)
+WHOLE_LINES = [("Email: y", "x"), ("Email: y\nz", "Email: y\nz"), ("my Email: y", "my Email: y")]

@@ -40,13 +40,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from scrubwell.plans import corpus_queries  # noqa: F401  its queries register themselves
+    from scrubwell.plans import case_queries, corpus_queries  # noqa: F401  their queries register themselves
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from scrubwell.plans import corpus_queries  # noqa: F401
+    from scrubwell.plans import case_queries, corpus_queries  # noqa: F401
 
     return dict(_SQL)
 
@@ -395,7 +395,12 @@ def o6_complement(spark, sf_dir):
 
 # names, mentions, prompts
 
-MENTION = names.mention(5)
+# the oracle's patterns, written out; # stands for the identifier's digits
+_FIRST_FORMS = r"\[\*\*Doctor First Name #\*\*\]|\[\*\*Female First Name \(\w+\) #\*\*\]|\[\*\* First Name \*\*\]|\[\*\*First Name \(S?Titles?\) #\*\*\]|\[\*\*First Name\d+ \(Name Pattern\d\) #\*\*\]|\[\*\*First Name3 \(LF\) #\*\*\]|\[\*\*Known firstname #\*\*\]|\[\*\*Male First Name \(\w+\) #\*\*\]|\[\*\*Name10 \(NameIs\) #\*\*\]|\[\*\*Name6 \(MD\) #\*\*\]"
+_LAST_FORMS = r"\[\*\*Doctor Last Name #\*\*\]|\[\*\*Known lastname #\*\*\]|\[\*\*Last Name\d* \([^\s]+?\) #\*\*\]|\[\*\*Last Name #\*\*\]|\[\*\*Name11 \(NameIs\) #\*\*\]|\[\*\*Name1?[345]? \([SP]?Titles?\) #\*\*\]|\[\*\*Name[78] \(MD\) #\*\*\]|\[\*\*Name2? \(NI\) #\*\*\]"
+_with_id, _any_id = (lambda forms: forms.replace("#", "[0-9]+")), (lambda forms: forms.replace("#", "[0-9]*"))
+FULL_NAME = rf"({_with_id(_FIRST_FORMS)})\s*({_with_id(_LAST_FORMS)})\s*is\s+an?\s*(\d+|\[\*\*Age over 90 \*\*\]).*?[Yy].*?[Oo].*?"
+MENTION = rf"({FULL_NAME}[^.]*.[^.]*.[^.]*.[^.]*.[^.]*.)"
 
 
 @query(f"WITH {NOTES} SELECT row_id, {', '.join(f'CASE WHEN regexp_matches(note, {sql_text(MENTION)}) THEN regexp_extract(note, {sql_text(MENTION)}, {k}) END AS {n}' for k, n in enumerate(('full_name_mention', 'first_name_placeholder', 'last_name_placeholder', 'patient_age'), 1))} FROM notes")
@@ -412,7 +417,7 @@ def a11_name_frequency(spark, sf_dir):
     return mentions.with_names(df, _map(df), "note").select("row_id", "patient_full_name", "patient_full_name_tfreq")
 
 
-_FIRST, _LAST = names.pattern("first", False, "(?:"), names.pattern("last", False, "(?:")
+_FIRST, _LAST = f"(?:{_any_id(_FIRST_FORMS)})", f"(?:{_any_id(_LAST_FORMS)})"
 
 
 @query(rf"WITH {NOTES} SELECT row_id, regexp_replace(regexp_replace(replace(regexp_extract(note, {sql_text(MENTION)}, 1), chr(10), ''), {sql_text('^' + _FIRST + ' ' + _LAST)}, '[MASK] [MASK]'), '\[\*\*.+?\*\*\]', '', 'g') AS prompt FROM notes WHERE regexp_matches(note, {sql_text(MENTION)})")
@@ -844,19 +849,27 @@ def o5_disjoint_halves(spark, sf_dir):
 # names and concepts, part by part
 
 
-@query("WITH " + NOTES + f", found AS ({FOUND}) " + " UNION ALL ".join(f"SELECT '{kind}' AS kind, placeholder FROM found WHERE regexp_matches(placeholder, {sql_text('^' + names.pattern(kind, False, '(?:') + '$')})" for kind in names.FORMS))
-def m1_kinds_of_placeholders(spark, sf_dir):
-    found = placeholders.distinct_placeholders(_notes(spark, sf_dir), "note")
-    kinds = F.array_compact(F.array(*[F.when(F.col("placeholder").rlike("^" + names.pattern(kind, False, "(?:") + "$"), F.lit(kind)) for kind in names.FORMS]))
-    return found.select(F.explode(kinds).alias("kind"), "placeholder")
+#: The oracle's patterns of every kind, written out.
+_KIND_FORMS = {
+    "first": _FIRST_FORMS,
+    "last": _LAST_FORMS,
+    "prefix": r"\[\*\*Name Prefix \(Prefixes\) #\*\*\]",
+    "initial": r"\[\*\*Initials? \(NamePattern\d\) #\*\*\]|\[\*\*Name Initial \(\w+?\) #\*\*\]|\[\*\*Name12 \(\w+?\) #\*\*\]",
+    "not_name": r"\[\*\*Age over 90 #\*\*\]|\[\*\*Apartment Address\(1\) #\*\*\]|\[\*\*April #\*\*\]|\[\*\*A[tu][ A-Za-z]+ #\*\*\]|\[\*\*Date range \([1-3]\) #\*\*\]|\[\*\*D[aei][ A-Za-z()-]+ #\*\*\]|\[\*\*[CEHJOPSTUWY][ A-Za-z()-/]+ #\*\*\]|\[\*\*Hospital[1-6] #\*\*\]|\[\*\*February #\*\*\]|\[\*\*Lo[ A-Za-z()-]+ #\*\*\]|\[\*\*MD Number\([1-4]\) #\*\*\]|\[\*\*March #\*\*\]|\[\*\*May #\*\*\]|\[\*\*M[eo][ A-Za-z()-]+ #\*\*\]|\[\*\*Month Day Year \(2\) #\*\*\]|\[\*\*Month/Day #\*\*\]|\[\*\*Month/Day [1-4()]* #\*\*\]|\[\*\*Month/Day/Year #\*\*\]|\[\*\*Month/Year [1-2()]+ #\*\*\]|\[\*\*N[ou][ A-Za-z()-]+ #\*\*\]|\[\*\*Street Address\([1-2]\) #\*\*\]|\[\*\*Telephone/Fax \([1-5]\) #\*\*\]|\[\*\*Year \([24] digits\) #\*\*\]|\[\*\*[ 0-9/-]+\*\*\]",
+}
 
 
-FULL_NAME = names.full_name()
+@query("WITH " + NOTES + f", found AS ({FOUND}) " + " UNION ALL ".join(f"SELECT '{kind}' AS kind, placeholder, regexp_matches(placeholder, {sql_text('^(' + _with_id(forms) + ')$')}) AS has_id FROM found WHERE regexp_matches(placeholder, {sql_text('^(' + _any_id(forms) + ')$')})" for kind, forms in _KIND_FORMS.items()))
+def m1_kinds_of_placeholders(spark, sf_dir):
+    found = placeholders.distinct_placeholders(_notes(spark, sf_dir), "note")
+    is_kind = lambda kind, ids: F.col("placeholder").rlike("^" + names.pattern(kind, ids, "(?:") + "$")
+    kinds = F.array_compact(F.array(*[F.when(is_kind(kind, False), F.struct(F.lit(kind).alias("kind"), is_kind(kind, True).alias("has_id"))) for kind in names.FORMS]))
+    return found.select(F.explode(kinds).alias("k"), "placeholder").select("k.kind", "placeholder", "k.has_id")
 
 
 @query(f"WITH {NOTES} SELECT row_id, {', '.join(f'regexp_extract(note, {sql_text(FULL_NAME)}, {k}) AS {n}' for k, n in enumerate(('first', 'last', 'age'), 1))} FROM notes")
 def m3_full_names(spark, sf_dir):
-    return _notes(spark, sf_dir).select("row_id", *[F.regexp_extract("note", FULL_NAME, k).alias(n) for k, n in enumerate(("first", "last", "age"), 1)])
+    return _notes(spark, sf_dir).select("row_id", *[F.regexp_extract("note", names.full_name(), k).alias(n) for k, n in enumerate(("first", "last", "age"), 1)])
 
 
 _EITHER = f"^{_FIRST}$|^{_LAST}$"

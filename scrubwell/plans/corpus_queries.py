@@ -1,88 +1,17 @@
-"""Queries over hand-written cases, and over the whole chain: corpus build, subsets, training text, mentions, gold and predictions."""
+"""Queries over the whole chain: corpus build, subsets, training text, mentions, gold and predictions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubwell.functions import cleaning, dates, names, training_text
+from scrubwell.functions import cleaning, dates, training_text
 from scrubwell.functions.rules import sql_rewrite_lines, sql_substitute, sql_text
 from scrubwell.operators import concepts, corpus, mentions, placeholders, relations, subsets, surrogates
-from scrubwell.plans import cases
 from scrubwell.plans.catalog import _SQL, GAZETTEER, MENTION, NOTES, PARTS, SEED, SENTENCES, _gazetteer, _normal_sql, _notes, _table, backdated_sql, map_sql, query
 from scrubwell.sources import writers
 from scrubwell.sources.shared import shared_path
 
-# hand-written cases: the oracle holds what must come out, written by hand
-
-
-def _values(rows: list[tuple], columns: list[str]) -> str:
-    shown = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else sql_text(v)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(shown(v) for v in r) + ')' for r in rows)}) AS t({', '.join(columns)})"
-
-
-def _numbered(rows: list[tuple], *which: int) -> list[tuple]:
-    return [(k, r[0], *(r[i] for i in which)) for k, r in enumerate(rows)]
-
-
-def _cases(spark, rows: list[tuple], f) -> DataFrame:
-    df = spark.createDataFrame([(k, r[0], r[1]) for k, r in enumerate(rows)], "case_id int, rule string, text string")
-    return f(df)
-
-
-@query(_values(_numbered(cases.CLEANING, 2), ["case_id", "rule", "cleaned"]))
-def c_cases(spark, sf_dir):
-    return _cases(spark, cases.CLEANING, lambda df: df.select("case_id", "rule", cleaning.clean(F.col("text")).alias("cleaned")))
-
-
-@query(_values(_numbered(cases.DATES, 2), ["case_id", "rule", "resolved"]))
-def e_cases(spark, sf_dir):
-    return _cases(spark, cases.DATES, lambda df: df.select("case_id", "rule", dates.resolve(F.col("text")).alias("resolved")))
-
-
-@query(_values(_numbered(cases.BACKDATING, 2), ["case_id", "rule", "backdated"]))
-def r_cases(spark, sf_dir):
-    return _cases(spark, cases.BACKDATING, lambda df: df.withColumn("s", dates.year_shift(F.col("text"))).select("case_id", "rule", dates.backdate(F.col("text"), F.col("s")).alias("backdated")))
-
-
-@query(_values(_numbered(cases.NORMAL, 2, 3), ["case_id", "rule", "plain", "hipaa"]))
-def n_cases(spark, sf_dir):
-    t = F.col("text")
-    return _cases(spark, cases.NORMAL, lambda df: df.select("case_id", "rule", training_text.normalise(t).alias("plain"), training_text.normalise(t, hipaa=True).alias("hipaa")))
-
-
-@query(_values([(k, r[0], r[1], True) for k, r in enumerate(cases.SURROGATES)], ["case_id", "rule", "placeholder", "as_expected"]))
-def v_cases(spark, sf_dir):
-    df = spark.createDataFrame([(k, *r) for k, r in enumerate(cases.SURROGATES)], "case_id int, rule string, placeholder string, shape string")
-    context = spark.createDataFrame([(cases.CONTEXT,)], "note string")
-    keys = df.filter("placeholder LIKE '[**%'").select("placeholder")
-    mapping = surrogates.rule_map(keys, SEED, surrogates.context_keys(context, "note"))
-    met = df.join(mapping, "placeholder", "left")
-    fine = F.when(F.col("shape").isNull(), F.col("dummy_phi").isNull()).otherwise(F.coalesce(F.expr("dummy_phi RLIKE shape"), F.lit(False)))
-    return met.select("case_id", "rule", "placeholder", fine.alias("as_expected"))
-
-
-@query("SELECT 1 AS row_id, 'x' AS filled UNION ALL SELECT 2, 'Email: y' || chr(10) || 'z' UNION ALL SELECT 3, 'my Email: x'")
-def v9_whole_lines(spark, sf_dir):
-    """A line that begins with Email: is a key; it is filled where it is a whole segment (here the value is set by hand)."""
-    df = spark.createDataFrame([(1, "Email: y"), (2, "Email: y\nz"), (3, "my Email: x")], "row_id int, note string")
-    found = surrogates.context_keys(df, "note").filter("ord = 9").select("placeholder", F.lit("x").alias("dummy_phi"))
-    return placeholders.fill(df, found, "row_id", "note", "filled").select("row_id", "filled")
-
-
-@query(_values([(p, k) for p, k in cases.KINDS], ["placeholder", "kind"]))
-def m1_m2_cases(spark, sf_dir):
-    df = spark.createDataFrame([(p,) for p, _ in cases.KINDS], "placeholder string")
-    listed = F.array_compact(F.array(*[F.when(F.greatest(*[F.col("placeholder").rlike(f"^{p}$") for p in names.patterns(kind, False)]), F.lit(kind)) for kind in ("first", "last")] + [F.when(F.col("placeholder").rlike("^" + names.pattern(kind, False, "(?:") + "$"), F.lit(kind)) for kind in ("prefix", "initial")]))
-    return df.select("placeholder", F.explode(listed).alias("kind"))
-
-
-@query(_values([("n", "replaced", True, True), ("t", "[**Name (STitle) **] or [**x [**State **]", False, False), ("h", "[**State 3**]", False, True)], ["k", "note", "replaced", "have_id"]))
-def p10_p11_cases(spark, sf_dir):
-    df = spark.createDataFrame([("n", "replaced"), ("t", "[**Name (STitle) **] or [**x [**State **]"), ("h", "[**State 3**]")], "k string, note string")
-    return df.select("k", "note", placeholders.all_filled(F.col("note")).alias("replaced"), placeholders.all_have_id(F.col("note")).alias("have_id"))
-
-
 # the corpus, from end to end
 
 _SMALL = "WHEN (x, y) IN ((1, 2), (2, 1), (2, 2)) THEN 2 WHEN x = 1 AND y = 1 THEN 1"

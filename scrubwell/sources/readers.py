@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from scrubwell.sources import split_csv
+
 PHI_TYPES = ["AGE", "DATE", "DOCTOR", "HOSPITAL", "ID", "LOCATION", "PATIENT", "PHONE"]
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True, sep: str = ",") -> DataFrame:
-    """Quoted, multi-line CSV or TSV; an empty field is null, quoted or not.  Multi-line files can't be split: persist as parquet before heavy use."""
-    return spark.read.schema(schema).options(header=header, sep=sep, multiLine=True, quote='"', escape='"').csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True, sep: str = ",", blocks: bool = True) -> DataFrame:
+    """Quoted, multi-line CSV or TSV; an empty field is null, quoted or not.
+
+    With ``blocks`` a file is read by as many tasks as it has blocks
+    (:mod:`scrubwell.sources.split_csv`), else by one, which needs one scan instead of two.
+    """
+    if not blocks:
+        return spark.read.schema(schema).options(header=header, sep=sep, multiLine=True, quote='"', escape='"').csv(path)
+    return split_csv.read(spark, path, T.StructType.fromDDL(schema) if isinstance(schema, str) else schema, header, sep)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
-    return read_csv(spark, path, schema, header, "\t")
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True, blocks: bool = True) -> DataFrame:
+    return read_csv(spark, path, schema, header, "\t", blocks)
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
