@@ -40,13 +40,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from scrubwell.plans import case_queries, corpus_queries  # noqa: F401  their queries register themselves
+    from scrubwell.plans import case_queries, corpus_queries, text_queries  # noqa: F401  their queries register themselves
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from scrubwell.plans import case_queries, corpus_queries  # noqa: F401
+    from scrubwell.plans import case_queries, corpus_queries, text_queries  # noqa: F401
 
     return dict(_SQL)
 
