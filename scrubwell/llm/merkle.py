@@ -29,7 +29,7 @@ COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
 def digest(what: Column) -> Column:
-    return F.sha2(F.encode(what, "utf-8"), 256)
+    return F.sha2(what.cast("binary"), 256)
 
 
 def part(value: Column) -> Column:
@@ -140,7 +140,7 @@ def manifest(docs: DataFrame, group: str = "source", key: str = "doc_id", column
 
 def checked(docs: DataFrame) -> DataFrame:
     """The digests of the manifest of ``documents`` and what tampering with every second one does to them."""
-    odd = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 2 == 0
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     found = manifest(docs, text=F.when(odd, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
     siblings = F.array_join(F.transform("steps", lambda s: F.concat(s["left"], s["right"])), "")
     found = found.withColumn("folded_root", fold(F.col("changed"), F.col("steps")))

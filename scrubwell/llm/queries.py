@@ -75,7 +75,7 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
-    return df.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
+    return df.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op13_time_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

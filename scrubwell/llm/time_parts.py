@@ -159,8 +159,8 @@ def rewrite(df: DataFrame, path: str, moment: Column, order: list[str], limit: i
     folder = Folder(path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), tuple(columns))
     rows = df.withColumn("_moment", moment).withColumn("_hour", hour_of(F.col("_moment")))
     counted = scratch_path(spark, "hours")
-    rows.filter(F.col("_hour").isNotNull()).groupBy(F.col("_hour").alias("hour")).agg(F.count(F.lit(1)).alias("n")).write.parquet(counted)
-    nodes = leaves(spark.read.parquet(counted), limit)
+    rows.groupBy(F.col("_hour").alias("hour")).agg(F.count(F.lit(1)).alias("n")).write.parquet(counted)
+    nodes = leaves(spark.read.parquet(counted).filter("hour IS NOT NULL"), limit)
     rest = [c for c in columns if c not in order and not df.schema[c].dataType.simpleString().startswith("map")]
     numbered = ordinals(_leaf(rows, nodes), "_leaf", ["_moment", *order, *rest], "_at")
     wanted = numbered.withColumn("_part", F.expr(f"_at div {limit} + 1"))
@@ -233,7 +233,7 @@ def files(spark: SparkSession, folder: Folder, key: str, new: Column) -> DataFra
 
 def moved(ts: Column, click_id: Column) -> Column:
     """``ts``, for some ids moved back by up to 25 years or to the start of the week."""
-    k = F.crc32(F.encode(click_id.cast("string"), "utf-8")) % 128
+    k = F.crc32(click_id.cast("string").cast("binary")) % 128
     ts = ts.cast("timestamp_ntz")
     day = ts.cast("date")
     monday = F.date_sub(day, F.weekday(day)).cast("timestamp_ntz")
