@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scrubwell.llm.common import cut
+from scrubwell.llm.common import lean_cut as cut
 from scrubwell.llm.simhash import bounded, components, stars
 from scrubwell.llm.textstats import STOPS
 
