@@ -149,7 +149,9 @@ class Block:
     chrome: bool  # inside menus, footers, forms and so on, by element or role
     hinted: bool  # inside an element whose class or id says so
     article: bool  # inside article or main
+    above: int = 0  # the element around the innermost one
     share: float = 0.0  # how much of the page's other text is inside article or main
+    held: int = 0  # words inside article or main, 100 at most
     boiler: bool = False
     ended: bool = False
 
@@ -258,7 +260,7 @@ def blocks(page: str | None) -> list[Block]:
         own = n.name in CHROME and not (n.name == "header" and article[p]) and not (n.name in ("form", "fieldset") and (wraps or n.title)) or role[k] in ROLES and not wraps
         # a menu or header without an end isn't what holds the article, or most of the page
         own &= n.closed or not (wraps or n.name in ("nav", "header", "menu") and 2 * n.words > nodes[0].words)
-        own |= "hidden" in said[k] or re.search(r"display\s*:\s*none", said[k].get("style", ""), re.I) is not None
+        own |= "hidden" in said[k] or said[k].get("aria-hidden", "").strip().lower() == "true" and not wraps or re.search(r"display\s*:\s*none", said[k].get("style", ""), re.I) is not None
         hint = any(ASIDE_PART.search(x) for x in names) and not (n.name not in ("article", "section") and wraps and nodes[largest].name == "main")
         if not bears[k] and not wraps:
             hint |= any(OTHER_PART.search(x) for x in names) or not article[p] and any(HEADER_PART.search(x) for x in names)
@@ -280,7 +282,7 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             n = text.count(" ") + 1
             short = n <= 25
-            out.append(Block(text, n, min(linked, n), nodes[at].name, chrome[at], hinted[at], article[at], 0.0, short and PHRASES.search(text) is not None))
+            out.append(Block(text, n, min(linked, n), nodes[at].name, chrome[at], hinted[at], article[at], nodes[at].parent, boiler=short and PHRASES.search(text) is not None))
         parts.clear()
         linked = 0
 
@@ -297,17 +299,23 @@ def blocks(page: str | None) -> list[Block]:
         if link >= 0 and (links[link][0] or k < links[link][1] or links[link][1] < 0):
             linked += len(text.split())
     clean = [b for b in out if not b.chrome and not b.hinted]
-    share = sum(b.words for b in clean if b.article) / max(1, sum(b.words for b in clean))
+    inside = sum(b.words for b in clean if b.article)
+    share = inside / max(1, sum(b.words for b in clean))
     ended: set[bool] = set()
+    told_in: set[int] = set()  # elements whose paragraphs are an article's
     for b in out:
-        b.share, b.ended = share, b.article in ended
+        b.share, b.held, b.ended = share, min(inside, 100), b.article in ended
         if b.words <= 6 and (b.tag in HEADINGS or b.tag not in PARAGRAPHS) and ENDING.fullmatch(b.text):
-            b.ended = True
-            ended |= {b.article, False}
+            # beside the article's own paragraphs it is the heading of one of its sections
+            if not (b.article and b.tag in HEADINGS and b.above in told_in):
+                b.ended = True
+                ended |= {b.article, False}
+        elif b.article and b.tag == "p" and not b.chrome and not b.hinted and not b.ended:
+            told_in.add(b.above)
     return out
 
 
-FEATURES = ["words", "density", "prev_words", "prev_density", "next_words", "next_density", "chrome", "hinted", "article", "share", "heading", "paragraph", "item", "boiler", "ended"]
+FEATURES = ["words", "density", "prev_words", "prev_density", "next_words", "next_density", "chrome", "hinted", "article", "share", "held", "heading", "paragraph", "item", "boiler", "ended"]
 
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:
@@ -318,7 +326,7 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
     for k, b in enumerate(found):
         before, after = own[k - 1] if k else none, own[k + 1] if k + 1 < len(own) else none
         item = b.tag in ("li", "td", "th", "dt", "dd")
-        rows.append((*own[k], *before, *after, *map(float, (b.chrome, b.hinted, b.article, b.share, b.tag in HEADINGS, b.tag in PARAGRAPHS, item, b.boiler, b.ended))))
+        rows.append((*own[k], *before, *after, *map(float, (b.chrome, b.hinted, b.article, b.share, b.held, b.tag in HEADINGS, b.tag in PARAGRAPHS, item, b.boiler, b.ended))))
     return rows
 
 

@@ -41,6 +41,14 @@ LAYOUTS = [
     f"{{-1}}<article><p>{{+60}}</p></article>", f"<span>{{-2}}</span><article>{_STORY}</article>{{-3}}", f"<p>{{-4}}</p><main><p>{{+38}}</p><p>{{+12}}</p></main><p>{{-7}}</p>", f"<div>{{-1}}</div><article>{{+44}}</article>",
     f"<article>{{+1}}</article>", f"<article><p>{{+2}}</p></article>", f"<main>{{+5}}</main>", f"<article><p>{{+3}}</p><p>{{+2}}</p><p>{{+4}}</p></article><footer>{{-3}}</footer>",
     f"<article><p>{{+9}} <a href=x>{{+9}}</a></p><p><a href=y>{{+14}}</a> {{+3}}</p><p>{{+20}}</p></article>{_MENU}",
+    # an article beside blocks of other text, with nothing that says what those are
+    f"<article><p>{{+30}}</p></article><div>{{-40}}</div>", f"<div><p>{{-40}}</p></div><article><p>{{+35}}</p><p>{{+20}}</p></article><div><p>{{-20}}</p></div>", f"<article><h1>{{+4}}</h1><p>{{+40}}</p></article><div><div>{{-30}}</div><div>{{-45}}</div></div>",
+    f"<div>{{-60}}</div><main><p>{{+50}}</p></main>", f"<article><p>{{+28}}</p></article><section><p>{{-25}}</p><p>{{-33}}</p></section>", f"<div><p>{{-8}}</p><p>{{-50}}</p></div><main><h1>{{+5}}</h1><p>{{+45}}</p></main><div>{{-6}}</div>",
+    # a short article element beside the story itself
+    f"<article>{{-3}}</article><div><h1>{{+6}}</h1><p>{{+60}}</p><p>{{+48}}</p></div>", f"<h1>{{+5}}</h1><p>{{+70}}</p><p>{{+52}}</p><article><a href=a>{{-4}}</a></article><article><a href=b>{{-3}}</a></article>",
+    # a section of the article itself that is called as comments are
+    f"<article><p>{{+33}}</p><h2>{{+Comments}}</h2><p>{{+40}}</p></article>", f"<article><h1>{{+4}}</h1><p>{{+50}}</p><h2>{{+Comments}}</h2><p>{{+22}}</p><h2>{{+3}}</h2><p>{{+31}}</p></article>",
+    f"<article><p>{{+33}}</p><div><h2>{{-Comments}}</h2><p>{{-40}}</p><p>{{-12}}</p></div></article>",
     # pages without one
     f"{_HEAD}<div class=header>{{-4}}</div><div id=nav>{_LIST}</div><div>{_STORY}</div><div class=sidebar><p>{{-28}}</p>{_LIST}</div><div id=footer>{{-9}}</div>",
     f"{_MENU}<p>{{+30}}</p>", f"<nav><a href=h>{{-1}}</a></nav><p>{{+30}}</p><p>{{+5}}</p><footer>{{-4}}</footer>",

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scrubwell.llm import html_blocks, kd_shards, mixing, packing, queries, rule_ensemble, simhash, spotsigs, url_lm, warc, weak_rules
+from scrubwell.llm import html_blocks, html_layouts, kd_shards, mixing, packing, queries, rule_ensemble, simhash, spotsigs, url_lm, warc, weak_rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -341,6 +341,33 @@ def test_main_text_of_held_out_layouts():
         assert html_blocks.main_text(page, TREE) == expected, page[:120]
 
 
+C, S = " ".join(f"c{k}" for k in range(40)), " ".join(f"s{k}" for k in range(20))
+#: Blocks whose names say nothing, beside articles; and headings that call an article's section or its comments alike.
+UNNAMED = [
+    (f"<div class=left-col>{C}</div><article><p>{A}</p><p>{B}</p></article>", f"{A} {B}"), (f"<article><p>{A}</p></article><div class=left-col>{C}</div>", A),
+    (f"<article><p>{A}</p></article><div class=bottom><p>{S}</p></div>", A), (f"<article><p>{A}</p></article><div class=adslot>{S}</div>", A), (f"<div id=adbox-top>{S}</div><article><p>{B}</p></article>", B),
+    (f"<div class=overlay>{C}</div><article><p>{A}</p></article>", A), (f"<p>{A}</p><div aria-hidden=true>{S}</div><p>{B}</p>", f"{A} {B}"), (f"<article><p>{A}</p></article><h2>Discussion</h2><p>{C}</p><p>{S}</p>", A),
+    (f"<article><p>{A}</p><h2>Comments</h2><p>{C}</p></article>", f"{A} Comments {C}"), (f"<article><p>{A}</p><section><h2>Comments</h2><p>{C}</p></section></article>", A), (f"<p>{A}</p><p>{B}</p><h2>Comments</h2><p>{C}</p>", f"{A} {B}"),
+]
+
+
+@pytest.mark.parametrize("page,expected", UNNAMED)
+def test_main_text_beside_unnamed_blocks(page, expected):
+    assert html_blocks.main_text(page, TREE) == expected
+
+
+def test_main_text_with_every_layout_held_out():
+    """Each layout judged by a tree of all the others: shares of words."""
+    layouts, right, added, lost = html_layouts.LAYOUTS, 0, 0, 0
+    for k, layout in enumerate(layouts):
+        tree = html_blocks.grow(*html_blocks.labelled(layouts[:k] + layouts[k + 1 :]))
+        found = html_blocks.blocks(html_layouts.filled(layout, 1))
+        for b, x in zip(found, html_blocks.features(found), strict=True):
+            own, told = html_layouts.MARK in b.text, html_blocks.says(tree, x)
+            right, added, lost = right + b.words * (own and told), added + b.words * (told and not own), lost + b.words * (own and not told)
+    assert right / (right + added) > 0.98 and right / (right + lost) > 0.95
+
+
 def test_hostile_pages_take_linear_time():
     for part in ("<a \"", "<a x='", '<p title="', "<div>", "<div><li></li>", "<button>", "<!--", "<!", "</", "<", "&", "<ul><li>", '<b class="x', "<a href=x>", "<svg>", "</title>", '<p =" '):
         began = time.process_time()
