@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubwell.operators.placeholders import NO_ID
+from scrubwell.operators.placeholders import NO_ID, searched
 from scrubwell.operators.ranking import draw
 
 SEEDS = {"hospital": 42, "shadow": 12345}
@@ -126,11 +126,18 @@ def rule_map(keys: DataFrame, seed: int, contexts: DataFrame | None = None, key:
     return both.groupBy(key).agg(F.max_by("dummy_phi", F.struct("ord", "late")).alias("dummy_phi"))
 
 
+#: What a line must hold for each context rule to be tried on it; a plain search, unlike the rule.
+_TOLD = {9: lambda x: x.startswith("Email:"), 11: lambda x: x.contains(" (NI) "), 17: lambda x: x.contains("- [**Location"), 40: lambda x: x.contains("Unit No:")}
+
+
 def context_keys(notes: DataFrame, text: str) -> DataFrame:
-    """placeholder, ord: keys that stand behind a telling word; no rule reaches over a line, and only lines with a placeholder or an address are searched."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.contains("[**") | x.startswith("Email:"))
+    """placeholder, ord: keys that stand behind a telling word; no rule reaches over a line, and only lines with such a word are searched."""
+    whole = F.col(text)
+    told = lambda x: _TOLD[9](x) | _TOLD[11](x) | _TOLD[17](x) | _TOLD[40](x)
+    lines = F.filter(F.split(F.when(whole.contains("Email:"), whole).otherwise(searched(whole)), "\n"), told)
     lines = notes.select(F.explode(lines).alias("_s"))
-    of = lambda o, p: F.transform(F.regexp_extract_all(F.col("_s"), F.lit(p), F.lit(1)), lambda x: F.struct(x.alias("placeholder"), F.lit(o).alias("ord")))
+    none = F.array().cast("array<struct<placeholder: string, ord: int>>")
+    of = lambda o, p: F.when(_TOLD[o](F.col("_s")), F.transform(F.regexp_extract_all(F.col("_s"), F.lit(p), F.lit(1)), lambda x: F.struct(x.alias("placeholder"), F.lit(o).alias("ord")))).otherwise(none)
     return lines.select(F.inline(F.concat(*[of(o, p) for o, p, _ in CONTEXT_RULES]))).distinct()
 
 
