@@ -90,7 +90,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+def _tree_sql(name: str, base: str, levels: int) -> str:
+    """CTEs over ``base`` (g, i from 0, node, f, proof): <name>_roots (g, root), and <name>_done with f folded and proof filled up to the root."""
+    out = [f"{name}_l0 AS (SELECT g, i, node, count(*) OVER (PARTITION BY g) AS n FROM {base})"]
+    for k in range(levels):
+        run = f"OVER (PARTITION BY g, i // 3 ORDER BY i ROWS BETWEEN"
+        out.append(f"{name}_l{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM (SELECT g, i // 3 AS i, sha256(string_agg(node, '' ORDER BY i)) AS node FROM {name}_l{k} WHERE n > 1 GROUP BY g, i // 3))")
+        out.append(f"{name}_s{k} AS (SELECT g, i, coalesce(string_agg(node, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(node, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}_l{k} WHERE n > 1)")
+        below = f"{name}_p{k - 1}" if k else base
+        out.append(f"{name}_p{k} AS (SELECT p.* REPLACE (CASE WHEN s.g IS NULL THEN p.f ELSE sha256(l || p.f || r) END AS f, p.proof || coalesce(l || r, '') AS proof) FROM {below} p LEFT JOIN {name}_s{k} s ON s.g = p.g AND s.i = p.i // {3**k})")
+    out.append(f"{name}_roots AS ({' UNION ALL '.join(f'SELECT g, node AS root FROM {name}_l{k} WHERE n = 1' for k in range(levels + 1))})")
+    return ", ".join([*out, f"{name}_done AS (SELECT * FROM {name}_p{levels - 1})"])
+
+
+_LEAF = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+#: CRC-32 of the decimal doc_id without the last inversion, bit by bit.
+_CRC = "list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END)))"
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 ORACLE_SQL: dict[str, str] = {
+    # a source has at most 3^13 documents, and there are at most 3^8 sources
+    "op11_merkle": f"""
+        WITH d AS (SELECT doc_id, coalesce('=' || source, '-') AS g, sha256({_LEAF.format(text="text")}) AS node, CASE WHEN {_CRC} % 2 = 1 THEN sha256({_LEAF.format(text="replace(text, chr(10), '')")}) END AS changed FROM documents),
+        b AS (SELECT doc_id, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, node) - 1 AS i, node, coalesce(changed, node) AS f, '' AS proof FROM d), {_tree_sql("t", "b", 13)},
+        sb AS (SELECT 0 AS g, g AS source, row_number() OVER (ORDER BY g) - 1 AS i, root AS node, '' AS f, '' AS proof FROM t_roots), {_tree_sql("u", "sb", 8)},
+        whole AS (SELECT 0 AS g, doc_id, t_done.node AS leaf, sb.node AS subroot, sb.i, t_done.f, t_done.proof FROM t_done JOIN sb ON sb.source = t_done.g), {", ".join(f"w{k} AS (SELECT p.* REPLACE (CASE WHEN s.g IS NULL THEN p.f ELSE sha256(l || p.f || r) END AS f, p.proof || coalesce(l || r, '') AS proof) FROM {f'w{k - 1}' if k else 'whole'} p LEFT JOIN u_s{k} s ON s.g = p.g AND s.i = p.i // {3**k})" for k in range(8))}
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM w7, u_roots
+    """,
+    "op12_line_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), l AS (SELECT r, doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM d),
+        k AS (SELECT *, translate(trim(line, {_WHITE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l), f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
+        SELECT doc_id, count(*)::BIGINT AS n_lines, count(f.key)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256 FROM k LEFT JOIN f USING (key) GROUP BY r, doc_id
+    """,
     # digest: 160 bits, written as 32 groups of five
     "op10_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
