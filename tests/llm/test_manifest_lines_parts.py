@@ -7,11 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
+import duckdb
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from scrubwell.llm import line_dedup, merkle, time_parts
+from scrubwell.llm import line_dedup, merkle, queries, time_parts
 from scrubwell.llm.common import scratch_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, changed string, kept_text string, n long, root string"
@@ -222,3 +223,14 @@ def test_runs():
     counts = {1: 3, 3: 9, 4: 2, 6: 3, 7: 1}
     assert time_parts.runs(list(range(1, 9)), counts, 5) == ([[1, 2], [4, 5, 6], [7, 8]], [3])
     assert time_parts._label(0, 2005, 2007) == "2005-2007" and time_parts._label(3, 2024030507, 2024030507) == "2024/03/05/07-07"
+
+
+@pytest.mark.parametrize("name", ["op11_merkle", "op12_line_dedup"])
+def test_queries_match_sql(spark, name):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    result = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in result.description]
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(got.columns) == sorted(columns)
+    assert Counter(str([r[c] for c in columns]) for r in got.collect()) == Counter(str(list(r)) for r in result.fetchall())
