@@ -6,6 +6,8 @@ import json
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,18 +44,24 @@ def cut(df: DataFrame) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def lean_cut(df: DataFrame) -> DataFrame:
-    """As :func:`cut`, and the shuffles that led to the table go at once; nothing reads them again, for the table is in the shared folder."""
-    spark = df.sparkSession
-    shared_dir(spark)
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Executions that begin inside lose their shuffles when they end.  For what is written into the shared folder: nothing reads those shuffles again."""
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        return df.select("*").checkpoint()  # a new execution, which takes the setting
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
 
 
+def lean_cut(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, and the shuffles that led to the table go at once."""
+    shared_dir(df.sparkSession)
+    with lean(df.sparkSession):
+        return df.select("*").checkpoint()  # a new execution, which takes the setting
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
@@ -115,7 +123,8 @@ def ordinals(df: DataFrame, by: str, order: list[str], out: str, total: str | No
     """
     tie, span = "_tie", [by, *order, "_tie"]
     path = scratch_path(df.sparkSession, "ordered")
-    df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*span).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    with lean(df.sparkSession):
+        df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*span).withColumn("_range", F.spark_partition_id()).write.parquet(path)
     rows = df.sparkSession.read.parquet(path)
     whole = Window.partitionBy(by)
     counts = rows.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_n"))

@@ -37,6 +37,8 @@ CHAIN = 2
 SPARSE = 16
 #: Members of a signature of which each group has so many on either side.
 MEET_ROWS = 2_000
+#: Signatures of a set from which on a parity map of 512 bits says little.
+LARGE = 400
 #: Cells of the table of how many signatures fall where.
 COUNTED = 1 << 16
 _ANCHOR, _CONTENT = "\x01", "\x02"
@@ -90,10 +92,16 @@ def _search(x: Column, bounds: list, low: int, high: int) -> Column:
 
 
 def signed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, _id (never null), _h (hash of the text), mark (equal for equal fingerprints), s (the signatures), n and bits (their number and parity map) of every row."""
+    """doc_id, _id (never null), _h (hash of the text), mark (equal for equal fingerprints), s (the signatures), n and bits (their number and parity map), and a number of its own (row) of every row."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     df = with_signatures(df, "_text", "s")
-    return df.select("doc_id", "_id", "_h", F.xxhash64("s").alias("mark"), "s", F.size("s").alias("n"), parity(F.col("s")).alias("bits"))
+    return df.select("doc_id", "_id", "_h", F.xxhash64("s").alias("mark"), "s", F.size("s").alias("n"), parity(F.col("s")).alias("bits"), F.monotonically_increasing_id().alias("row"))
+
+
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row of every fingerprint; the numbers of the chosen rows meet the rows where they are, as long as they are few enough for a broadcast."""
+    chosen = cut(rows.groupBy("mark").agg(F.min("row").alias("row")).select("row"))
+    return rows.join(bounded(chosen), "row", "left_semi")
 
 
 def _key() -> Column:
@@ -114,14 +122,14 @@ def prefixes(rows: DataFrame, similarity: float) -> DataFrame:
 
     In any one order of all signatures, sets of Jaccard ``similarity`` share one of
     their first n - ceil(similarity * n) + 1.  The order here puts signatures of full
-    cells last.  Equal fingerprints are combined before any shuffle.
+    cells last.  ``rows``: one of each fingerprint.
     """
     n, level = F.size("s"), levels(rows)
     order = F.array_sort(F.transform("s", lambda g: F.struct(F.substring(level, F.pmod(g, F.lit(COUNTED)).cast("int") + 1, F.lit(1)).alias("level"), g.alias("g"))))
     first = F.slice(order, F.lit(1), (n - F.ceil(F.lit(similarity) * n - F.lit(1e-9)) + 1).cast("int"))
-    entries = rows.filter(n > 0).select(F.explode(first).alias("x"), "mark", n.alias("n")).select("x.g", "mark", "n").distinct().repartition("g")
-    shared = entries.groupBy("g").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo <> hi").select("g")
-    return entries.join(shared, "g", "left_semi")
+    entries = rows.filter(n > 0).select(F.explode(first).alias("x"), "mark", n.alias("n")).select("x.g", "mark", "n")
+    own = Window.partitionBy("g")
+    return entries.withColumn("lo", F.min("mark").over(own)).withColumn("hi", F.max("mark").over(own)).filter("lo <> hi").select("g", "mark", "n")
 
 
 def parity(s: Column) -> Column:
@@ -148,12 +156,14 @@ def candidates(shared: DataFrame, sizes: DataFrame, roots: DataFrame, similarity
     rooted = cut(rooted)
     left = rooted
     right = rooted.withColumn("q", F.col("p")).withColumn("p", F.explode(F.array("p", F.col("p") + 1)))
-    chunks = lambda df, name: df.groupBy("g", "p").agg(F.ceil(F.count(F.lit(1)) / MEET_ROWS).cast("int").alias(name))
-    meets = chunks(left, "nx").join(chunks(right, "ny"), ["g", "p"])
+    # the number of chunks, where it is not one: a row for so many members at least
+    chunks = lambda df, name: bounded(cut(df.groupBy("g", "p").agg(F.ceil(F.count(F.lit(1)) / MEET_ROWS).cast("int").alias(name)).filter(F.col(name) > 1)))
+    nx, ny = chunks(left, "nx"), chunks(right, "ny")
+    meeting = lambda df: df.join(nx, ["g", "p"], "left").join(ny, ["g", "p"], "left").withColumns({"nx": F.coalesce("nx", F.lit(1)), "ny": F.coalesce("ny", F.lit(1))})
     mine = lambda n: F.pmod(F.xxhash64("mark"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = left.join(meets, ["g", "p"]).withColumn("x", mine("nx")).withColumn("y", every("ny")).drop("nx", "ny").alias("l")
-    right = right.join(meets, ["g", "p"]).withColumn("y", mine("ny")).withColumn("x", every("nx")).drop("nx", "ny").alias("r")
+    left = meeting(left).withColumn("x", mine("nx")).withColumn("y", every("ny")).drop("nx", "ny").alias("l")
+    right = meeting(right).withColumn("y", mine("ny")).withColumn("x", every("nx")).drop("nx", "ny").alias("r")
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     differ = sum((F.bit_count(l(f"_{k}").bitwiseXOR(r(f"_{k}"))) for k in range(1, 8)), F.bit_count(l("_0").bitwiseXOR(r("_0"))))
     same = (l("g") == r("g")) & (l("p") == r("p")) & (l("x") == r("x")) & (l("y") == r("y"))
@@ -163,17 +173,37 @@ def candidates(shared: DataFrame, sizes: DataFrame, roots: DataFrame, similarity
     return met.select(F.least(l("mark"), r("mark")).alias("a"), F.greatest(l("mark"), r("mark")).alias("b")).distinct()
 
 
-def alike(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (materialised) whose fingerprints have at least that Jaccard similarity.
+def _together(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` with the ``s`` of both, as sa and sb.
 
     A pair first gets the set of its ``b``, which may be the hub of many pairs, and
-    is then sent to its ``a``, so the sets travel to evenly spread keys.  Only sets
-    of a pair travel, as long as the list of those is small enough for a broadcast.
+    is then sent to its ``a``, so the sets travel to evenly spread keys.
+    """
+    return pairs.join(sets.select(F.col("mark").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("mark").alias("a"), F.col("s").alias("sa")), "a")
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return bounded(cut(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()))
+
+
+def alike(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (materialised) whose fingerprints have at least that Jaccard similarity; ``rows``: one of each fingerprint.
+
+    Pairs of large sets, whose parity maps are too full to tell them apart, first meet
+    by a quarter of their signatures: alike sets differ in at most
+    (1 - s) / (1 + s) * (n + m) of all, so in no more of a quarter.  Only the sets of
+    what is left travel whole.
     """
-    nodes = bounded(cut(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()))
-    sets = rows.select("mark", "s").join(nodes, "mark", "left_semi").dropDuplicates(["mark"])
-    both = pairs.join(sets.select(F.col("mark").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("mark").alias("a"), F.col("s").alias("sa")), "a")
-    return both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity - 1e-12).select("a", "b")
+    counted = rows.select("mark", "n").join(_nodes(pairs), "mark", "left_semi")
+    n = lambda side: counted.select(F.col("mark").alias(side), F.col("n").alias(f"n{side}"))
+    sized = cut(pairs.select("a", "b").join(n("a"), "a").join(n("b"), "b"))
+    large = sized.filter(F.least("na", "nb") > LARGE)
+    quarters = rows.filter(F.col("n") > LARGE).join(_nodes(large), "mark", "left_semi").select("mark", F.filter("s", lambda g: g.bitwiseAND(3) == 0).alias("s"))
+    differ = F.size("sa") + F.size("sb") - 2 * F.size(F.array_intersect("sa", "sb"))
+    left = _together(large, quarters).filter(differ <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b")
+    left = cut(left.unionByName(sized.filter(F.least("na", "nb") <= LARGE).select("a", "b")))
+    sets = rows.select("mark", "s").join(_nodes(left), "mark", "left_semi")
+    return _together(left, sets).filter(jaccard(F.col("sa"), F.col("sb")) >= similarity - 1e-12).select("a", "b")
 
 
 def classes(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -183,13 +213,14 @@ def classes(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
     prefix; then every candidate pair that these links don't join is compared, so no
     link is lost, and a large group of near copies is never all its pairs.
     """
-    shared = cut(prefixes(rows, similarity))
-    sizes = cut(rows.select("mark", "n", "bits").distinct().join(shared.select("mark").distinct(), "mark", "left_semi"))
+    each = one_each(rows)
+    shared = cut(prefixes(each, similarity))
+    sizes = cut(each.select("mark", "n", "bits").join(shared.select("mark").distinct(), "mark", "left_semi"))
     first = cut(stars(shared, sizes, similarity))
-    linked = cut(alike(first, rows, similarity))
+    linked = cut(alike(first, each, similarity))
     met = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = cut(candidates(shared, sizes, components(linked), similarity).join(met, ["a", "b"], "left_anti"))
-    roots = components(linked.unionByName(alike(rest, rows, similarity)))
+    roots = components(linked.unionByName(alike(rest, each, similarity)))
     named = rows.groupBy("mark").agg(F.min("doc_id").alias("class_id")).join(roots, F.col("mark") == F.col("node"), "left").select("mark", "class_id", F.coalesce("root", "mark").alias("root"))
     least = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
     return named.join(least, "root").select("mark", "class_id", "group_id")

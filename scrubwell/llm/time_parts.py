@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubwell.llm.common import ordinals, scratch_path, small_frame
+from scrubwell.llm.common import lean, ordinals, scratch_path, small_frame
 
 NULL = "null"
 #: Year, month, day and hour as one number, and what to divide it by for each level of the calendar.
@@ -172,7 +172,8 @@ def rewrite(df: DataFrame, path: str, moment: Column, order: list[str], limit: i
         there = folder.read(spark).groupBy("_path", "_leaf", "_part").agg(*_sums(columns))
         both = there.join(wanted.groupBy("_leaf", "_part").agg(*_sums(columns)).withColumn("_recurs", F.lit(True)), ["_leaf", "_part", *_SUMS], "left")
         # a row for each file, as many as there are parts of the limit
-        files = both.select("_path", "_leaf", "_part", "_recurs").collect()
+        with lean(spark):
+            files = both.select("_path", "_leaf", "_part", "_recurs").collect()
         recur = {}
         for r in sorted(files, key=lambda r: r["_path"]):
             if r["_recurs"]:
@@ -184,7 +185,8 @@ def rewrite(df: DataFrame, path: str, moment: Column, order: list[str], limit: i
     else:
         obsolete = []
     new = wanted.repartition("_leaf", "_part").select(*[f"`{c}`" for c in columns], F.replace(F.col("_leaf"), F.lit("/"), F.lit(".")).alias(leaf), F.col("_part").alias(part), "_at")
-    new.sortWithinPartitions(leaf, part, "_at").drop("_at").write.mode("append").partitionBy(leaf, part).parquet(path)
+    with lean(spark):
+        new.sortWithinPartitions(leaf, part, "_at").drop("_at").write.mode("append").partitionBy(leaf, part).parquet(path)
     _delete(spark, obsolete)
     return Folder(path, folder.schema, folder.columns, tuple(stayed))
 
