@@ -133,8 +133,10 @@ def test_spotsigs_classes_equal_brute_force(spark, monkeypatch):
         assert {r["doc_id"]: (r["class_id"], r["group_id"]) for r in spotsigs.edited(docs, rows_per_task=30, similarity=similarity).collect()} == got
 
 
-def test_spotsigs_keeps_links_beside_the_hub(spark, monkeypatch):
+@pytest.mark.parametrize("large", [10, 400])
+def test_spotsigs_keeps_links_beside_the_hub(spark, monkeypatch, large):
     """Texts that share their rarest signatures with a hub unlike them, and are near to one another."""
+    monkeypatch.setattr(spotsigs, "LARGE", large)  # sets of more signatures meet by a quarter first
     monkeypatch.setattr(spotsigs, "MEET_ROWS", 2)
     rng = random.Random(3)
     rows = []
