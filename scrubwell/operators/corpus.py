@@ -9,11 +9,12 @@ from pyspark.sql.window import Window
 from scrubwell.functions.cleaning import clean
 from scrubwell.functions.dates import backdate, resolve, year_shift
 from scrubwell.functions.training_text import merge_short, normalise, sentences
-from scrubwell.operators.placeholders import all_filled, all_have_id, distinct_placeholders, fill
+from scrubwell.operators.placeholders import all_filled, all_have_id, distinct_placeholders, fill_all
 from scrubwell.operators.ranking import global_rank, seeded
 from scrubwell.operators.subsets import CATEGORIES, CODES, SIZES, half_split, in_categories
 from scrubwell.operators.surrogates import SEEDS, context_keys, rule_map, with_ids
 from scrubwell.schemas import UNUSED
+from scrubwell.sources.shared import shared_path
 
 #: Subsets whose rare subjects are cut off, and those of some categories only.
 CUT_OFF = ("c1p1", "c1p0", "c0p1", "c0p0")
@@ -23,19 +24,21 @@ FEW_CATEGORIES = ("c0p2", "c0p1", "c0p0")
 def built(notes: DataFrame, key: str = "ROW_ID", text: str = "TEXT", seeds: dict[str, int] = SEEDS) -> DataFrame:
     """``notes`` with a text for each half, and the flags all_placeholders_replaced (in the first half's text) and all_placeholders_have_id.
 
-    Cleaning and the rules that need no map are done once for both halves.  A half's
+    Cleaning and the rules that need no map are done once for both halves, and written
+    into the shared folder; both maps are filled in one pass.  A half's
     map is made from the placeholders of the notes as they came, and from the keys
     that stand behind a telling word in the cleaned ones; it has only keys with an
     identifier, and is filled before the dates are shifted.
     """
-    keys, behind = distinct_placeholders(notes, text), context_keys(notes.select(clean(F.col(text)).alias("_clean")), "_clean")
-    df = notes.withColumn("_clean", clean(F.col(text))).withColumn("_resolved", resolve(F.col("_clean")))
-    columns = []
-    for half, seed in seeds.items():
-        out = f"TEXT_WITH_DUMMY_PHI_{half.upper()}"
-        df = fill(df, with_ids(rule_map(keys, seed, behind)), key, "_resolved", "_filled")
-        df = df.withColumn("_shift", year_shift(F.col("_filled"))).withColumn(out, backdate(F.col("_filled"), F.col("_shift"))).drop("_filled", "_shift")
-        columns.append(out)
+    prepared, path = notes.withColumn("_clean", clean(F.col(text))).withColumn("_resolved", resolve(F.col("_clean"))), shared_path(notes.sparkSession, "resolved")
+    prepared.write.parquet(path)  # read for the keys, for their pairs with notes, and for the fill
+    df = notes.sparkSession.read.parquet(path)
+    keys, behind = distinct_placeholders(df, text), context_keys(df, "_clean")
+    filled = {half: f"_filled_{half}" for half in seeds}
+    df = fill_all(df, {filled[half]: with_ids(rule_map(keys, seed, behind)) for half, seed in seeds.items()}, key, "_resolved")
+    columns = [f"TEXT_WITH_DUMMY_PHI_{half.upper()}" for half in seeds]
+    for half, out in zip(seeds, columns, strict=True):
+        df = df.withColumn("_shift", year_shift(F.col(filled[half]))).withColumn(out, backdate(F.col(filled[half]), F.col("_shift"))).drop(filled[half], "_shift")
     flags = {"all_placeholders_replaced": all_filled(F.col(columns[0])), "all_placeholders_have_id": all_have_id(F.col(text))}
     return df.withColumns(flags).drop("_clean", "_resolved")
 

@@ -36,7 +36,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Numbered in parallel: a block of a file is read by one task, so its lines have
     consecutive ids; the lines of earlier blocks come from a table with a row for
-    each block.
+    each block (a million in 100 TB), which one window sees.
     """
     block = ["_path", "_start"]
     df = spark.read.text(path).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
