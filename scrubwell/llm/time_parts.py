@@ -230,7 +230,8 @@ def files(spark: SparkSession, folder: Folder, key: str, new: Column) -> DataFra
         found = found.join(stayed, "path", "left").withColumn("rewritten", F.col("_stayed").isNull())
     else:
         found = found.withColumn("rewritten", F.lit(True))
-    return found.select("leaf", F.lit(",".join(folder.columns)).alias("columns"), "ids_sha256", "path", "part", "n_rows", "n_new", "rewritten")
+    uri = F.regexp_replace("path", "^file:/(?!/)", "file:///")  # as other readers want local files named
+    return found.select("leaf", F.lit(",".join(folder.columns)).alias("columns"), "ids_sha256", uri.alias("path"), "part", "n_rows", "n_new", "rewritten")
 
 
 def moved(ts: Column, click_id: Column) -> Column:
