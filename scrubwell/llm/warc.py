@@ -298,17 +298,21 @@ class WarcReader(DataSourceReader):
         while at < end:
             f.seek(at)
             first = f.read(4096)
-            length = _told_length(first)
-            if length is not None:  # the whole record's place is known
+            told = _told_lengths(first)
+            if told is not None:
                 unpack = zlib.decompressobj(31)
                 s = Stream(_unpacked(unpack, first, f))
-                head = s.until(b"\r\n\r\n")
-                if head is None:
+                text = s.until(b"\r\n\r\n")
+                if text is None:
                     raise ValueError(f"{partition.path}: a gzip member without WARC headers at {at}")
-                at += length
-                if got := self._record(s, _headers(head), True):
-                    yield got
-                continue
+                head = _headers(text)
+                own = head.get("content-length", "")
+                if own.isdigit() and (len(text) + 4 + int(own) + 4) & 0xFFFFFFFF == told[1]:  # one record, whose place is known
+                    at += told[0]
+                    if got := self._record(s, head, True):
+                        yield got
+                    continue
+                f.seek(at + len(first))  # several: read to the member's end
             unpack = zlib.decompressobj(31)
             s = Stream(_unpacked(unpack, first, f))
             yield from self._records(s, True)
@@ -389,15 +393,15 @@ def _unpacked(unpack, first: bytes, f) -> Callable[[], bytes]:
     return pull
 
 
-def _told_length(first: bytes) -> int | None:
-    """The length of a gzip member by its ``sl`` field."""
+def _told_lengths(first: bytes) -> tuple[int, int] | None:
+    """The compressed and the plain length of a gzip member by its ``sl`` field."""
     if first[:4] == b"\x1f\x8b\x08\x04":
         (xlen,) = struct.unpack_from("<H", first, 10)
         k = 12
         while k + 4 <= min(12 + xlen, len(first)):
             (n,) = struct.unpack_from("<H", first, k + 2)
             if first[k : k + 2] == b"sl" and n == 8:
-                return struct.unpack_from("<I", first, k + 4)[0]
+                return struct.unpack_from("<II", first, k + 4)
             k += 4 + n
     return None
 

@@ -486,6 +486,11 @@ def test_warc_reads_foreign_records(spark, tmp_path):
     assert rows["urn:0"]["record_type"] is None and rows["urn:5"]["headers"]["warc-concurrent-to"] == "a, b"
     few = warc.read(spark, str(tmp_path), ["record_id", "ip_address"]).filter("ip_address = '1.2.3.4'")
     assert [tuple(r) for r in few.collect()] == [("urn:1", "1.2.3.4")] and "Filter" not in few._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0]
+    # members with told lengths, of one record and of several
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "s.warc.gz").write_bytes(warc.member(raw(10) + raw(11)) + warc.member(raw(12)) + warc.member(raw(13, length=False)) + warc.member(raw(14)))
+    told = warc.read(spark, str(tmp_path / "s"), verify="true").collect()
+    assert sorted((r["record_id"], bytes(r["payload"])) for r in told) == [(f"urn:{k}", b"body%d" % k) for k in range(10, 15)]
     # a foreign gzip file is read in parts, each record once
     many = b"".join(gzip.compress(raw(k, body=hashlib.sha512(b"%d" % k).hexdigest().encode() * 3)) for k in range(300))
     (tmp_path / "c").mkdir()
