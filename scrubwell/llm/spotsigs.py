@@ -37,8 +37,8 @@ CHAIN = 2
 SPARSE = 16
 #: Members of a signature of which each group has so many on either side.
 MEET_ROWS = 2_000
-#: Signatures of a set from which on a parity map of 512 bits says little.
-LARGE = 400
+#: Signatures of a set from which on a folded parity map of 256 bits says little.
+LARGE = 250
 #: Cells of the table of how many signatures fall where.
 COUNTED = 1 << 16
 _ANCHOR, _CONTENT = "\x01", "\x02"
@@ -149,10 +149,13 @@ def candidates(shared: DataFrame, sizes: DataFrame, roots: DataFrame, similarity
     and the one below it.  The members of a common signature are cut into chunks of
     MEET_ROWS, and each pair of chunks meets in a group of its own.
     """
-    rooted = shared.join(roots, shared["mark"] == roots["node"], "left").select("g", "mark", "n", F.coalesce("root", "mark").alias("root"))
-    mixed = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
+    own = Window.partitionBy("g")
+    rooted = shared.join(bounded(roots), shared["mark"] == F.col("node"), "left").select("g", "mark", "n", F.coalesce("root", "mark").alias("root"))
+    mixed = rooted.withColumn("lo", F.min("root").over(own)).withColumn("hi", F.max("root").over(own)).filter("lo <> hi").drop("lo", "hi")
     p = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(similarity)) + F.lit(1e-9)).cast("int")
-    rooted = rooted.join(mixed, "g", "left_semi").withColumn("p", p).join(sizes.select("mark", *[F.col("bits")[k].alias(f"_{k}") for k in range(8)]), "mark")
+    # the map folded to half: its bits differ in no more places
+    folded = [F.col("bits")[k].bitwiseXOR(F.col("bits")[k + 4]).alias(f"_{k}") for k in range(4)]
+    rooted = mixed.withColumn("p", p).join(bounded(sizes).select("mark", *folded), "mark")
     rooted = cut(rooted)
     left = rooted
     right = rooted.withColumn("q", F.col("p")).withColumn("p", F.explode(F.array("p", F.col("p") + 1)))
@@ -165,7 +168,7 @@ def candidates(shared: DataFrame, sizes: DataFrame, roots: DataFrame, similarity
     left = meeting(left).withColumn("x", mine("nx")).withColumn("y", every("ny")).drop("nx", "ny").alias("l")
     right = meeting(right).withColumn("y", mine("ny")).withColumn("x", every("nx")).drop("nx", "ny").alias("r")
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-    differ = sum((F.bit_count(l(f"_{k}").bitwiseXOR(r(f"_{k}"))) for k in range(1, 8)), F.bit_count(l("_0").bitwiseXOR(r("_0"))))
+    differ = sum((F.bit_count(l(f"_{k}").bitwiseXOR(r(f"_{k}"))) for k in range(1, 4)), F.bit_count(l("_0").bitwiseXOR(r("_0"))))
     same = (l("g") == r("g")) & (l("p") == r("p")) & (l("x") == r("x")) & (l("y") == r("y"))
     once = (r("q") < l("p")) | (l("mark") < r("mark"))
     fits = (F.least(l("n"), r("n")) >= similarity * F.greatest(l("n"), r("n")) - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (l("n") + r("n")) + 1e-9)
