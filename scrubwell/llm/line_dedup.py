@@ -17,7 +17,8 @@ repeated rows count as often as they are repeated; lines are told apart by their
 keys (white space stripped at both ends, A-Z lower-cased); a key shorter than
 ``min_chars`` code points is never dropped; with ``keep="first"`` the first such line
 of the least id stays (null ids last; all rows with that id keep it); an empty table
-gives an empty result; other columns are carried along.
+gives an empty result; other columns are carried along, but for those named as the
+result's own (kept_text, n_lines, n_dropped), which these replace.
 """
 
 from __future__ import annotations
