@@ -8,13 +8,19 @@ alone, nothing is missed, and what meets is compared exactly.
 
 Spans never meet each other.  The index of up to ``BROADCAST_ROWS`` entries is
 broadcast and spans stay where they are; a larger one is shuffled, and spans with it.
+Up to ``FEW_NAMES`` names need no index (:func:`matched`): a table of how many trigrams
+of a word each name may have bounds what a span of words shares with each of them, so
+only spans that may match become rows.
 Names are the rows of a gazetteer; equal names may have several concepts.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +28,10 @@ SIMILARITY = 0.7
 MAX_WORDS = 5
 #: An index of up to so many entries (trigram and name) is broadcast.
 BROADCAST_ROWS = 500_000
+#: Up to so many names are compared with every span by the bound of its words.
+FEW_NAMES = 2_048
+#: Words of a text that are looked at together, and words that a task remembers.
+TOGETHER, REMEMBERED = 2_048, 16_384
 
 
 def words(text: Column) -> Column:
@@ -91,6 +101,92 @@ def similar(found: DataFrame, names: DataFrame, similarity: float = SIMILARITY)
     return both.select(*found.columns, "name", "similarity")
 
 
+def _around(word: str) -> list[str]:
+    """The trigram around each letter of a word; a tab stands for what is before its first letter and behind its last one."""
+    marked = f"\t{word}\t"
+    return [marked[i : i + 3] for i in range(len(word))]
+
+
+def near_spans(texts: DataFrame, key: str, text: str, listed: list[str], similarity: float, max_words: int) -> DataFrame:
+    """key, start, stop, surface and name of every span and name of ``listed`` (normal, distinct, few) that may be similar enough.
+
+    Each trigram of a span stands around a letter of a word, or around a blank between
+    two.  So a span has at most as many of a name's m trigrams as its words have around
+    their letters, and its blanks; and at least as many others as any of its words has.
+    A similar span has at least ``similarity`` * (m + others) of the name's.
+    """
+    sets = [{m[i : i + 3] for i in range(max(1, len(m) - 2))} for m in (f"^{n}$" for n in listed)]
+    # an edge of a word may be a blank or the span's edge
+    holders: dict[str, set[int]] = {}
+    for k, grams in enumerate(sets):
+        for g in grams:
+            holders.setdefault(("\t" if g[0] in " ^" else g[0]) + g[1:-1] + ("\t" if g[-1] in " $" else g[-1]), set()).add(k)
+    order = {g: k for k, g in enumerate(holders)}
+    most = 240 // max_words  # of a word, so that sums fit a byte
+    sizes = np.array([len(g) for g in sets], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has = np.zeros((len(order) + 1, len(listed)), np.uint8)
+        for g, ks in holders.items():
+            has[order[g], list(ks)] = 1
+        known: dict[str, int] = {}
+        table = np.zeros((REMEMBERED + TOGETHER + max_words, len(listed)), np.uint8)
+        around = np.zeros(len(table), np.int64)
+
+        def row(word: str) -> int:
+            at = known.get(word)
+            if at is None:
+                at = known[word] = len(known)
+                grams = _around(word)
+                table[at] = np.minimum(has[[order[g] for g in grams if g in order]].sum(axis=0, dtype=np.int32), most)
+                around[at] = len(set(grams))
+            return at
+
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for r, ws in enumerate(batch.column("_w").to_pylist()):
+                for first in range(0, len(ws), TOGETHER):
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    own = ws[first : first + TOGETHER + max_words - 1]
+                    at = np.array([row(w) for w in own])
+                    one = table[at]
+                    total = np.zeros_like(one)
+                    for k in range(1, max_words + 1):
+                        starts = min(TOGETHER, len(own) - k + 1)
+                        if starts <= 0:
+                            break
+                        total = total[:starts] + one[k - 1 : k - 1 + starts]
+                        least = np.clip(np.ceil(similarity * sizes - 1e-9) - (k - 1), 0, most).astype(np.uint8)
+                        i, name = np.nonzero(total >= least)
+                        shares = [one[i + j, name].astype(np.int64) for j in range(k)]
+                        others = np.max([np.where(x < most, np.maximum(around[at[i + j]] - x, 0), 0) for j, x in enumerate(shares)], axis=0, initial=0)
+                        fits = (sum(shares) + k - 1 >= similarity * (sizes[name] + others) - 1e-9) | (np.max(shares, axis=0, initial=0) >= most)
+                        i, name = i[fits].tolist(), name[fits].tolist()
+                        found = [r] * len(i), [first + x for x in i], [first + x + k for x in i], [" ".join(own[x : x + k]) for x in i], [listed[x] for x in name]
+                        for have, more in zip(out, found, strict=True):
+                            have += more
+            at, start, stop = (pa.array(x, pa.int32()) for x in out[:3])
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(at), start, stop, pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], [key, "start", "stop", "surface", "name"])
+
+    # few large files are few tasks otherwise
+    df = texts.select(key, text).repartition(key).select(key, words(F.col(text)).alias("_w")).filter(F.size("_w") > 0)
+    return df.mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, start int, stop int, surface string, name string")
+
+
+def matched(texts: DataFrame, names: DataFrame, key: str, text: str, similarity: float = SIMILARITY, max_words: int = MAX_WORDS) -> DataFrame:
+    """As :func:`similar` of the :func:`spans` of ``texts``; for few names, only spans that may match become rows."""
+    normals = names.select(normal(F.col("term")).alias("name")).filter("name <> ''").distinct()
+    listed = sorted(r["name"] for r in normals.limit(FEW_NAMES + 1).collect())
+    if len(listed) > FEW_NAMES or max_words > 40:
+        return similar(spans(texts, key, text, max_words), names, similarity)
+    near = near_spans(texts, key, text, listed, similarity, max_words)
+    common = F.size(F.array_intersect("_a", "_b"))
+    near = near.withColumn("_a", trigrams(F.col("surface"))).withColumn("_b", trigrams(F.col("name")))
+    near = near.withColumn("similarity", common / (F.size("_a") + F.size("_b") - common)).filter(F.col("similarity") >= similarity - 1e-12)
+    return near.drop("_a", "_b")
+
+
 def leftmost_longest(matches: DataFrame, key: str) -> DataFrame:
     """Spans that don't overlap: from the left the first to begin, of those the longest; each with its most similar name (the first of equals)."""
     best = matches.groupBy(key, "start", "stop", "surface").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "name")).alias("m"))
@@ -105,5 +201,5 @@ def leftmost_longest(matches: DataFrame, key: str) -> DataFrame:
 
 def phrase_matches(texts: DataFrame, gazetteer: DataFrame, key: str, text: str, similarity: float = SIMILARITY, max_words: int = MAX_WORDS) -> DataFrame:
     """``key``, the gazetteer's columns (term, cui, preferred_name, semtype), start, stop, surface and similarity of every chosen span and concept."""
-    chosen = leftmost_longest(similar(spans(texts, key, text, max_words), gazetteer, similarity), key)
+    chosen = leftmost_longest(matched(texts, gazetteer, key, text, similarity, max_words), key)
     return chosen.join(gazetteer.withColumn("name", normal(F.col("term"))), "name").drop("name")

@@ -64,6 +64,25 @@ def test_spans(spark, texts, monkeypatch, similarity, max_words, shuffled):
     assert {k: sorted(v) for k, v in by.items()} == expected and sum(map(len, expected.values())) > 100
 
 
+@pytest.mark.parametrize("similarity,max_words,few", [(0.7, 3, 2_048), (0.5, 2, 2_048), (1.0, 5, 2_048), (0.7, 3, 2)])
+def test_few_names_by_words(spark, texts, monkeypatch, similarity, max_words, few):
+    monkeypatch.setattr(phrases, "FEW_NAMES", few)
+    monkeypatch.setattr(phrases, "TOGETHER", 7)
+    monkeypatch.setattr(phrases, "REMEMBERED", 20)
+    long = "x" * 300 + " " + "ab" * 200
+    df = spark.createDataFrame(list(enumerate([*texts, long])), "id long, text string")
+    listed = [*NAMES, long]
+    gazetteer = spark.createDataFrame([(n, f"C{k}", n, "dsyn") for k, n in enumerate(listed)] + [("?!", "C0", "none", "x")], GAZETTEER)
+    found = phrases.matched(df, gazetteer, "id", "text", similarity, max_words)
+    got = {(x["id"], x["start"], x["stop"], x["surface"], x["name"], round(x["similarity"], 9)) for x in phrases.leftmost_longest(found, "id").collect()}
+    names = {" ".join(words(n)) for n in listed}
+    expected = {(k, *x) for k, t in enumerate([*texts, long]) for x in brute(t, names, similarity, max_words)}
+    assert got == expected and len(expected) > 100
+    if few > 2:  # most spans never become rows
+        near = phrases.near_spans(df, "id", "text", sorted(names), similarity, max_words).select("id", "start", "stop").distinct().count()
+        assert near < phrases.spans(df, "id", "text", max_words).count() / 2
+
+
 def test_concepts_of_spans(spark):
     df = spark.createDataFrame([(1, "has Diabetes and congestve heart failure")], "id long, text string")
     gazetteer = spark.createDataFrame([(n, f"C{k}", n, "dsyn") for k, n in enumerate(NAMES)] + [("Diabetes", "C99", "other", "neop")], GAZETTEER)
