@@ -9,7 +9,9 @@ and source are carried along, whatever their names.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scrubwell.llm import mixing, packing, rule_ensemble, simhash, weak_rules
 from scrubwell.llm.common import scratch_path, table
@@ -56,9 +58,18 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their bins: doc_id, piece, length, bin_id, capacity, offset.
 
+    Pieces of equal length take their places in the order in which the documents were
+    written, which is that of the mix; documents that are no files have no such order.
     Null and empty texts have no piece; repeated rows are packed separately.
     """
-    return packing.packed(docs)
+    ordered = "_written" + "_" * max(len(c) for c in docs.columns)  # a free name
+    try:
+        file = docs.metadataColumn("_metadata")
+        number = F.regexp_extract(file["file_name"], r"^part-([0-9]+)", 1).try_cast("long")
+        docs = docs.select("*", F.struct(number, file["file_name"], file["row_index"]).alias(ordered))
+    except AnalysisException:
+        return packing.packed(docs)
+    return packing.packed(docs, order=ordered)
 
 
 STAGES = [

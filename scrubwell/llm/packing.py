@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubwell.llm.common import SPACE, cut, salted_rank
+from scrubwell.llm.common import SPACE, cut, ordinals, salted_rank
 
 CAPACITIES = (512, 1024, 2048)
 #: Cost of a bin: something for its being one, its length, and its length's square over ATTENTION.
@@ -112,16 +112,22 @@ def _open(length: int, n: int, rest: int, caps: tuple[int, ...], price: dict[int
     return cap, (next_bin, -(-n // (cap // length)), cap)
 
 
-def pieces(docs: DataFrame, tokens: Column, top: int) -> DataFrame:
-    """doc_id, piece (from 0) and length: each text cut into pieces of ``top`` tokens and a rest."""
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens.alias("_n")).filter("_n > 0")
+def pieces(docs: DataFrame, tokens: Column, top: int, order: str | None = None) -> DataFrame:
+    """doc_id, piece (from 0) and length, and as position the column ``order`` (if named): each text cut into pieces of ``top`` tokens and a rest."""
+    own = [F.col(f"`{order}`").alias("position")] if order else []
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens.alias("_n"), *own).filter("_n > 0")
     df = df.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / top))))
-    return df.select("doc_id", "piece", F.least(F.lit(top).cast("long"), F.col("_n") - F.col("piece") * top).cast("int").alias("length"))
+    return df.select("doc_id", "piece", F.least(F.lit(top).cast("long"), F.col("_n") - F.col("piece") * top).cast("int").alias("length"), *(["position"] if order else []))
 
 
-def packed(docs: DataFrame, text: str = "text", capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST, attention: float = ATTENTION, tokens: Column | None = None) -> DataFrame:
-    """doc_id, piece, length, bin_id, capacity and offset (in its bin) of every piece.  ``tokens``: a text's length; without it, its words."""
-    df = cut(pieces(docs, n_tokens(F.col(text)) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long"), max(capacities)))
+def packed(docs: DataFrame, text: str = "text", capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST, attention: float = ATTENTION, tokens: Column | None = None, order: str | None = None) -> DataFrame:
+    """doc_id, piece, length, bin_id, capacity and offset (in its bin) of every piece.
+
+    ``tokens``: a text's length; without it, its words.  ``order``: a column in
+    whose order pieces of equal length take their places, so that the bins of a
+    length follow it.
+    """
+    df = cut(pieces(docs, n_tokens(F.col(text)) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long"), max(capacities), order))
     histogram = {r["length"]: r["n"] for r in df.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # max(capacities) rows at most
     moves, groups = pack(histogram, capacities, bin_cost, attention)
     moves.sort(key=lambda m: (m[0], m[1]))
@@ -140,5 +146,9 @@ def packed(docs: DataFrame, text: str = "text", capacities: tuple[int, ...] = CA
             own = [b.column(c) for c in ("doc_id", "piece", "length")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(bin_id), pa.array(capacity.astype(np.int32)), pa.array(offset.astype(np.int32))], ["doc_id", "piece", "length", "bin_id", "capacity", "offset"])
 
-    ranked = salted_rank(df, ["length"], ["doc_id", "piece"], "_rank").select("doc_id", "piece", "length", "_rank")
+    if order:
+        ranked = ordinals(df, "length", ["position", "doc_id", "piece"], "_rank")
+    else:
+        ranked = salted_rank(df, ["length"], ["doc_id", "piece"], "_rank")
+    ranked = ranked.select("doc_id", "piece", "length", "_rank")
     return ranked.mapInArrow(place, "doc_id long, piece long, length int, bin_id long, capacity int, offset int")

@@ -252,3 +252,21 @@ def test_a_shared_folder_must_be_named(spark, monkeypatch):
     for f in (lambda s: common.shared_dir(s), lambda s: shared.shared_path(s, "x")):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             f(Session())
+
+
+def test_the_mix_decides_the_packing(spark, tmp_path):
+    """Pieces of equal length take their places in the order of the written mix."""
+    rows = [(k, "a b c" if k % 3 else "a b c d e", f"s{k % 4}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    corpus_pipeline.source_mix(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    place = {r["doc_id"]: k for k, r in enumerate(corpus_pipeline.source_mix(spark, docs, "").collect())}
+    assert sorted(place) != sorted(place, key=place.get)
+    bins = lambda df: {r["doc_id"]: (r["bin_id"], r["offset"], r["length"]) for r in corpus_pipeline.packed_bins(spark, df, "").collect()}
+    got = bins(mixed)
+    for length, n in ((3, 40), (5, 20)):
+        own = [got[k][:2] for k in sorted(got, key=place.get) if got[k][2] == length]
+        assert len(own) == n and own == sorted(own)
+    # another order, another packing
+    mixed.repartition(3).orderBy("doc_id").write.parquet(f"{tmp_path}/plain")
+    assert bins(spark.read.parquet(f"{tmp_path}/plain")) != got
