@@ -24,6 +24,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,10 @@ SPARSE = 16
 MEET_ROWS = 2_000
 #: Signatures of a set from which on a folded parity map of 256 bits says little.
 LARGE = 250
+#: So many of a root's candidate pairs are checked first, at most.
+FIRST = 8
+#: Up to so many candidate pairs are checked at once.
+AT_ONCE = 5_000
 #: Cells of the table of how many signatures fall where.
 COUNTED = 1 << 16
 _ANCHOR, _CONTENT = "\x01", "\x02"
@@ -209,12 +214,50 @@ def alike(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     return _together(left, sets).filter(jaccard(F.col("sa"), F.col("sb")) >= similarity - 1e-12).select("a", "b")
 
 
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b, ra, rb: the ``pairs`` (a, b) whose roots differ."""
+    known = bounded(roots)
+    of = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    both = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).filter("ra <> rb")
+
+
+def _with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root once the ``links`` (a, b, ra, rb) join roots as well; only roots are linked anew."""
+    moved = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    to = bounded(moved).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return cut(roots.join(to, "root", "left").select("node", F.coalesce("_to", "root").alias("root")).unionByName(moved))
+
+
+def joined(pairs: DataFrame, roots: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``roots`` (node, root) once all links among the candidate ``pairs`` (a, b) join them; ``alike`` leaves the links of a table of pairs.
+
+    Members of a large group that no hub joined are candidates of most of the group, and
+    alike to many.  So a few pairs of every root are checked first, and then only pairs
+    whose roots these links have not joined; each pair is checked or within one group.
+    """
+    for few in (FIRST, None):
+        pairs = cut(_between(pairs, roots))
+        total, chosen = pairs.count(), pairs
+        if few and total > AT_ONCE:
+            # one pair of each part of a root's pairs, as an aggregation: a root with very many is no one task's
+            sides = pairs.select("*", F.explode(F.array("ra", "rb")).alias("r"), F.pmod(F.xxhash64("a", "b"), F.lit(few)).alias("part"))
+            chosen = cut(sides.groupBy("r", "part").agg(F.min(F.struct(*pairs.columns)).alias("x")).select("x.*").distinct())
+        if total:
+            roots = _with_links(roots, chosen.join(alike(chosen.select("a", "b")), ["a", "b"], "left_semi"))
+        if chosen is pairs:
+            return roots
+        pairs = pairs.join(bounded(chosen), ["a", "b"], "left_anti")
+    return roots
+
+
 def classes(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
     """mark, class_id and group_id of every fingerprint of ``rows`` (:func:`signed`, materialised).
 
     First each fingerprint meets the best connected one of each signature of its
-    prefix; then every candidate pair that these links don't join is compared, so no
-    link is lost, and a large group of near copies is never all its pairs.
+    prefix; then candidate pairs that these links don't join are compared until none
+    is left between two groups (:func:`joined`), so no link that joins groups is
+    lost, and a large group of near copies is never all its pairs.
     """
     each = one_each(rows)
     shared = cut(prefixes(each, similarity))
@@ -222,8 +265,9 @@ def classes(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
     first = cut(stars(shared, sizes, similarity))
     linked = cut(alike(first, each, similarity))
     met = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(candidates(shared, sizes, components(linked), similarity).join(met, ["a", "b"], "left_anti"))
-    roots = components(linked.unionByName(alike(rest, each, similarity)))
+    known = components(linked)
+    rest = cut(candidates(shared, sizes, known, similarity).join(met, ["a", "b"], "left_anti"))
+    roots = joined(rest, known, lambda pairs: alike(pairs, each, similarity))
     named = rows.groupBy("mark").agg(F.min("doc_id").alias("class_id")).join(roots, F.col("mark") == F.col("node"), "left").select("mark", "class_id", F.coalesce("root", "mark").alias("root"))
     least = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
     return named.join(least, "root").select("mark", "class_id", "group_id")

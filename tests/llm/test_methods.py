@@ -153,6 +153,28 @@ def test_spotsigs_keeps_links_beside_the_hub(spark, monkeypatch, large):
     assert {r["doc_id"]: r["group_id"] for r in spotsigs.near_classes(docs, similarity=0.6).collect()} == components(list(sets), links)
 
 
+@pytest.mark.parametrize("at_once", [10, 10_000])
+def test_spotsigs_links_a_group_by_few_of_its_pairs(spark, monkeypatch, at_once):
+    """All pairs of 60 fingerprints are candidates, and alike within two groups and across one pair; far fewer than all become links."""
+    monkeypatch.setattr(spotsigs, "AT_ONCE", at_once)
+    pairs = [(a, b) for b in range(60) for a in range(b)]
+    links = {(a, b) for a, b in pairs if (a < 40) == (b < 40)} | {(3, 50)}
+    checked = []
+
+    def alike(df):
+        checked.append({tuple(r) for r in df.collect()})
+        return spark.createDataFrame(sorted(checked[-1] & links), "a long, b long")
+
+    table = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+    known = {5: 4, 59: 41}
+    got = {r["node"]: r["root"] for r in spotsigs.joined(table(pairs, "ab"), table(list(known.items()), ["node", "root"]), alike).collect()}
+    assert got == {k: 0 for k in range(1, 60)}
+    assert sum(map(len, checked)) == len(set().union(*checked))  # none twice
+    assert len(checked[0]) <= 2 * 60 * spotsigs.FIRST if at_once == 10 else len(checked) == 1
+    assert len(set().union(*checked) & links) < (700 if at_once == 10 else 1_000)
+    assert spotsigs.joined(table([], "ab"), table(list(known.items()), ["node", "root"]), alike).count() == 2
+
+
 def test_spotsigs_of_texts_without_common_words(spark):
     words = [f"zz{k}" for k in range(100)]
     texts = [words, [*words[:2], *(f"yy{k}" for k in range(98))], [*words[:60], "xx", *words[61:]], ["zz0", "zz1"]]
