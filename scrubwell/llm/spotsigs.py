@@ -38,6 +38,8 @@ CHAIN = 2
 SPARSE = 16
 #: Members of a signature of which each group has so many on either side.
 MEET_ROWS = 2_000
+#: Members of a signature from which on a pair meets in the least signature that both share; so many of these are known of each member.
+MANY, LEAST = 32, 8
 #: Signatures of a set from which on a folded parity map of 256 bits says little.
 LARGE = 250
 #: So many of a root's candidate pairs are checked first, at most.
@@ -146,22 +148,33 @@ def parity(s: Column) -> Column:
 
 
 def candidates(shared: DataFrame, sizes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """a, b (a < b): all fingerprints that share a signature and not a root, and whose sizes and parity maps allow the similarity.
+    """a, b (a < b): all fingerprints that share a signature and not a root, and whose sizes and parity maps allow the similarity."""
+    return meetings(shared, sizes, roots, similarity).distinct()
+
+
+def meetings(shared: DataFrame, sizes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of :func:`candidates`, some of them more than once.
 
     ``roots``: node and root of fingerprints that are linked already; a signature
     whose members have one root is left out.  The others are partitioned by set
     length, each partition as wide as one similarity step; a partition meets itself
     and the one below it.  The members of a common signature are cut into chunks of
     MEET_ROWS, and each pair of chunks meets in a group of its own.
+
+    Near copies share most signatures and would meet in each.  So a member of
+    signatures with MANY members knows the LEAST smallest of these, and a pair that
+    has one in common there leaves out all larger ones.
     """
     own = Window.partitionBy("g")
     rooted = shared.join(bounded(roots), shared["mark"] == F.col("node"), "left").select("g", "mark", "n", F.coalesce("root", "mark").alias("root"))
-    mixed = rooted.withColumn("lo", F.min("root").over(own)).withColumn("hi", F.max("root").over(own)).filter("lo <> hi").drop("lo", "hi")
+    mixed = rooted.withColumn("lo", F.min("root").over(own)).withColumn("hi", F.max("root").over(own)).withColumn("many", F.count(F.lit(1)).over(own) >= MANY).filter("lo <> hi").drop("lo", "hi")
     p = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(similarity)) + F.lit(1e-9)).cast("int")
     # the map folded to half: its bits differ in no more places
     folded = [F.col("bits")[k].bitwiseXOR(F.col("bits")[k + 4]).alias(f"_{k}") for k in range(4)]
     rooted = mixed.withColumn("p", p).join(bounded(sizes).select("mark", *folded), "mark")
     rooted = cut(rooted)
+    least = bounded(cut(rooted.filter("many").groupBy("mark").agg(F.slice(F.array_sort(F.collect_set("g")), 1, LEAST).alias("least"))))
+    rooted = rooted.join(least, "mark", "left").withColumn("least", F.when(F.col("many"), F.col("least"))).drop("many")
     left = rooted
     right = rooted.withColumn("q", F.col("p")).withColumn("p", F.explode(F.array("p", F.col("p") + 1)))
     # the number of chunks, where it is not one: a row for so many members at least
@@ -177,8 +190,9 @@ def candidates(shared: DataFrame, sizes: DataFrame, roots: DataFrame, similarity
     same = (l("g") == r("g")) & (l("p") == r("p")) & (l("x") == r("x")) & (l("y") == r("y"))
     once = (r("q") < l("p")) | (l("mark") < r("mark"))
     fits = (F.least(l("n"), r("n")) >= similarity * F.greatest(l("n"), r("n")) - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (l("n") + r("n")) + 1e-9)
-    met = left.join(right, same & once & (l("root") != r("root")) & fits)
-    return met.select(F.least(l("mark"), r("mark")).alias("a"), F.greatest(l("mark"), r("mark")).alias("b")).distinct()
+    here = F.coalesce(F.array_min(F.array_intersect(l("least"), r("least"))) >= l("g"), F.lit(True))
+    met = left.join(right, same & once & (l("root") != r("root")) & fits & here)
+    return met.select(F.least(l("mark"), r("mark")).alias("a"), F.greatest(l("mark"), r("mark")).alias("b"))
 
 
 def _together(pairs: DataFrame, sets: DataFrame) -> DataFrame:
