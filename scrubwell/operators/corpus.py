@@ -9,10 +9,10 @@ from pyspark.sql.window import Window
 from scrubwell.functions.cleaning import clean
 from scrubwell.functions.dates import backdate, resolve, year_shift
 from scrubwell.functions.training_text import merge_short, normalise, sentences
-from scrubwell.operators.placeholders import all_filled, all_have_id, distinct_placeholders, fill_all
+from scrubwell.operators.placeholders import all_filled, all_have_id, fill_all, placeholders
 from scrubwell.operators.ranking import global_rank, seeded
 from scrubwell.operators.subsets import CATEGORIES, CODES, SIZES, half_split, in_categories
-from scrubwell.operators.surrogates import SEEDS, context_keys, rule_map, with_ids
+from scrubwell.operators.surrogates import SEEDS, keys_in_lines, rule_map, told_lines, with_ids
 from scrubwell.schemas import UNUSED
 from scrubwell.sources.shared import shared_path
 
@@ -21,6 +21,12 @@ CUT_OFF = ("c1p1", "c1p0", "c0p1", "c0p0")
 FEW_CATEGORIES = ("c0p2", "c0p1", "c0p0")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` from the shared folder: each half's map reads it."""
+    df.write.parquet(path := shared_path(df.sparkSession, "keys"))
+    return df.sparkSession.read.parquet(path)
+
+
 def built(notes: DataFrame, key: str = "ROW_ID", text: str = "TEXT", seeds: dict[str, int] = SEEDS) -> DataFrame:
     """``notes`` with a text for each half, and the flags all_placeholders_replaced (in the first half's text) and all_placeholders_have_id.
 
@@ -30,17 +36,20 @@ def built(notes: DataFrame, key: str = "ROW_ID", text: str = "TEXT", seeds: dict
     that stand behind a telling word in the cleaned ones; it has only keys with an
     identifier, and is filled before the dates are shifted.
     """
-    prepared, path = notes.withColumn("_clean", clean(F.col(text))).withColumn("_resolved", resolve(F.col("_clean"))), shared_path(notes.sparkSession, "resolved")
-    prepared.write.parquet(path)  # read for the keys, for their pairs with notes, and for the fill
+    prepared = notes.withColumn("_clean", clean(F.col(text))).withColumn("_resolved", resolve(F.col("_clean")))
+    # what the maps are made from is taken here, so that no later pass searches the texts for it, once for each half
+    prepared = prepared.withColumns({"_keys": F.array_distinct(placeholders(F.col(text))), "_told": told_lines("_clean")}).drop("_clean")
+    prepared.write.parquet(path := shared_path(notes.sparkSession, "resolved"))  # read for the keys, for their pairs with notes, and for the fill
     df = notes.sparkSession.read.parquet(path)
-    keys, behind = distinct_placeholders(df, text), context_keys(df, "_clean")
+    keys, behind = _written(df.select(F.explode("_keys").alias("placeholder")).distinct()), _written(keys_in_lines(df, "_told"))
+    df = df.drop("_keys", "_told")
     filled = {half: f"_filled_{half}" for half in seeds}
     df = fill_all(df, {filled[half]: with_ids(rule_map(keys, seed, behind)) for half, seed in seeds.items()}, key, "_resolved")
     columns = [f"TEXT_WITH_DUMMY_PHI_{half.upper()}" for half in seeds]
     for half, out in zip(seeds, columns, strict=True):
         df = df.withColumn("_shift", year_shift(F.col(filled[half]))).withColumn(out, backdate(F.col(filled[half]), F.col("_shift"))).drop(filled[half], "_shift")
     flags = {"all_placeholders_replaced": all_filled(F.col(columns[0])), "all_placeholders_have_id": all_have_id(F.col(text))}
-    return df.withColumns(flags).drop("_clean", "_resolved")
+    return df.withColumns(flags).drop("_resolved")
 
 
 def halved(corpus: DataFrame, key: str = "ROW_ID", seed: int = 42) -> DataFrame:

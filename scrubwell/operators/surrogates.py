@@ -130,12 +130,21 @@ def rule_map(keys: DataFrame, seed: int, contexts: DataFrame | None = None, key:
 _TOLD = {9: lambda x: x.startswith("Email:"), 11: lambda x: x.contains(" (NI) "), 17: lambda x: x.contains("- [**Location"), 40: lambda x: x.contains("Unit No:")}
 
 
-def context_keys(notes: DataFrame, text: str) -> DataFrame:
-    """placeholder, ord: keys that stand behind a telling word; no rule reaches over a line, and only lines with such a word are searched."""
-    whole = F.col(text)
+def told_lines(text: str | Column) -> Column:
+    """The lines of a text that hold a telling word; no context rule reaches over a line."""
+    whole = F.col(text) if isinstance(text, str) else text
     told = lambda x: _TOLD[9](x) | _TOLD[11](x) | _TOLD[17](x) | _TOLD[40](x)
-    lines = F.filter(F.split(F.when(whole.contains("Email:"), whole).otherwise(searched(whole)), "\n"), told)
-    lines = notes.select(F.explode(lines).alias("_s"))
+    return F.filter(F.split(F.when(whole.contains("Email:"), whole).otherwise(searched(whole)), "\n"), told)
+
+
+def context_keys(notes: DataFrame, text: str) -> DataFrame:
+    """placeholder, ord: keys that stand behind a telling word; only lines with such a word are searched."""
+    return keys_in_lines(notes.select(told_lines(text).alias("_told")), "_told")
+
+
+def keys_in_lines(notes: DataFrame, told: str) -> DataFrame:
+    """As :func:`context_keys`, of a column with the :func:`told_lines`."""
+    lines = notes.select(F.explode(told).alias("_s"))
     none = F.array().cast("array<struct<placeholder: string, ord: int>>")
     of = lambda o, p: F.when(_TOLD[o](F.col("_s")), F.transform(F.regexp_extract_all(F.col("_s"), F.lit(p), F.lit(1)), lambda x: F.struct(x.alias("placeholder"), F.lit(o).alias("ord")))).otherwise(none)
     return lines.select(F.inline(F.concat(*[of(o, p) for o, p, _ in CONTEXT_RULES]))).distinct()
