@@ -40,6 +40,8 @@ SPARSE = 16
 MEET_ROWS = 2_000
 #: Members of a signature from which on a pair meets in the least signature that both share; so many of these are known of each member.
 MANY, LEAST = 32, 8
+#: Members drawn from such a signature, which the others meet before all pairs do.
+DRAWN = 4
 #: Signatures of a set from which on a folded parity map of 256 bits says little.
 LARGE = 250
 #: So many of a root's candidate pairs are checked first, at most.
@@ -57,32 +59,31 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     Words are marked as common or not and joined, so that splitting at the marks
     gives, for each content word, the anchors right before it.
     """
-    df = df.withColumn("_m", F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")).withColumn("_w", F.col("_m"))
-    sparse = F.size(F.filter("_w", lambda w: w.isin(STOPS))) * SPARSE < F.size("_w")
-    df = df.withColumn("_m", F.concat(F.lit("^" + _ANCHOR), F.array_join(F.transform("_m", lambda w: F.concat(w, F.when(w.isin(STOPS), _ANCHOR).otherwise(_CONTENT))), "")))
-    df = df.withColumn("_m", F.split("_m", _CONTENT))
-    df = df.withColumn("_c", F.transform("_m", lambda g: F.substring_index(g, _ANCHOR, -1)))
+    # a-z and 0-9 are letters and digits too, named for speed
+    df = df.withColumn("_w", F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z0-9\p{L}\p{N}]+"), lambda w: w != ""))
+    marked = F.concat(F.lit("^" + _ANCHOR), F.array_join(F.transform("_w", lambda w: F.concat(w, F.when(w.isin(STOPS), _ANCHOR).otherwise(_CONTENT))), ""))
+    # anchors and, last, the content word after them; the last part has no content word
+    df = df.withColumn("_m", marked).withColumn("_m", F.transform(F.split("_m", _CONTENT), lambda g: F.split(g, _ANCHOR)))
+    df = df.withColumn("_c", F.transform("_m", lambda g: F.element_at(g, -1)))
+    sparse = (F.size("_w") - F.size("_m") + 1) * SPARSE < F.size("_w")
     after = lambda i, k: F.coalesce(F.get(F.col("_c"), i + k), F.lit(""))
     chains = F.transform(
         "_m",
         lambda g, i: F.when(
-            (F.instr(g, _ANCHOR) > 0) & ((i == 0) | (after(i, 0) != "")),
-            F.transform(
-                F.slice(F.split(g, _ANCHOR), 1, F.size(F.split(g, _ANCHOR)) - 1),
-                lambda a: F.xxhash64(a, *[after(i, k) for k in range(CHAIN)]),
-            ),
+            (F.size(g) > 1) & ((i == 0) | (i < F.size("_m") - 1)),
+            F.transform(F.slice(g, 1, F.size(g) - 1), lambda a: F.xxhash64(a, *[after(i, k) for k in range(CHAIN)])),
         ).otherwise(F.array().cast("array<bigint>")),
     )
     word = lambda i: F.coalesce(F.get(F.col("_w"), i), F.lit(""))
     every = F.transform("_w", lambda w, i: F.xxhash64(w, *[word(i + k) for k in range(1, CHAIN + 1)]))
     start = F.array(F.xxhash64(F.lit("^"), *[word(F.lit(k)) for k in range(CHAIN)]))
-    df = df.withColumn(out, F.array_sort(F.array_distinct(F.when(sparse, F.concat(start, every)).otherwise(F.flatten(chains)))))
+    df = df.withColumn(out, F.sort_array(F.array_distinct(F.when(sparse, F.concat(start, every)).otherwise(F.flatten(chains)))))
     # a text without any word has no signature
-    return df.withColumn(out, F.when(F.col(text).rlike(r"[\p{L}\p{N}]"), F.col(out)).otherwise(F.array().cast("array<bigint>"))).drop("_m", "_c", "_w")
+    return df.withColumn(out, F.when(F.size("_w") > 0, F.col(out)).otherwise(F.array().cast("array<bigint>"))).drop("_m", "_c", "_w")
 
 
 def as_string(signatures: Column) -> Column:
-    return F.array_join(F.transform(signatures, lambda s: F.lower(F.lpad(F.hex(s), 16, "0"))), "")
+    return F.lower(F.array_join(F.transform(signatures, lambda s: F.lpad(F.hex(s), 16, "0")), ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -132,7 +133,7 @@ def prefixes(rows: DataFrame, similarity: float) -> DataFrame:
     cells last.  ``rows``: one of each fingerprint.
     """
     n, level = F.size("s"), levels(rows)
-    order = F.array_sort(F.transform("s", lambda g: F.struct(F.substring(level, F.pmod(g, F.lit(COUNTED)).cast("int") + 1, F.lit(1)).alias("level"), g.alias("g"))))
+    order = F.sort_array(F.transform("s", lambda g: F.struct(F.substring(level, F.pmod(g, F.lit(COUNTED)).cast("int") + 1, F.lit(1)).alias("level"), g.alias("g"))))
     first = F.slice(order, F.lit(1), (n - F.ceil(F.lit(similarity) * n - F.lit(1e-9)) + 1).cast("int"))
     entries = rows.filter(n > 0).select(F.explode(first).alias("x"), "mark", n.alias("n")).select("x.g", "mark", "n")
     own = Window.partitionBy("g")
@@ -147,6 +148,40 @@ def parity(s: Column) -> Column:
     return F.array(*[F.aggregate(of(k), F.lit(0).cast("long"), lambda acc, g: acc.bitwiseXOR(bit(g))) for k in range(8)])
 
 
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """g, mark, n, root, and whether g has MANY members (many): the members of signatures whose members have more than one root."""
+    own = Window.partitionBy("g")
+    rooted = shared.join(bounded(roots), shared["mark"] == F.col("node"), "left").select("g", "mark", "n", F.coalesce("root", "mark").alias("root"))
+    return rooted.withColumn("lo", F.min("root").over(own)).withColumn("hi", F.max("root").over(own)).withColumn("many", F.count(F.lit(1)).over(own) >= MANY).filter("lo <> hi").drop("lo", "hi")
+
+
+def _mapped(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``rows`` with the parity map folded to half (_0 to _3): its bits differ in no more places."""
+    folded = [F.col("bits")[k].bitwiseXOR(F.col("bits")[k + 4]).alias(f"_{k}") for k in range(4)]
+    return rows.join(bounded(sizes).select("mark", *folded), "mark")
+
+
+def _fits(l: Callable[[str], Column], r: Callable[[str], Column], similarity: float) -> Column:  # noqa: E741
+    """Whether sizes and folded parity maps allow the similarity."""
+    differ = sum((F.bit_count(l(f"_{k}").bitwiseXOR(r(f"_{k}"))) for k in range(1, 4)), F.bit_count(l("_0").bitwiseXOR(r("_0"))))
+    return (F.least(l("n"), r("n")) >= similarity * F.greatest(l("n"), r("n")) - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (l("n") + r("n")) + 1e-9)
+
+
+def draws(shared: DataFrame, sizes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """a, b (a < b): the members of each signature with MANY members, each with DRAWN other ones of another root, where both may be alike.
+
+    The drawn ones differ from signature to signature, so a fingerprint that a hub has
+    not joined to its group tries many members of it, and the pairs stay in proportion
+    to the entries.
+    """
+    rooted = cut(_mapped(_mixed(shared, roots).filter("many").drop("many"), sizes))
+    part = F.pmod(F.xxhash64("g", "mark"), F.lit(DRAWN)).alias("part")
+    drawn = cut(rooted.groupBy("g", part).agg(F.min(F.struct(F.xxhash64("mark", "g").alias("h"), *[c for c in rooted.columns if c != "g"])).alias("x")).select("g", "x.*")).alias("r")
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    met = rooted.alias("l").join(drawn, (l("g") == r("g")) & (l("root") != r("root")) & _fits(l, r, similarity))
+    return met.select(F.least(l("mark"), r("mark")).alias("a"), F.greatest(l("mark"), r("mark")).alias("b")).distinct()
+
+
 def candidates(shared: DataFrame, sizes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """a, b (a < b): all fingerprints that share a signature and not a root, and whose sizes and parity maps allow the similarity."""
     return meetings(shared, sizes, roots, similarity).distinct()
@@ -165,14 +200,8 @@ def meetings(shared: DataFrame, sizes: DataFrame, roots: DataFrame, similarity:
     signatures with MANY members knows the LEAST smallest of these, and a pair that
     has one in common there leaves out all larger ones.
     """
-    own = Window.partitionBy("g")
-    rooted = shared.join(bounded(roots), shared["mark"] == F.col("node"), "left").select("g", "mark", "n", F.coalesce("root", "mark").alias("root"))
-    mixed = rooted.withColumn("lo", F.min("root").over(own)).withColumn("hi", F.max("root").over(own)).withColumn("many", F.count(F.lit(1)).over(own) >= MANY).filter("lo <> hi").drop("lo", "hi")
     p = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(similarity)) + F.lit(1e-9)).cast("int")
-    # the map folded to half: its bits differ in no more places
-    folded = [F.col("bits")[k].bitwiseXOR(F.col("bits")[k + 4]).alias(f"_{k}") for k in range(4)]
-    rooted = mixed.withColumn("p", p).join(bounded(sizes).select("mark", *folded), "mark")
-    rooted = cut(rooted)
+    rooted = cut(_mapped(_mixed(shared, roots).withColumn("p", p), sizes))
     least = bounded(cut(rooted.filter("many").groupBy("mark").agg(F.slice(F.array_sort(F.collect_set("g")), 1, LEAST).alias("least"))))
     rooted = rooted.join(least, "mark", "left").withColumn("least", F.when(F.col("many"), F.col("least"))).drop("many")
     left = rooted
@@ -186,12 +215,10 @@ def meetings(shared: DataFrame, sizes: DataFrame, roots: DataFrame, similarity:
     left = meeting(left).withColumn("x", mine("nx")).withColumn("y", every("ny")).drop("nx", "ny").alias("l")
     right = meeting(right).withColumn("y", mine("ny")).withColumn("x", every("nx")).drop("nx", "ny").alias("r")
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-    differ = sum((F.bit_count(l(f"_{k}").bitwiseXOR(r(f"_{k}"))) for k in range(1, 4)), F.bit_count(l("_0").bitwiseXOR(r("_0"))))
     same = (l("g") == r("g")) & (l("p") == r("p")) & (l("x") == r("x")) & (l("y") == r("y"))
     once = (r("q") < l("p")) | (l("mark") < r("mark"))
-    fits = (F.least(l("n"), r("n")) >= similarity * F.greatest(l("n"), r("n")) - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (l("n") + r("n")) + 1e-9)
     here = F.coalesce(F.array_min(F.array_intersect(l("least"), r("least"))) >= l("g"), F.lit(True))
-    met = left.join(right, same & once & (l("root") != r("root")) & fits & here)
+    met = left.join(right, same & once & (l("root") != r("root")) & _fits(l, r, similarity) & here)
     return met.select(F.least(l("mark"), r("mark")).alias("a"), F.greatest(l("mark"), r("mark")).alias("b"))
 
 
@@ -269,7 +296,7 @@ def classes(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
     """mark, class_id and group_id of every fingerprint of ``rows`` (:func:`signed`, materialised).
 
     First each fingerprint meets the best connected one of each signature of its
-    prefix; then candidate pairs that these links don't join are compared until none
+    prefix, then a few drawn ones (:func:`draws`); then candidate pairs that these links don't join are compared until none
     is left between two groups (:func:`joined`), so no link that joins groups is
     lost, and a large group of near copies is never all its pairs.
     """
@@ -279,9 +306,12 @@ def classes(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
     first = cut(stars(shared, sizes, similarity))
     linked = cut(alike(first, each, similarity))
     met = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = lambda pairs: alike(pairs, each, similarity)
     known = components(linked)
-    rest = cut(candidates(shared, sizes, known, similarity).join(met, ["a", "b"], "left_anti"))
-    roots = joined(rest, known, lambda pairs: alike(pairs, each, similarity))
+    drawn = cut(draws(shared, sizes, known, similarity))
+    known = joined(drawn, known, near)
+    rest = cut(candidates(shared, sizes, known, similarity).join(met.unionByName(drawn), ["a", "b"], "left_anti"))
+    roots = joined(rest, known, near)
     named = rows.groupBy("mark").agg(F.min("doc_id").alias("class_id")).join(roots, F.col("mark") == F.col("node"), "left").select("mark", "class_id", F.coalesce("root", "mark").alias("root"))
     least = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
     return named.join(least, "root").select("mark", "class_id", "group_id")
