@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scrubwell.llm.common import lean
 from scrubwell.llm.common import lean_cut as cut
 from scrubwell.llm.simhash import bounded, components, stars
 from scrubwell.llm.textstats import STOPS
@@ -126,7 +127,7 @@ def levels(rows: DataFrame) -> Column:
 
 
 def prefixes(rows: DataFrame, similarity: float) -> DataFrame:
-    """g, mark, n: the first signatures of every fingerprint, and its size.
+    """g, mark, n, c: the first signatures of every fingerprint, its size, and the members of the signature.
 
     In any one order of all signatures, sets of Jaccard ``similarity`` share one of
     their first n - ceil(similarity * n) + 1.  The order here puts signatures of full
@@ -137,7 +138,7 @@ def prefixes(rows: DataFrame, similarity: float) -> DataFrame:
     first = F.slice(order, F.lit(1), (n - F.ceil(F.lit(similarity) * n - F.lit(1e-9)) + 1).cast("int"))
     entries = rows.filter(n > 0).select(F.explode(first).alias("x"), "mark", n.alias("n")).select("x.g", "mark", "n")
     own = Window.partitionBy("g")
-    return entries.withColumn("lo", F.min("mark").over(own)).withColumn("hi", F.max("mark").over(own)).filter("lo <> hi").select("g", "mark", "n")
+    return entries.withColumn("lo", F.min("mark").over(own)).withColumn("hi", F.max("mark").over(own)).withColumn("c", F.count(F.lit(1)).over(own)).filter("lo <> hi").select("g", "mark", "n", "c")
 
 
 def parity(s: Column) -> Column:
@@ -174,7 +175,7 @@ def draws(shared: DataFrame, sizes: DataFrame, roots: DataFrame, similarity: flo
     not joined to its group tries many members of it, and the pairs stay in proportion
     to the entries.
     """
-    rooted = cut(_mapped(_mixed(shared, roots).filter("many").drop("many"), sizes))
+    rooted = cut(_mapped(_mixed(shared.filter(F.col("c") >= MANY), roots).drop("many"), sizes))
     part = F.pmod(F.xxhash64("g", "mark"), F.lit(DRAWN)).alias("part")
     drawn = cut(rooted.groupBy("g", part).agg(F.min(F.struct(F.xxhash64("mark", "g").alias("h"), *[c for c in rooted.columns if c != "g"])).alias("x")).select("g", "x.*")).alias("r")
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
@@ -300,21 +301,22 @@ def classes(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
     is left between two groups (:func:`joined`), so no link that joins groups is
     lost, and a large group of near copies is never all its pairs.
     """
-    each = one_each(rows)
-    shared = cut(prefixes(each, similarity))
-    sizes = cut(each.select("mark", "n", "bits").join(shared.select("mark").distinct(), "mark", "left_semi"))
-    first = cut(stars(shared, sizes, similarity))
-    linked = cut(alike(first, each, similarity))
-    met = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    near = lambda pairs: alike(pairs, each, similarity)
-    known = components(linked)
-    drawn = cut(draws(shared, sizes, known, similarity))
-    known = joined(drawn, known, near)
-    rest = cut(candidates(shared, sizes, known, similarity).join(met.unionByName(drawn), ["a", "b"], "left_anti"))
-    roots = joined(rest, known, near)
-    named = rows.groupBy("mark").agg(F.min("doc_id").alias("class_id")).join(roots, F.col("mark") == F.col("node"), "left").select("mark", "class_id", F.coalesce("root", "mark").alias("root"))
-    least = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    return named.join(least, "root").select("mark", "class_id", "group_id")
+    with lean(rows.sparkSession):  # many small rounds, whose shuffles would stay
+        each = one_each(rows)
+        shared = cut(prefixes(each, similarity))
+        sizes = cut(each.select("mark", "n", "bits").join(shared.select("mark").distinct(), "mark", "left_semi"))
+        first = cut(stars(shared, sizes, similarity))
+        linked = cut(alike(first, each, similarity))
+        met = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        near = lambda pairs: alike(pairs, each, similarity)
+        known = components(linked)
+        drawn = cut(draws(shared, sizes, known, similarity))
+        known = joined(drawn, known, near)
+        rest = cut(candidates(shared, sizes, known, similarity).join(met.unionByName(drawn), ["a", "b"], "left_anti"))
+        roots = joined(rest, known, near)
+        named = rows.groupBy("mark").agg(F.min("doc_id").alias("class_id")).join(roots, F.col("mark") == F.col("node"), "left").select("mark", "class_id", F.coalesce("root", "mark").alias("root"))
+        least = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
+        return named.join(least, "root").select("mark", "class_id", "group_id")
 
 
 def near_classes(docs: DataFrame, text: str = "text", similarity: float = 0.8) -> DataFrame:
