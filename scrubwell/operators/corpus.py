@@ -14,19 +14,13 @@ from scrubwell.operators.ranking import global_rank, seeded
 from scrubwell.operators.subsets import CATEGORIES, CODES, SIZES, half_split, in_categories
 from scrubwell.operators.surrogates import SEEDS, keys_in_lines, rule_map, told_lines, with_ids
 from scrubwell.schemas import UNUSED
-from scrubwell.sources.shared import shared_path
+from scrubwell.sources.shared import lean_kept
 
 #: Subsets whose rare subjects are cut off, and those of some categories only.
 CUT_OFF = ("c1p1", "c1p0", "c0p1", "c0p0")
 FEW_CATEGORIES = ("c0p2", "c0p1", "c0p0")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` from the shared folder: each half's map reads it."""
-    df.write.parquet(path := shared_path(df.sparkSession, "keys"))
-    return df.sparkSession.read.parquet(path)
-
-
 def built(notes: DataFrame, key: str = "ROW_ID", text: str = "TEXT", seeds: dict[str, int] = SEEDS) -> DataFrame:
     """``notes`` with a text for each half, and the flags all_placeholders_replaced (in the first half's text) and all_placeholders_have_id.
 
@@ -39,9 +33,9 @@ def built(notes: DataFrame, key: str = "ROW_ID", text: str = "TEXT", seeds: dict
     prepared = notes.withColumn("_clean", clean(F.col(text))).withColumn("_resolved", resolve(F.col("_clean")))
     # what the maps are made from is taken here, so that no later pass searches the texts for it, once for each half
     prepared = prepared.withColumns({"_keys": F.array_distinct(placeholders(F.col(text))), "_told": told_lines("_clean")}).drop("_clean")
-    prepared.write.parquet(path := shared_path(notes.sparkSession, "resolved"))  # read for the keys, for their pairs with notes, and for the fill
-    df = notes.sparkSession.read.parquet(path)
-    keys, behind = _written(df.select(F.explode("_keys").alias("placeholder")).distinct()), _written(keys_in_lines(df, "_told"))
+    df = lean_kept(prepared, "resolved")  # read for the keys, for their pairs with notes, and for the fill
+    # each half's map reads the keys
+    keys, behind = lean_kept(df.select(F.explode("_keys").alias("placeholder")).distinct(), "keys"), lean_kept(keys_in_lines(df, "_told"), "keys")
     df = df.drop("_keys", "_told")
     filled = {half: f"_filled_{half}" for half in seeds}
     df = fill_all(df, {filled[half]: with_ids(rule_map(keys, seed, behind)) for half, seed in seeds.items()}, key, "_resolved")

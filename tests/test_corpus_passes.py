@@ -2,6 +2,7 @@
 
 import glob
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -29,3 +30,23 @@ def test_folders_side_by_side(spark, tmp_path):
     assert sorted(r["value"] for r in got.filter("half = 'q' and code = 2").collect()) == ["", " ", "a b", "c"] and got.count() == 16
     assert spark.conf.get(writers._WRITERS, "0") == "0" and writers.FOLDERS >= 24
     assert got.select(F.input_file_name()).distinct().count() == 4
+
+
+def test_packed_folders(spark, tmp_path):
+    """Packed folders read back the same in less space, and the shuffle that led to them is gone when they are written."""
+    lines = spark.range(4_000).selectExpr("IF(id % 2 = 0, 'p', 'q') AS half", "'1' AS code", "'x' AS anonymity", "concat('line ', id % 50, repeat(' and so on', 20)) AS sentence")
+    local = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in local.getAllFiles().mkString("|").split("|") if "shuffle_" in f}
+    kept, sizes = [], []
+    for packed in (False, True):
+        path, before = str(tmp_path / f"t{packed}"), shuffles()
+        writers.write_training_text(lines.repartition(3, "sentence"), path, packed=packed)
+        for _ in range(50):
+            if shuffles() <= before:
+                break
+            time.sleep(0.2)
+        assert shuffles() <= before
+        rows = spark.read.text(path)
+        kept.append(sorted(map(tuple, rows.groupBy("half", "value").count().collect())))
+        sizes.append(sum(os.path.getsize(f) for f in glob.glob(f"{path}/**/part-*", recursive=True)))
+    assert kept[0] == kept[1] and sum(n for *_, n in kept[0]) == 4_000 and sizes[1] * 3 < sizes[0]
